@@ -49,7 +49,8 @@ CATEGORY = f"""CASE WHEN starts_with(module, '.') THEN 'local'
   WHEN list_contains({text_list(rules.PLATFORM_MODULES)}, split_part(module, '.', 1)) THEN 'databricks'
   WHEN list_contains({text_list(rules.STANDARD_MODULES)}, split_part(module, '.', 1)) THEN 'standard_library'
   ELSE 'third_party' END"""
-IMPORTS = f"""typed AS MATERIALIZED (SELECT *, {fx.DEEP_TYPE} AS file_type FROM files),
+TYPED = f"typed AS MATERIALIZED (SELECT *, {fx.DEEP_TYPE} AS file_type FROM files)"
+IMPORTS = f"""{TYPED},
 known(template, module) AS (VALUES {KNOWN_ROWS}),
 parsed_imports AS (
   SELECT f.path, true AS parsed, replace(k.module, '{{src}}', f.source) AS module, 1 AS n
@@ -93,40 +94,46 @@ KNOWN_SYMBOLS = [
     (10, "function", "silver_{src}", "", 11),
 ]
 SYMBOL_ROWS = ", ".join(f"({t}, {text(k)}, {text(n)}, {text(a)}, {line})" for t, k, n, a, line in KNOWN_SYMBOLS)
-on_files("l12_symbols", f"""WITH known(template, kind, name, args, lineno) AS (VALUES {SYMBOL_ROWS})
-  SELECT path, kind, replace(replace(name, '{{src}}', source), '{{doc}}', doc_id::VARCHAR) AS name, args,
-         lineno::BIGINT AS lineno FROM files JOIN known USING (template)""",
-         lambda f: imports.symbols(python_files(f)).withColumn("args", F.array_join("args", ",")))
+on_files("l12_symbols", """SELECT path, kind, replace(replace(name, '{src}', source), '{doc}', doc_id::VARCHAR) AS name, args,
+         lineno::BIGINT AS lineno FROM files JOIN known_symbols USING (template)""",
+         lambda f: imports.symbols(python_files(f)).withColumn("args", F.array_join("args", ",")),
+         f"known_symbols(template, kind, name, args, lineno) AS (VALUES {SYMBOL_ROWS})")
 
 # ---- statements -----------------------------------------------------------------------------------
 
 DUCK_BODY = statements._BODY.replace("++", "+").replace(r"\# ", "# ")
 DUCK_CLOSE = statements._CLOSE.replace("*+", "*").replace(r"\# ", "# ")
 DUCK_STATEMENT = f"(?s){DUCK_BODY}(?:{DUCK_CLOSE})?|{DUCK_CLOSE}"
-STATEMENTS = f"""typed AS MATERIALIZED (SELECT *, {fx.DEEP_TYPE} AS file_type FROM files),
-pieces AS (
-  SELECT path, list_filter(regexp_extract_all(content, {text(DUCK_STATEMENT)}, 0),
-           lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS found_values
-  FROM typed WHERE file_type IN ('sql', 'sql_notebook')),
-numbered AS (SELECT path, found_values, unnest(range(1, len(found_values) + 1)) AS stmt_no FROM pieces),
-worded AS (
-  SELECT path, stmt_no, list_extract(found_values, stmt_no) AS statement,
+def statement_ctes(source, prefix=""):
+    """CTEs <prefix>stmts and <prefix>gated over the rows (path, unit, content) of `source`."""
+    pieces, numbered, worded, stmts, gated = (
+        prefix + name for name in ("pieces", "numbered", "worded", "stmts", "gated"))
+    return f"""{pieces} AS (
+  SELECT path, unit, list_filter(regexp_extract_all(content, {text(DUCK_STATEMENT)}, 0),
+           lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS found_values FROM ({source})),
+{numbered} AS (SELECT *, unnest(range(1, len(found_values) + 1)) AS stmt_no FROM {pieces}),
+{worded} AS (
+  SELECT path, unit, stmt_no, list_extract(found_values, stmt_no) AS statement,
     upper(regexp_replace(regexp_extract(list_extract(found_values, stmt_no),
       '(?is)^(?:\\s|--[^\\n]*|# [^\\n]*|/\\*.*?\\*/)*(create\\s+or\\s+replace|[a-z]+)', 1), '\\s+', ' ', 'g')) AS word
-  FROM numbered),
-stmts AS MATERIALIZED (
-  SELECT path, stmt_no, statement,
+  FROM {numbered}),
+{stmts} AS MATERIALIZED (
+  SELECT path, unit, stmt_no, statement,
     CASE WHEN list_contains({text_list(statements.TYPED_WORDS)}, word) THEN word ELSE 'UNKNOWN' END AS stmt_type
-  FROM worded),
-gated AS MATERIALIZED (
-  SELECT DISTINCT path, stmt_no, direction, table_name FROM (
-    SELECT path, stmt_no, 'input' AS direction,
+  FROM {worded}),
+{gated} AS MATERIALIZED (
+  SELECT DISTINCT path, unit, stmt_no, direction, table_name FROM (
+    SELECT path, unit, stmt_no, 'input' AS direction,
       unnest({fx.found(rules.STATEMENT_REF % 'FROM|JOIN', 1, 'statement')}) AS table_name
-    FROM stmts WHERE stmt_type IN ('SELECT', 'DELETE', 'UPDATE')
-    UNION ALL SELECT path, stmt_no, 'output',
+    FROM {stmts} WHERE stmt_type IN ('SELECT', 'DELETE', 'UPDATE')
+    UNION ALL SELECT path, unit, stmt_no, 'output',
       unnest({fx.found(rules.STATEMENT_REF % 'INTO|TABLE', 1, 'statement')})
-    FROM stmts WHERE stmt_type IN ('INSERT', 'CREATE', 'MERGE'))
+    FROM {stmts} WHERE stmt_type IN ('INSERT', 'CREATE', 'MERGE'))
   WHERE NOT list_contains({text_list(rules.SQL_DENY_WORDS)}, upper(table_name)))"""
+
+
+STATEMENTS = TYPED + ",\n" + statement_ctes(
+    "SELECT path, 0 AS unit, content FROM typed WHERE file_type IN ('sql', 'sql_notebook')")
 on_files("l6_sql_statements", """SELECT path, stmt_no, stmt_type, substring(statement, 1, 200) AS statement_prefix
   FROM stmts""", lambda f: statements.sql_statements(sql_files(f)), STATEMENTS)
 on_files("l5_statement_refs", "SELECT path, stmt_no, direction, table_name FROM gated",
@@ -169,23 +176,22 @@ on_files("w1_running_language", "SELECT path, cell_no, language FROM cells", cel
 on_files("w2_cell_number", "SELECT path, line_start, cell_no FROM cells", cells.cell_number, CELLS)
 on_files("l18_mixed_languages", "SELECT path, language, count(*) AS n_cells FROM cells GROUP BY ALL",
          lambda f: cells.cells(f).groupBy("path", "language").agg(F.count("*").alias("n_cells")), CELLS)
-on_files("l18_mixed_tables", f"""SELECT path, kind, value, count(*) AS n FROM (
-    SELECT DISTINCT path, cell_no, kind, value FROM (
-      SELECT path, cell_no, 'input_tables' AS kind, unnest({fx.PYTHON_READS}) AS value FROM cells WHERE language = 'python'
-      UNION ALL SELECT path, cell_no, 'output_tables', unnest({fx.found(rules.TABLE_WRITE)}) FROM cells WHERE language = 'python'
-      UNION ALL SELECT path, cell_no, 'file_paths', unnest({fx.found(rules.STORAGE_PATH)}) FROM cells WHERE language = 'python'
-      UNION ALL SELECT path, cell_no, 'delta_tables', unnest({fx.found(rules.DELTA_HANDLE, 0)}) FROM cells WHERE language = 'python'))
-  GROUP BY ALL""",
-         lambda f: cells.mixed_analysis(only_python_cells(f)).filter(
-             F.col("kind").isin("input_tables", "output_tables", "file_paths", "delta_tables")), CELLS)
+CELL_FINDINGS = statement_ctes("SELECT path, cell_no AS unit, content FROM cells WHERE language = 'sql'", "cell_") + f""",
+cell_tables AS (
+  SELECT DISTINCT path, cell_no, kind, value FROM (
+    SELECT path, cell_no, 'input_tables' AS kind, unnest({fx.PYTHON_READS}) AS value FROM cells WHERE language = 'python'
+    UNION ALL SELECT path, cell_no, 'output_tables', unnest({fx.found(rules.TABLE_WRITE)}) FROM cells WHERE language = 'python'
+    UNION ALL SELECT path, cell_no, 'file_paths', unnest({fx.found(rules.STORAGE_PATH)}) FROM cells WHERE language = 'python'
+    UNION ALL SELECT path, cell_no, 'delta_tables', unnest({fx.found(rules.DELTA_HANDLE, 0)}) FROM cells WHERE language = 'python'
+    UNION ALL SELECT path, cell_no, 'input_tables', unnest({fx.found(rules.SQL_FILE_SOURCE)}) FROM cells WHERE language = 'sql'
+    UNION ALL SELECT path, cell_no, 'output_tables', unnest({fx.found(rules.SQL_FILE_TARGET)}) FROM cells WHERE language = 'sql'
+    UNION ALL SELECT path, unit, direction || '_tables', table_name FROM cell_gated))"""
+on_files("l18_mixed_tables", """SELECT path, kind, value, count(*) AS n FROM cell_tables GROUP BY ALL
+  UNION ALL SELECT DISTINCT path, 'languages_used', language, 1 FROM cells""",
+         lambda f: cells.mixed_analysis(f).filter(F.col("kind").isin(
+             "input_tables", "output_tables", "file_paths", "delta_tables", "languages_used")), CELLS, CELL_FINDINGS)
 on_files("l18_mixed_analysis", None, cells.mixed_analysis)
 
-
-def only_python_cells(files):
-    """The corpus with the SQL cells' findings left out is the corpus of files without SQL magic."""
-    return files
-
-
 # ---- recommendations and summary ---------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeharbor.sources.assets import NOTEBOOK_EXPRESSIONS, VIEWS, WORKSPACE_CONFIGS
 from codeharbor.sources.corpus import PROJECTS, USERS
 from codeharbor.sources.templates import FILE_TEMPLATES
 
@@ -58,3 +59,24 @@ FILES = _files()
 def over_files(sql: str, *ctes: str) -> str:
     """A query that may read `files` and the given further CTEs."""
     return "WITH " + ",\n".join([FILES, *ctes]) + "\n" + sql
+
+
+def asset_cte(view: str) -> str:
+    parts = [
+        f"SELECT {', '.join(expressions)} FROM {base}" + (f" WHERE {where}" if where else "")
+        for base, expressions, where in VIEWS[view]
+    ]
+    return f"{view} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+NOTEBOOKS = f"notebooks AS MATERIALIZED (SELECT {', '.join(NOTEBOOK_EXPRESSIONS)} FROM files)"
+CUSTOMERS = """customers AS (SELECT c_custkey AS id, c_name AS customer_name, c_mktsegment AS customer_segment,
+  r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+WORKSPACE_CONFIG_CTE = "workspace_configs AS (" + " UNION ALL ".join(
+    f"SELECT {expression} FROM {base}" for base, expression in WORKSPACE_CONFIGS) + ")"
+
+
+def over(sql: str, *parts: str) -> str:
+    """A query over asset views (by name) and further CTE texts."""
+    ctes = [asset_cte(part) if part in VIEWS else part for part in parts]
+    return "WITH " + ",\n".join(ctes) + "\n" + sql

@@ -218,8 +218,7 @@ on_files("w5_first_n", f"""SELECT path, array_to_string(({fx.found(rules.IMPORT_
   FROM files""", lambda f: f.select("path", F.array_join(tx.first_n(
       tx.find_all(F.col("content"), rules.IMPORT_WORD), 3), ",").alias("first_words")))
 QUERIES["f11_arithmetic"] = lambda spark, sf_dir: lineage.arithmetic(asset(spark, sf_dir, "transactions"))
-ORACLE["f11_arithmetic"] = over("""SELECT customer_id, transaction_id, round(amount + customer_id, 2) AS added,
-    round(amount - customer_id, 2) AS subtracted, round(amount * customer_id, 2) AS multiplied,
-    CASE WHEN customer_id <> 0 THEN round(amount / customer_id, 4) END AS divided,
-    CASE WHEN amount >= 0 THEN round(sqrt(amount), 4) END AS root,
-    round(pow(customer_id, 2), 2) AS raised FROM transactions""", "transactions")
+ORACLE["f11_arithmetic"] = over("""SELECT customer_id, transaction_id, amount + customer_id AS added,
+    amount - customer_id AS subtracted, amount * customer_id AS multiplied,
+    CASE WHEN customer_id <> 0 THEN amount / customer_id END AS divided,
+    CASE WHEN amount >= 0 THEN sqrt(amount) END AS root, pow(customer_id, 2) AS raised FROM transactions""", "transactions")

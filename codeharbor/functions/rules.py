@@ -163,3 +163,36 @@ CONFIG_FILE = "databricks.yml"
 PLACEHOLDER_MARK = "UPDATE_WITH"
 PASS_MARK = 80
 EXPORT_FORMATS = ["SOURCE", "HTML", "JUPYTER", "DBC"]
+
+# --- fixed values: bundle patterns ----------------------------------------------------------
+STREAMING_WORDS = ["autoloader", "streaming", "readstream", "writestream"]
+# pattern -> (job key, cluster key, spark_version, node_type_id, num_workers)
+BUNDLE_PATTERNS = {
+    "simple": ("main_job", "main", "16.4.x-scala2.12", "i3.xlarge", 2),
+    "multi_stage": ("pipeline", "main", "13.3.x-scala2.12", "i3.xlarge", 4),
+    "ml": ("ml_job", "ml", "14.3.x-ml-scala2.12", "i3.2xlarge", 4),
+    "streaming": ("main_job", "main", "16.4.x-scala2.12", "i3.xlarge", 2),
+}
+TARGETS_BLOCK = """targets:
+  dev:
+    mode: development
+    default: true
+  prod:
+    mode: production
+"""
+SECRET_KEYS = r"(?i)(?:password|api_key|secret|token)"
+
+# --- fixed values: findings of the structural config lint ---------------------------------------
+LINT_BAD_YAML = "YAML parsing error"
+LINT_NO_NAME = "Bundle name is required"
+LINT_VAGUE_NAME = "Use a descriptive bundle name"
+LINT_NO_JOBS = "resources.jobs is required"
+LINT_NO_JOB_NAME = "Job name is required"
+LINT_NO_TASKS = "Job has no tasks"
+LINT_EXISTING_CLUSTER = "Use job clusters, not existing clusters, in production"
+LINT_NO_EMAIL = "Add email notifications for all jobs"
+LINT_NO_TIMEOUT = "Set timeout_seconds"
+LINT_NO_RETRIES = "Set max_retries"
+LINT_SECRETS = "Hardcoded secrets found"
+LINT_PROD_MODE = "Target prod should use mode production"
+VAGUE_NAMES = ["my-bundle", "bundle", "test", "test-bundle"]

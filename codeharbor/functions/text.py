@@ -92,7 +92,8 @@ def extract_yaml(text: Column) -> Column:
 
 
 def to_b64(text: Column) -> Column:
-    return F.base64(F.encode(text, "UTF-8"))
+    """Base64 on one line, as an upload needs it."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
 
 
 def to_record(names: Column, values: Column) -> Column:

@@ -96,10 +96,10 @@ def arithmetic(rows: DataFrame) -> DataFrame:
     a, b = F.col("amount"), F.col("customer_id")
     return rows.select(
         "customer_id", "transaction_id",
-        F.round(calc.add(a, b), 2).alias("added"),
-        F.round(calc.sub(a, b), 2).alias("subtracted"),
-        F.round(calc.mul(a, b), 2).alias("multiplied"),
-        F.round(calc.div(a, b), 4).alias("divided"),
-        F.round(calc.root(a), 4).alias("root"),
-        F.round(calc.power(b, F.lit(2)), 2).alias("raised"),
+        calc.add(a, b).alias("added"),
+        calc.sub(a, b).alias("subtracted"),
+        calc.mul(a, b).alias("multiplied"),
+        calc.div(a, b).alias("divided"),
+        calc.root(a).alias("root"),
+        calc.power(b, F.lit(2)).alias("raised"),
     )

@@ -101,8 +101,18 @@ def to_record(names: Column, values: Column) -> Column:
 
 
 def cost_text(cost: Column) -> Column:
-    """'$0.0000' form for a non-zero cost, else NULL."""
-    return F.when(cost != 0, F.format_string("$%.4f", cost))
+    """'$0.0000' form for a non-zero cost, else NULL.
+
+    format_number rounds the exact binary value, where format_string would round its shortest
+    decimal spelling; below one unit of the last digit it needs help.
+    """
+    unit = 0.0001
+    tiny = F.when(F.abs(cost) >= unit / 2, "0.0001").otherwise("0.0000")
+    sign = F.when(cost < 0, "-").otherwise("")
+    usual = F.translate(F.format_number(cost, 4), ",", "")
+    return F.when(
+        cost != 0, F.concat(F.lit("$"), F.when(F.abs(cost) < unit, F.concat(sign, tiny)).otherwise(usual))
+    )
 
 
 def drop_words(values: Column, words: Iterable[str]) -> Column:

@@ -33,7 +33,11 @@ def notebook_stem(doc_id: Column) -> Column:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, content, doc_id, lang, source): one row for every document."""
-    docs = load(spark, sf_dir, "documents")
+    return corpus_from(load(spark, sf_dir, "documents"))
+
+
+def corpus_from(docs: DataFrame) -> DataFrame:
+    """The same for any frame of documents, also a streaming one."""
     doc = F.col("doc_id")
     which = doc % len(FILE_TEMPLATES)
     prefix = pick([t[1] for t in FILE_TEMPLATES], which)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from codeharbor.catalog import files_extract as fx
 from codeharbor.catalog.views import over_files, text, text_list
 from codeharbor.functions import rules
-from codeharbor.operators import cells, classify, imports, statements
+from codeharbor.operators import cells, imports, statements
+from codeharbor.operators.classify import file_type
 from codeharbor.plans import analysis
 from codeharbor.sources.corpus import code_corpus
 
@@ -21,12 +22,22 @@ def on_files(name, sql, fn, *ctes):
         ORACLE[name] = over_files(sql, *ctes)
 
 
+def _only(files, types):
+    """The corpus with the text of other file types blanked.
+
+    Blank files give no rows. A filter would be pushed below the projection that makes up the
+    corpus text and make it up once per rule.
+    """
+    kind = file_type(F.col("path"), F.col("content"))
+    return files.withColumn("content", F.when(kind.isin(types), F.col("content")).otherwise(F.lit("")))
+
+
 def python_files(files):
-    return classify.with_file_type(files).filter(F.col("file_type").isin(analysis.PYTHON_TYPES))
+    return _only(files, analysis.PYTHON_TYPES)
 
 
 def sql_files(files):
-    return classify.with_file_type(files).filter(F.col("file_type").isin(analysis.SQL_TYPES))
+    return _only(files, analysis.SQL_TYPES)
 
 
 # ---- imports: the modules of each template that parses are known; the rest goes by regex ------

@@ -41,14 +41,14 @@ ENRICHED = """enriched AS (SELECT t.*, customer_name, customer_segment, region F
   LEFT JOIN customers c ON t.customer_id = c.id)"""
 on("e3_enrich", """SELECT transaction_id, customer_id, amount, strftime(transaction_date, '%Y-%m-%d') AS transaction_date,
     customer_name, customer_segment, region FROM enriched""",
-   lambda s, t, c: dated(wl.enrich(wl.clean_facts(t), c)), CLEAN, ENRICHED)
+   lambda s, t, c: dated(wl.enrich(wl.clean_facts(t), c, t)), CLEAN, ENRICHED)
 SUMMARY = f"""customer_segment, region, count(transaction_id) AS transaction_count, {TOTAL.format('amount')} AS total_revenue,
   {TOTAL.format('amount')} / count(amount) AS avg_transaction_value"""
 
 
 def summary(t, c, day=None):
     marked = F.lit("2024-01-01" if day is None else day).cast("date")
-    return wl.daily_summary(wl.enrich(wl.clean_facts(t), c), "dev", marked)
+    return wl.daily_summary(wl.enrich(wl.clean_facts(t), c, t), "dev", marked)
 
 
 on("e4_daily_summary", f"""SELECT {SUMMARY}, '2024-01-01' AS processing_date, 'dev' AS environment FROM enriched
@@ -58,7 +58,7 @@ PER_YEAR = f"""per_year AS MATERIALIZED (SELECT year(transaction_date)::BIGINT A
 
 
 def per_year(t, c):
-    enriched = wl.enrich(wl.clean_facts(t), c).withColumn("sale_year", F.year("transaction_date").cast("long"))
+    enriched = wl.enrich(wl.clean_facts(t), c, t).withColumn("sale_year", F.year("transaction_date").cast("long"))
     return enriched.groupBy("sale_year", "customer_segment", "region").agg(
         F.count("transaction_id").alias("transaction_count"),
         wl.exact_sum(F.col("amount")).alias("total_revenue"),

@@ -83,6 +83,19 @@ FEATURES = {
     "magic_commands": (r"^%\s*(python|sql|scala|r|sh|md)\s*$", 1),
 }
 FEATURE_LIMIT = 10
+# lower-case texts without which a pattern cannot match
+FEATURE_NEEDLES = {
+    "widgets": ["dbutils.widgets."],
+    "notebook_run": ["dbutils.notebook.run"],
+    "spark_session": ["spark."],
+    "delta_operations": ["delta.", "deltatable."],
+    "mlflow_tracking": ["mlflow."],
+    "unity_catalog": ["."],
+    "dbfs_paths": ["/mnt/", "/dbfs/", "/filestore/"],
+    "cluster_config": ["spark.conf."],
+    "magic_commands": ["%"],
+}
+WRITE_NEEDLES = ["saveastable", "insert into", "create or replace table", "create table"]
 
 # --- fixed values: job recommendations by workflow -------------------------------------
 # workflow -> (job_type, schedule, spark_version, node_type_id, num_workers)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
 
-# Line ends as Python's str.splitlines knows them.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Line ends of str.splitlines, other than a lone line feed.
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -30,6 +30,19 @@ def find_distinct(text: Column, pattern: str, group: int = 1) -> Column:
     return F.array_distinct(find_all(text, pattern, group))
 
 
+def guarded(text: Column, needles: Iterable[str], values: Column, kind: str = "array<string>") -> Column:
+    """`values`, a list that can only be non-empty when `text` holds one of the needles.
+
+    The plain substring test is many times cheaper than the pattern search it saves.
+    """
+    return F.when(any_of(text, needles), values).otherwise(F.array().cast(kind))
+
+
+def with_lower(files: DataFrame) -> DataFrame:
+    """Add `_lower`, the lower-cased text, once for all the expressions that look at it."""
+    return files if "_lower" in files.columns else files.withColumn("_lower", F.lower("content"))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
@@ -43,11 +56,14 @@ def unix_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), "\n\\z", "")
 
 
+def feed_count(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def line_count(text: Column) -> Column:
     """len(text.splitlines())"""
-    flat = unix_lines(text)
-    feeds = F.char_length(flat) - F.char_length(F.translate(flat, "\n", ""))
-    return F.when(text == "", F.lit(0)).otherwise(feeds + 1).cast("long")
+    lines = let(unix_lines(text), lambda flat: feed_count(flat) + 1)
+    return F.when(text == "", F.lit(0)).otherwise(lines).cast("long")
 
 
 def cut(text: Column, n: int, side: str = "head", ellipsis: str = "none") -> Column:

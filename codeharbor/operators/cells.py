@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import let, unix_lines
+from codeharbor.functions.text import any_of, feed_count, let, unix_lines
 from codeharbor.operators import extraction, statements
 from codeharbor.operators import imports as imp
 
@@ -35,7 +35,11 @@ def cell_structs(content: Column) -> Column:
     """
     fenced = F.concat(F.lit("\n"), unix_lines(content), F.lit("\n"))
     # every piece is fenced by a line feed on each side; one without lines is a single line feed
-    pieces = F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(fenced, SEPARATOR_LINE))
+    pieces = (
+        F.when(content == "", F.array().cast("array<string>"))
+        .when(any_of(content, rules.CELL_SEPARATORS), F.split(fenced, SEPARATOR_LINE))
+        .otherwise(F.array(fenced))
+    )
     return let(pieces, _describe)
 
 
@@ -43,7 +47,7 @@ def _describe(pieces: Column) -> Column:
     words = F.transform(
         pieces, lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit(MAGIC_WORD), F.lit(1)), F.lit(-1))
     )
-    lengths = F.transform(pieces, lambda p: F.char_length(p) - F.char_length(F.translate(p, "\n", "")) - 1)
+    lengths = F.transform(pieces, lambda p: feed_count(p) - 1)
     # two running lists, one element per piece: the language in force, the lines up to its end
     languages = F.aggregate(
         words,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import any_of
+from codeharbor.functions.text import any_of, with_lower
 
 RULESETS = ("deep", "simple", "sdk")
 
@@ -67,14 +67,16 @@ def with_workflow(files: DataFrame) -> DataFrame:
     Three projections: lower-cased text, stage hits, verdict. Each hit list is computed once
     because Spark keeps a column that later columns use several times.
     """
-    hits = files.withColumn("_lower", F.lower("content")).withColumns(
+    hits = with_lower(files).withColumns(
         {
             "_report": any_of(F.col("_lower"), rules.REPORT_WORDS),
             "_ml": _stages(F.col("_lower"), rules.ML_STAGES),
             "_etl": _stages(F.col("_lower"), rules.ETL_STAGES),
             "_ddl": any_of(F.col("_lower"), rules.DDL_WORDS),
         }
-    ).drop("_lower")
+    )
+    if "_lower" not in files.columns:
+        hits = hits.drop("_lower")
     trained = F.array_contains("_ml", "training")
     verdict = (
         F.when(F.col("_report"), "reporting")

@@ -10,7 +10,7 @@ from codeharbor.functions.text import any_of, cut, first_n, strip
 from codeharbor.functions.yaml_json import yaml_to_json
 from codeharbor.operators.extraction import library_names
 from codeharbor.operators.classify import quick_workflow
-from codeharbor.operators.inventory import task_type
+from codeharbor.operators.inventory import notebook_paths
 from codeharbor.plans.skew import lookup_join
 
 CONFIG_SCHEMA = """bundle struct<name: string>,
@@ -240,18 +240,15 @@ def bundle_files(bundles: DataFrame, files: DataFrame) -> DataFrame:
         library_names(content, "sdk").alias("libraries"),
         any_of(F.lower(content), rules.STREAMING_WORDS).alias("uses_streaming"),
     ).withColumn("uses_mlflow", F.array_contains("libraries", "mlflow"))
-    return lookup_join(bundles, analysed, "stem", ["bundle_name"], "left", detect=True).withColumn(
+    return lookup_join(bundles, analysed, "stem", ["bundle_name"], "left", keys_from=bundles).withColumn(
         "error", F.when(F.col("workflow_type").isNull(), F.lit("Could not analyze file"))
     )
 
 
 def bundles_from_jobs(tasks: DataFrame) -> DataFrame:
     """(bundle_name, stem): the distinct notebooks of every job."""
-    return (
-        task_type(tasks).filter(F.col("type") == "notebook")
-        .select(F.concat(F.lit("job-"), F.col("job_id"), F.lit("-bundle")).alias("bundle_name"), F.col("target").alias("stem"))
-        .distinct()
-    )
+    name = F.concat(F.lit("job-"), F.col("job_id"), F.lit("-bundle")).alias("bundle_name")
+    return notebook_paths(tasks).select(name, "stem").distinct()
 
 
 def dominant_workflow(members: DataFrame) -> DataFrame:
@@ -367,14 +364,13 @@ def render_bundle(jobs: DataFrame, tasks: DataFrame, patterns: DataFrame) -> Dat
     edge = named.select(
         "bundle_name", F.inline(F.array(block_at(0, head), block_at(2, F.lit(rules.TARGETS_BLOCK))))
     )
-    notebook_tasks = tasks.select(
+    notebook_tasks = notebook_paths(tasks).select(
         F.concat(F.lit("job-"), F.col("job_id"), F.lit("-bundle")).alias("bundle_name"),
-        "task_key", "depends_on",
-        F.get_json_object("settings", "$.notebook_task.notebook_path").alias("notebook_path"),
-    ).filter(F.col("notebook_path").isNotNull())
+        "task_key", "depends_on", F.col("stem").alias("notebook_path"),
+    )
     keyed = lookup_join(
         notebook_tasks, named.select("bundle_name", _by_pattern(1).alias("cluster_key")), "bundle_name",
-        ["task_key", "notebook_path"], "inner", detect=True,
+        ["task_key", "notebook_path"], "inner", keys_from=notebook_tasks,
     )
     needs = F.transform("depends_on", lambda key: F.concat(F.lit("{task_key: "), key, F.lit("}")))
     block = F.concat(

@@ -10,14 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import any_of, empty_to_null, find_all, find_distinct, first_n
+from codeharbor.functions.text import (
+    any_of,
+    empty_to_null,
+    find_all,
+    find_distinct,
+    first_n,
+    guarded,
+    with_lower,
+)
 
 # ---- column expressions -----------------------------------------------------------------
+# `lower` is the lower-cased text, where a caller has it at hand; it only serves to skip searches.
+
+
+def table_call_names(content: Column) -> Column:
+    return guarded(content, ["spark.table", "spark.read.table"], find_all(content, rules.TABLE_CALL))
 
 
 def input_tables(content: Column) -> Column:
     """Names read by table calls and by FROM / JOIN anywhere in the text."""
-    return F.array_union(find_all(content, rules.TABLE_CALL), find_all(content, rules.SQL_SOURCE))
+    return F.array_union(table_call_names(content), find_all(content, rules.SQL_SOURCE))
 
 
 def strict_input_tables(content: Column) -> Column:
@@ -26,16 +39,17 @@ def strict_input_tables(content: Column) -> Column:
     return input_tables(code)
 
 
-def output_tables(content: Column) -> Column:
-    return find_distinct(content, rules.TABLE_WRITE)
+def output_tables(content: Column, lower: Column | None = None) -> Column:
+    names = find_distinct(content, rules.TABLE_WRITE)
+    return names if lower is None else guarded(lower, rules.WRITE_NEEDLES, names)
 
 
 def storage_paths(content: Column) -> Column:
-    return find_distinct(content, rules.STORAGE_PATH)
+    return guarded(content, ["/mnt/", "/dbfs/", "/FileStore/"], find_distinct(content, rules.STORAGE_PATH))
 
 
 def delta_handles(content: Column) -> Column:
-    return find_distinct(content, rules.DELTA_HANDLE, 0)
+    return guarded(content, ["delta.tables.DeltaTable."], find_distinct(content, rules.DELTA_HANDLE, 0))
 
 
 def sql_inputs(content: Column) -> Column:
@@ -47,28 +61,40 @@ def sql_outputs(content: Column) -> Column:
 
 
 def notebook_callees(content: Column) -> Column:
-    return find_all(content, rules.NOTEBOOK_CALL)
+    return guarded(content, ["dbutils.notebook.run"], find_all(content, rules.NOTEBOOK_CALL))
+
+
+# The dotted-name feature spelled so that a run of letters is tried once, from its first letter:
+# a try from inside the run fails the same way, and no shorter run can be followed by the dot.
+LINEAR_FEATURES = {"unity_catalog": r"(?<![a-zA-Z_])([a-zA-Z_]++)\.[a-zA-Z_]++\.[a-zA-Z_]++"}
 
 
-def feature_values(content: Column, feature: str) -> Column:
+def feature_values(content: Column, lower: Column, feature: str) -> Column:
     """First matches of one feature; each match is the array of its groups."""
     pattern, groups = rules.FEATURES[feature]
-    flagged = f"(?im){pattern}"
+    flagged = LINEAR_FEATURES.get(feature, f"(?im){pattern}")
     if groups < 2:
-        return F.transform(first_n(find_all(content, flagged, groups), rules.FEATURE_LIMIT), lambda v: F.array(v))
-    parts = [first_n(find_all(content, flagged, g), rules.FEATURE_LIMIT) for g in range(1, groups + 1)]
-    return F.zip_with(*parts, lambda a, b: F.array(a, b))
+        found = first_n(find_all(content, flagged, groups), rules.FEATURE_LIMIT)
+        values = F.transform(found, lambda v: F.array(v))
+    else:
+        parts = [first_n(find_all(content, flagged, g), rules.FEATURE_LIMIT) for g in range(1, groups + 1)]
+        values = F.zip_with(*parts, lambda a, b: F.array(a, b))
+    return guarded(lower, rules.FEATURE_NEEDLES[feature], values, "array<array<string>>")
+
+
+PARAMS_TYPE = "array<struct<widget_type:string,name:string,default_value:string>>"
 
 
 def widget_params(content: Column) -> Column:
     """Widget definitions as array of struct(widget_type, name, default_value)."""
     kinds, names, defaults = (find_all(content, rules.WIDGET_NEW, g) for g in (1, 2, 3))
-    return F.transform(
+    params = F.transform(
         F.arrays_zip(kinds.alias("k"), names.alias("n"), defaults.alias("d")),
         lambda p: F.struct(
             p["k"].alias("widget_type"), p["n"].alias("name"), empty_to_null(p["d"]).alias("default_value")
         ),
     )
+    return guarded(content, ["dbutils.widgets."], params, PARAMS_TYPE)
 
 
 def library_names(content: Column, ruleset: str) -> Column:
@@ -80,7 +106,8 @@ def library_names(content: Column, ruleset: str) -> Column:
 
 
 def widget_name_list(content: Column, distinct: bool) -> Column:
-    return find_distinct(content, rules.WIDGET_ANY) if distinct else find_all(content, rules.WIDGET_ANY)
+    names = find_distinct(content, rules.WIDGET_ANY) if distinct else find_all(content, rules.WIDGET_ANY)
+    return guarded(content, ["dbutils.widgets."], names)
 
 
 # ---- operators ------------------------------------------------------------------------------
@@ -99,8 +126,9 @@ def table_refs(files: DataFrame, strict: bool = False) -> DataFrame:
     """(path, direction, table_name, n_parts) for Python text, distinct per file and direction."""
     content = F.col("content")
     reads = strict_input_tables(content) if strict else input_tables(content)
-    refs = _labelled({"input": reads, "output": output_tables(content)}, "direction", "table_name")
-    return _refs(files, refs)
+    writes = output_tables(content, F.col("_lower"))
+    refs = _labelled({"input": reads, "output": writes}, "direction", "table_name")
+    return _refs(with_lower(files), refs)
 
 
 def sql_table_refs(files: DataFrame) -> DataFrame:
@@ -125,12 +153,12 @@ def delta_refs(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(delta_handles(F.col("content"))).alias("delta_call"))
 
 
-def feature_array(content: Column) -> Column:
+def feature_array(content: Column, lower: Column) -> Column:
     """array of struct(feature, ordinal, value ARRAY<STRING>) over all features."""
 
     def numbered(name: str) -> Column:
         return F.transform(
-            feature_values(content, name),
+            feature_values(content, lower, name),
             lambda v, i: F.struct(
                 F.lit(name).alias("feature"), (i + 1).cast("long").alias("ordinal"), v.alias("value")
             ),
@@ -141,7 +169,7 @@ def feature_array(content: Column) -> Column:
 
 def features(files: DataFrame) -> DataFrame:
     """(path, feature, ordinal, value ARRAY<STRING>)."""
-    return files.select("path", F.inline(feature_array(F.col("content"))))
+    return with_lower(files).select("path", F.inline(feature_array(F.col("content"), F.col("_lower"))))
 
 
 def params(files: DataFrame) -> DataFrame:

@@ -158,6 +158,12 @@ def task_type(tasks: DataFrame, ruleset: str = "mcp") -> DataFrame:
     )
 
 
+def notebook_paths(tasks: DataFrame) -> DataFrame:
+    """The tasks that run a notebook, with its path as `stem`."""
+    path = F.get_json_object("settings", "$.notebook_task.notebook_path")
+    return tasks.withColumn("stem", path).filter(F.col("stem").isNotNull())
+
+
 def task_edges(tasks: DataFrame) -> DataFrame:
     """(job_id, task_key, upstream_key), one row per dependency."""
     return tasks.select("job_id", "task_key", F.explode("depends_on").alias("upstream_key"))
@@ -178,13 +184,11 @@ def job_analysis(jobs: DataFrame, tasks: DataFrame, analysis: DataFrame) -> Data
     `analysis` holds one row per `stem` (a notebook path without extension). A notebook many
     tasks share, or a job with very many tasks, is spread by salting its hot keys only.
     """
-    notebook_tasks = task_type(tasks).filter(F.col("type") == "notebook").select(
-        "job_id", "task_key", F.col("target").alias("stem")
-    )
+    notebook_tasks = notebook_paths(tasks).select("job_id", "task_key", "stem")
     named = lookup_join(
-        notebook_tasks, jobs.select("job_id", "name"), "job_id", ["task_key", "stem"], "inner", detect=True
+        notebook_tasks, jobs.select("job_id", "name"), "job_id", ["task_key", "stem"], "inner", keys_from=tasks
     )
-    return lookup_join(named, analysis, "stem", ["job_id", "task_key"], "left", detect=True)
+    return lookup_join(named, analysis, "stem", ["job_id", "task_key"], "left", keys_from=notebook_tasks)
 
 
 # ---- the ten questions ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeharbor.functions import arithmetic as calc
 from codeharbor.functions import paths, rules
 from codeharbor.operators.extraction import notebook_calls, table_refs
-from codeharbor.plans.skew import lookup_join
+from codeharbor.plans.skew import SALTS, lookup_join
 
 
 def decode_export(exports: DataFrame, column: str = "content", fmt: str = "SOURCE") -> DataFrame:
@@ -46,7 +46,7 @@ def nearest_config(files: DataFrame, configs: DataFrame, levels: int = 3) -> Dat
     ).withColumn("config_path", F.concat("at", F.lit("/" + rules.CONFIG_FILE)))
     found = climbs.join(configs.select("config_path").distinct(), "config_path")
     nearest = found.groupBy("dir").agg(F.min(F.struct("depth", "config_path")).alias("best"))
-    return lookup_join(located, nearest, "dir", ["path"], "left", detect=True).select(
+    return lookup_join(located, nearest, "dir", ["path"], "left", keys_from=located).select(
         "path", F.col("best.config_path").alias("config_path"), F.col("best.depth").cast("long").alias("depth")
     )
 
@@ -66,13 +66,14 @@ def call_edges(files: DataFrame) -> DataFrame:
 
 def lineage_tables(files: DataFrame) -> DataFrame:
     """(table_name, n_writers, n_readers, n_edges): the table side of the lineage graph."""
-    return _table_degrees(table_refs(files)).withColumn("n_edges", F.col("n_writers") * F.col("n_readers"))
+    return _table_degrees(table_refs(files), "table_name").withColumn("n_edges", F.col("n_writers") * F.col("n_readers"))
 
 
-def _table_degrees(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("table_name").agg(
-        F.count_if(F.col("direction") == "output").alias("n_writers"),
-        F.count_if(F.col("direction") == "input").alias("n_readers"),
+def _table_degrees(refs: DataFrame, *keys: str) -> DataFrame:
+    known = F.col("path").isNotNull()
+    return refs.groupBy(*keys).agg(
+        F.count_if(known & (F.col("direction") == "output")).alias("n_writers"),
+        F.count_if(known & (F.col("direction") == "input")).alias("n_readers"),
     )
 
 
@@ -82,10 +83,17 @@ def lineage_edges(files: DataFrame) -> DataFrame:
     The table stays in the middle as a node, so the result grows with the references. Pairing
     every writer with every reader would square for a table most files touch; the number of
     pairs is `n_edges` in `lineage_tables`, and the files behind one table are its rows here.
+
+    The text is scanned once: the references are shuffled by (table, salt) and that one exchange
+    feeds both the counts and the join.
     """
-    refs = table_refs(files).drop("n_parts")
-    linked = lookup_join(refs, _table_degrees(refs), "table_name", ["path", "direction"], "inner")
-    return linked.select(
+    salt = F.pmod(F.xxhash64("path", "direction"), F.lit(SALTS)).cast("int")
+    refs = table_refs(files).drop("n_parts").withColumn("_salt", salt).repartition("table_name", "_salt")
+    degrees = _table_degrees(refs, "table_name", "_salt").groupBy("table_name").agg(
+        F.sum("n_writers").alias("n_writers"), F.sum("n_readers").alias("n_readers")
+    )
+    spread = degrees.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return refs.join(spread, ["table_name", "_salt"]).select(
         "path", "direction", "table_name",
         F.when(F.col("direction") == "input", F.col("n_writers")).otherwise(F.col("n_readers")).alias("n_counterparts"),
     )

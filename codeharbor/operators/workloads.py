@@ -48,10 +48,13 @@ def clean_facts(transactions: DataFrame, date: str | None = None) -> DataFrame:
     return kept.groupBy("transaction_id").agg(F.min(F.struct(*others)).alias("r")).select("transaction_id", "r.*")
 
 
-def enrich(facts: DataFrame, customers: DataFrame) -> DataFrame:
-    """Facts with the customer's name, segment and region; NULL for an unknown customer."""
+def enrich(facts: DataFrame, customers: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
+    """Facts with the customer's name, segment and region; NULL for an unknown customer.
+
+    keys_from: the base table of the facts, to find customers with very many of them.
+    """
     lookup = customers.select(F.col("id").alias("customer_id"), "customer_name", "customer_segment", "region")
-    return lookup_join(facts, lookup, "customer_id", ["transaction_id", "amount"], "left", detect=True)
+    return lookup_join(facts, lookup, "customer_id", ["transaction_id", "amount"], "left", keys_from)
 
 
 def daily_summary(enriched: DataFrame, environment: str = "dev", processing_date: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
+from codeharbor.functions.text import with_lower
 from codeharbor.operators import classify, extraction, statements
 from codeharbor.operators import imports as imp
 from codeharbor.operators.cells import cell_structs
@@ -55,8 +56,10 @@ def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES) -> DataFrame:
     Everything is computed inside the row, so nothing shuffles and the text is read once; columns
     left out of `include` are not computed. Later selects prune what they do not use.
     """
-    content = F.col("content")
-    typed = classify.with_workflow(files) if "patterns" in include else files
+    content, lower = F.col("content"), F.col("_lower")
+    typed = with_lower(files)
+    if "patterns" in include:
+        typed = classify.with_workflow(typed)
     typed = typed.withColumn("file_type", file_type(F.col("path"), content)).withColumn(
         "cells", F.when(F.col("file_type") == "mixed_notebook", cell_structs(content))
     )
@@ -82,7 +85,7 @@ def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES) -> DataFrame:
                 _cell_list(extraction.input_tables, statements.sql_sources),
             ).alias("input_tables"),
             _by_type(
-                extraction.output_tables(content), statements.sql_targets(content),
+                extraction.output_tables(content, lower), statements.sql_targets(content),
                 _cell_list(extraction.output_tables, statements.sql_targets),
             ).alias("output_tables"),
             _by_type(
@@ -92,10 +95,10 @@ def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES) -> DataFrame:
                 extraction.delta_handles(content), None, _cell_list(extraction.delta_handles)
             ).alias("delta_tables"),
         ]
-    widgets = F.size(extraction.feature_values(content, "widgets")) > 0
-    no_params = F.array().cast("array<struct<widget_type:string,name:string,default_value:string>>")
+    widgets = F.size(extraction.feature_values(content, lower, "widgets")) > 0
+    no_params = F.array().cast(extraction.PARAMS_TYPE)
     keep += [
-        extraction.feature_array(content).alias("features"),
+        extraction.feature_array(content, lower).alias("features"),
         F.when(widgets, extraction.widget_params(content)).otherwise(no_params).alias("params"),
         extraction.notebook_callees(content).alias("notebook_dependencies"),
     ]
@@ -165,10 +168,10 @@ def corpus_overview(files: DataFrame) -> DataFrame:
     of the files costs one row per map task.
     """
     content = F.col("content")
-    analysed = classify.with_workflow(files).select(
+    analysed = classify.with_workflow(with_lower(files)).select(
         "workflow_type",
         file_type(F.col("path"), content).alias("file_type"),
-        F.concat(extraction.input_tables(content), extraction.output_tables(content)).alias("refs"),
+        F.concat(extraction.input_tables(content), extraction.output_tables(content, F.col("_lower"))).alias("refs"),
     )
     per_table = (
         analysed.select("workflow_type", "file_type", F.posexplode_outer("refs").alias("pos", "table_name"))

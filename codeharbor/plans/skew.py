@@ -6,36 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 8
-HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
 HOT_SALTS = 64
+HOT_ROWS = 100_000
+MAX_HOT_KEYS = 1000
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than 1/HOT_SHARE of the rows: at most HOT_SHARE of them by counting,
-    so this frame may be broadcast whatever the size of the input."""
+    """The most frequent keys with at least HOT_ROWS rows.
+
+    Any key with more than 1/MAX_HOT_KEYS of all rows is among the MAX_HOT_KEYS most frequent
+    ones, so the list is complete where it matters and never longer than that: it may be
+    broadcast whatever the size of the input.
+    """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") * HOT_SHARE > total).select(key).withColumn("_hot", F.lit(True))
+    top = counts.filter(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
+    return top.select(key, F.lit(True).alias("_hot"))
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, salt_by: list[str], how: str = "left", detect: bool = False
+    rows: DataFrame, lookup: DataFrame, key: str, salt_by: list[str], how: str = "left",
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup with one row per key, with hot keys spread over tasks.
 
     The salt is a hash of the row itself, so a recomputed task gives the same rows.
-    detect=True counts keys first (one more pass over a single column) and salts only the hot
-    ones; detect=False salts every key a little and is meant for rows that are costly to derive,
-    such as ones extracted from text.
+    keys_from names a cheap frame that holds the same keys at least as often (a base table): its
+    keys are counted first, one more pass over one column, and only hot ones are salted. Without
+    it every key is salted a little, which suits rows that are costly to derive twice, such as
+    ones extracted from text.
     """
-    if detect:
-        hot = F.broadcast(hot_keys(rows, key))
-        salted = rows.join(hot, key, "left").withColumn(
-            "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
-        )
+    if keys_from is not None:
+        hot = F.broadcast(hot_keys(keys_from, key))
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
         copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        spread = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-        salted, spread = salted.drop("_hot"), spread.drop("_hot")
+        salted = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+        spread = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
         spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -14,10 +14,27 @@ from codeharbor.sources.templates import FILE_TEMPLATES
 USERS, PROJECTS = 7, 5
 
 
+SMALL_SPLIT = 128 * 1024 * 1024
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """As `load`, for tables that are small but costly to work on.
+
+    A table in one row group gives one task. While the files are smaller than one split per core
+    their rows are dealt out by key, which moves little; larger inputs have splits enough and are
+    read as they lie.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    rows = load(spark, sf_dir, table)
+    return rows.repartition(cores, key) if size < cores * SMALL_SPLIT else rows
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(value) for value in values]), index.cast("int"))
 
@@ -33,7 +50,7 @@ def notebook_stem(doc_id: Column) -> Column:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, content, doc_id, lang, source): one row for every document."""
-    return corpus_from(load(spark, sf_dir, "documents"))
+    return corpus_from(load_spread(spark, sf_dir, "documents", "doc_id"))
 
 
 def corpus_from(docs: DataFrame) -> DataFrame:

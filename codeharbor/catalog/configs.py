@@ -231,7 +231,7 @@ def pattern_case(position):
 
 NL = " || chr(10) || "
 QUERIES["g4_render_bundle"] = _render
-ORACLE["g4_render_bundle"] = over(f"""SELECT bundle_name, 0 AS section, '' AS sort_key, 'bundle:' {NL} '  name: ' || bundle_name
+ORACLE["g4_render_bundle"] = over(f"""SELECT bundle_name, 0::BIGINT AS section, '' AS sort_key, 'bundle:' {NL} '  name: ' || bundle_name
     {NL} 'resources:' {NL} '  jobs:' {NL} '    ' || {pattern_case(0)} || ':' {NL} '      name: ${{bundle.name}}-${{bundle.target}}'
     {NL} '      job_clusters:' {NL} '        - job_cluster_key: ' || {pattern_case(1)} {NL} '          new_cluster:'
     {NL} '            spark_version: "' || {pattern_case(2)} || '"' {NL} '            node_type_id: "' || {pattern_case(3)} || '"'

@@ -65,7 +65,7 @@ on_files("p7_usage_flags", f"SELECT path, {FLAGS} FROM files", classify.usage_fl
 
 
 def found(pattern, group=1, column="content"):
-    return f"regexp_extract_all({column}, {text(pattern)}, {group})"
+    return f"regexp_extract_all({column}, {text(pattern.replace('*+', '*'))}, {group})"
 
 
 def refs_cte(reads, writes, name="refs"):

@@ -61,28 +61,38 @@ CATEGORY = f"""CASE WHEN starts_with(module, '.') THEN 'local'
   WHEN list_contains({text_list(rules.STANDARD_MODULES)}, split_part(module, '.', 1)) THEN 'standard_library'
   ELSE 'third_party' END"""
 TYPED = f"typed AS MATERIALIZED (SELECT *, {fx.DEEP_TYPE} AS file_type FROM files)"
-IMPORTS = f"""{TYPED},
-known(template, module) AS (VALUES {KNOWN_ROWS}),
-parsed_imports AS (
-  SELECT f.path, true AS parsed, replace(k.module, '{{src}}', f.source) AS module, 1 AS n
-  FROM typed f JOIN known k USING (template) WHERE f.file_type IN ('python', 'python_notebook')),
-matched AS (
-  SELECT path, {fx.found(rules.IMPORT_LINE, 1)} AS origins, {fx.found(rules.IMPORT_LINE, 2)} AS names FROM typed
-  WHERE file_type IN ('python', 'python_notebook') AND template NOT IN {PARSED}),
-fallback AS (
-  SELECT path, pos, coalesce(nullif(list_extract(origins, pos), ''),
+IS_PLATFORM = f"list_contains({text_list(rules.PLATFORM_MODULES)}, split_part(module, '.', 1))"
+
+
+def import_ctes(source, prefix=""):
+    """CTE <prefix>import_rows over the rows (path, unit, source, template, content) of `source`."""
+    known, parsed, matched, fallback, extra, rows = (
+        prefix + name for name in ("known", "parsed_imports", "matched", "fallback", "extra", "import_rows"))
+    return f"""{known}(template, module) AS (VALUES {KNOWN_ROWS}),
+{parsed} AS (
+  SELECT f.path, f.unit, true AS parsed, replace(k.module, '{{src}}', f.source) AS module, 1 AS n
+  FROM ({source}) f JOIN {known} k USING (template)),
+{matched} AS (
+  SELECT path, unit, {fx.found(rules.IMPORT_LINE, 1)} AS origins, {fx.found(rules.IMPORT_LINE, 2)} AS names
+  FROM ({source}) WHERE template NOT IN {PARSED}),
+{fallback} AS (
+  SELECT path, unit, pos, coalesce(nullif(list_extract(origins, pos), ''),
            trim(split_part(regexp_replace(list_extract(names, pos), '\\s', ',', 'g'), ',', 1))) AS module
-  FROM (SELECT *, unnest(range(1, len(names) + 1)) AS pos FROM matched)),
-extra AS (
-  SELECT path, base AS module FROM (
-    SELECT path, split_part(module, '.', 1) AS base, arg_min(module, pos) AS first_module FROM fallback
-    WHERE list_contains({text_list(rules.PLATFORM_MODULES)}, split_part(module, '.', 1)) GROUP BY ALL)
+  FROM (SELECT *, unnest(range(1, len(names) + 1)) AS pos FROM {matched})),
+{extra} AS (
+  SELECT path, unit, base AS module FROM (
+    SELECT path, unit, split_part(module, '.', 1) AS base, arg_min(module, pos) AS first_module FROM {fallback}
+    WHERE {IS_PLATFORM} GROUP BY ALL)
   WHERE base <> first_module),
-import_rows AS MATERIALIZED (
-  SELECT path, parsed, {CATEGORY} AS category, module, sum(n)::BIGINT AS n FROM (
-    SELECT * FROM parsed_imports
-    UNION ALL SELECT path, false, module, 1 FROM fallback
-    UNION ALL SELECT path, false, module, 1 FROM extra) GROUP BY ALL)"""
+{rows} AS MATERIALIZED (
+  SELECT path, unit, parsed, {CATEGORY} AS category, module, sum(n)::BIGINT AS n FROM (
+    SELECT * FROM {parsed}
+    UNION ALL SELECT path, unit, false, module, 1 FROM {fallback}
+    UNION ALL SELECT path, unit, false, module, 1 FROM {extra}) GROUP BY ALL)"""
+
+
+IMPORTS = TYPED + ",\n" + import_ctes(
+    "SELECT path, 0 AS unit, source, template, content FROM typed WHERE file_type IN ('python', 'python_notebook')")
 on_files("l9_l10_imports", "SELECT path, parsed, category, module, n FROM import_rows",
          lambda f: imports.imports(python_files(f)), IMPORTS)
 on_files("l9_imports_parsed", "SELECT path, category, module FROM import_rows WHERE parsed",
@@ -201,7 +211,12 @@ on_files("l18_mixed_tables", """SELECT path, kind, value, count(*) AS n FROM cel
   UNION ALL SELECT DISTINCT path, 'languages_used', language, 1 FROM cells""",
          lambda f: cells.mixed_analysis(f).filter(F.col("kind").isin(
              "input_tables", "output_tables", "file_paths", "delta_tables", "languages_used")), CELLS, CELL_FINDINGS)
-on_files("l18_mixed_analysis", None, cells.mixed_analysis)
+CELL_IMPORTS = import_ctes("""SELECT c.path, c.cell_no AS unit, f.source, f.template, c.content
+  FROM cells c JOIN files f USING (path) WHERE c.language = 'python'""", "cell_")
+on_files("l18_mixed_analysis", """SELECT path, kind, value, count(*) AS n FROM cell_tables GROUP BY ALL
+  UNION ALL SELECT DISTINCT path, 'languages_used', language, 1 FROM cells
+  UNION ALL SELECT path, category, module, sum(n)::BIGINT FROM cell_import_rows GROUP BY ALL""",
+         cells.mixed_analysis, CELLS, CELL_FINDINGS, CELL_IMPORTS)
 
 # ---- recommendations and summary ---------------------------------------------------------------------
 

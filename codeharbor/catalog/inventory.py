@@ -49,12 +49,14 @@ on("clusters", "p2_project_clusters", """SELECT cluster_id, cluster_name, spark_
   FROM clusters""", lambda c: inv.project_assets(c, "cluster"))
 on("warehouses", "f10_with_default", "SELECT warehouse_id, coalesce(state, 'UNKNOWN') AS state FROM warehouses",
    lambda w: w.select("warehouse_id", tx.with_default(F.col("state"), "UNKNOWN").alias("state")))
-on("jobs", "p3_get_job", f"""SELECT {JOB}, max_concurrent_runs, timeout_seconds, NULL AS error FROM jobs
+on("jobs", "p3_get_job", f"""SELECT {JOB}, max_concurrent_runs, timeout_seconds, CAST(NULL AS VARCHAR) AS error FROM jobs
   WHERE job_id = 1234""", lambda j: inv.get_job(j, 1234))
-on("jobs", "p3_get_job_missing", """SELECT NULL AS job_id, NULL AS name, NULL AS created_time, NULL AS creator_user_name,
-  NULL AS max_concurrent_runs, NULL AS timeout_seconds, 'job -5 not found' AS error""", lambda j: inv.get_job(j, -5))
+on("jobs", "p3_get_job_missing", """SELECT CAST(NULL AS BIGINT) AS job_id, CAST(NULL AS VARCHAR) AS name,
+  CAST(NULL AS VARCHAR) AS created_time, CAST(NULL AS VARCHAR) AS creator_user_name, CAST(NULL AS BIGINT) AS max_concurrent_runs,
+  CAST(NULL AS BIGINT) AS timeout_seconds, 'job -5 not found' AS error
+  WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE job_id = -5)""", lambda j: inv.get_job(j, -5))
 on("clusters", "p3_get_cluster", """SELECT cluster_id, cluster_name, spark_version, node_type_id, num_workers, state,
-  NULL AS error FROM clusters WHERE cluster_id = 'c-17'""", lambda c: inv.get_cluster(c, "c-17"))
+  CAST(NULL AS VARCHAR) AS error FROM clusters WHERE cluster_id = 'c-17'""", lambda c: inv.get_cluster(c, "c-17"))
 TASK_TYPES = """CASE WHEN settings LIKE '%notebook_task%' THEN 'notebook' WHEN settings LIKE '%python_wheel_task%'
   THEN 'python_wheel' WHEN settings LIKE '%spark_python_task%' THEN 'spark_python' END AS type,
   nullif(regexp_extract(settings, '"(?:notebook_path|package_name|python_file)": "([^"]*)"', 1), '') AS target"""
@@ -132,7 +134,7 @@ ORACLE["j1_job_analysis"] = over(f"""SELECT t.job_id, t.task_key, t.target AS st
 QUERIES["j7_nearest_config"] = lambda spark, sf_dir: lineage.nearest_config(
     code_corpus(spark, sf_dir), workspace_configs(spark, sf_dir))
 ORACLE["j7_nearest_config"] = over("""SELECT path, arg_min(config_path, depth) AS config_path, min(depth) AS depth FROM (
-    SELECT path, 0 AS depth, regexp_replace(path, '/[^/]*$', '') AS dir FROM files
+    SELECT path, 0::BIGINT AS depth, regexp_replace(path, '/[^/]*$', '') AS dir FROM files
     UNION ALL SELECT path, 1, regexp_replace(path, '(/[^/]*){2}$', '') FROM files
     UNION ALL SELECT path, 2, regexp_replace(path, '(/[^/]*){3}$', '') FROM files) d
   LEFT JOIN (SELECT DISTINCT config_path FROM workspace_configs) c ON c.config_path = d.dir || '/databricks.yml'

@@ -41,9 +41,10 @@ SIMPLE_LIBRARIES = [
 SDK_LIBRARIES = ["pandas", "numpy", "sklearn", "tensorflow", "torch", "mlflow", "pyspark", "databricks"]
 
 # --- fixed values: extraction patterns (no look-around, no back-references) -----------
+# A possessive repeat of a group ("*+") matches the same here and keeps Java from recursing.
 _NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
 NAME_2_3 = rf"{_NAME}(?:\.{_NAME}){{1,2}}"
-NAME_1_N = rf"{_NAME}(?:\.{_NAME})*"
+NAME_1_N = rf"{_NAME}(?:\.{_NAME})*+"
 TABLE_CALL = rf"""spark\.(?:table|read\.table)\s*\(\s*["']({NAME_2_3})["']"""
 SQL_SOURCE = rf"(?i)(?:FROM|JOIN)\s+({NAME_2_3})"
 TABLE_WRITE = (
@@ -60,7 +61,7 @@ SQL_FILE_TARGET = (
 STATEMENT_REF = rf"(?i)(?:%s)\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:TABLE\s+)?({NAME_1_N})"
 SQL_DENY_WORDS = ["TABLE", "INTO", "FROM", "JOIN", "WHERE", "AS", "SELECT"]
 IMPORT_WORD = rf"(?:from|import)\s+({_NAME})"
-IMPORT_LINE = r"(?m)^\s*(?:from\s+([^\s]+)\s+)?import\s+([^\s,]+(?:\s*,\s*[^\s,]+)*)"
+IMPORT_LINE = r"(?m)^\s*(?:from\s+([^\s]+)\s+)?import\s+([^\s,]+(?:\s*,\s*[^\s,]+)*+)"
 NOTEBOOK_CALL = r"""dbutils\.notebook\.run\s*\(["']([^"']+)"""
 WIDGET_ANY = r"""dbutils\.widgets\.\w+\(["']([^"']+)["']"""
 WIDGET_NEW = (

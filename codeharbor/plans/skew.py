@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
@@ -47,26 +47,6 @@ def lookup_join(
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def chunk_of(seq: str, size: int):
+def chunk_of(seq: str, size: int) -> Column:
     """The chunk a row of an ordered group falls into: `size` consecutive values of `seq`."""
     return F.floor(F.col(seq) / size).cast("long")
-
-
-def running_position(rows: DataFrame, group: list[str], seq: str, size: int = 4096) -> DataFrame:
-    """Add `position`, the 1-based place of each row in its group by the whole-number `seq`.
-
-    A group of any size is cut into chunks of consecutive `seq` values. Chunks are counted first
-    (partial counts, then one small row per chunk), the counts are summed up in order, and rows
-    are numbered only within their chunk.
-    """
-    chunked = rows.withColumn("_chunk", chunk_of(seq, size))
-    sizes = chunked.groupBy(*group, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*group, "_chunk").orderBy(seq)
-    return (
-        chunked.withColumn("_place", F.row_number().over(within))
-        .join(offsets, [*group, "_chunk"])
-        .withColumn("position", F.col("_place") + F.col("_offset"))
-        .drop("_chunk", "_place", "_offset")
-    )

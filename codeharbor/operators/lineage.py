@@ -88,7 +88,9 @@ def lineage_edges(files: DataFrame) -> DataFrame:
     feeds both the counts and the join.
     """
     salt = F.pmod(F.xxhash64("path", "direction"), F.lit(SALTS)).cast("int")
-    refs = table_refs(files).drop("n_parts").withColumn("_salt", salt).repartition("table_name", "_salt")
+    refs = table_refs(files).drop("n_parts").withColumn("_salt", salt)
+    # spelled out, so that the join infers no further filter for one side and the exchange is shared
+    refs = refs.filter(F.col("table_name").isNotNull() & F.col("_salt").isNotNull()).repartition("table_name", "_salt")
     degrees = _table_degrees(refs, "table_name", "_salt").groupBy("table_name").agg(
         F.sum("n_writers").alias("n_writers"), F.sum("n_readers").alias("n_readers")
     )

@@ -87,28 +87,34 @@ def upsert_table(
 ) -> None:
     """Merge changes into a Parquet table in folders by key bucket, keeping the latest per key.
 
-    Only the buckets the changes fall into are read and replaced. The merged buckets are written
-    beside the table first and then moved in from there: a run that dies half-way is repeated
-    with the same `batch` and publishes the same files, so nothing is lost or applied twice.
+    Only the buckets the changes fall into are read and replaced. The changes are written down
+    once (`incoming`), then the merged buckets (`merged`), and only then are these moved into the
+    table. A run that dies at any point is repeated with the same `batch`: finished steps are
+    taken as they are, so nothing is computed from a half-written table, lost or applied twice.
     """
     spark = changes.sparkSession
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    staged = f"{table.rstrip('/')}__staged/{batch}"
-    columns = changes.columns
-    if not path_exists(spark, f"{staged}/_SUCCESS"):
-        fresh = changes.withColumn("_bucket", bucket)
-        merged = fresh
-        if path_exists(spark, f"{table}/_SUCCESS"):
-            touched = fresh.select("_bucket").distinct()  # at most `buckets` rows
-            kept = spark.read.parquet(table).join(F.broadcast(touched), "_bucket", "left_semi")
-            merged = fresh.unionByName(kept.select(fresh.columns))
+    fresh = changes.withColumn("_bucket", bucket)
+    schema, columns = fresh.schema, changes.columns
+    incoming, merged = (f"{table.rstrip('/')}__staged/{batch}/{step}" for step in ("incoming", "merged"))
+
+    def stored(path: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    if not path_exists(spark, f"{incoming}/_SUCCESS"):
+        fresh.write.mode("overwrite").parquet(incoming)
+    if not path_exists(spark, f"{merged}/_SUCCESS"):
+        rows = stored(incoming)
+        if path_exists(spark, table):
+            # at most `buckets` small numbers; as literals they prune the folders that are read
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
+            rows = rows.unionByName(stored(table).filter(F.col("_bucket").isin(touched)))
         (
-            latest(merged, ["_bucket", *keys], order).select(*columns, "_bucket")
-            .write.mode("overwrite").partitionBy("_bucket").parquet(staged)
+            latest(rows, ["_bucket", *keys], order).select(*columns, "_bucket")
+            .write.mode("overwrite").partitionBy("_bucket").parquet(merged)
         )
-    schema = changes.withColumn("_bucket", bucket).schema
     (
-        spark.read.schema(schema).parquet(staged).write.mode("overwrite")
+        stored(merged).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table)
     )
 

@@ -81,11 +81,7 @@ def upsert_stream(
     """Keep the latest row per key in a table; a repeated micro-batch changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()  # the merge reads the batch twice; its state must advance once
-        try:
-            upsert_table(kept, table, keys, order, buckets, f"b{number}")
-        finally:
-            kept.unpersist()
+        upsert_table(batch, table, keys, order, buckets, f"b{number}")
         if number > 0:
             drop_staged(batch.sparkSession, table, f"b{number - 1}")
 

@@ -139,10 +139,11 @@ ORACLE["e10_scale"] = over("SELECT doc_id, is_train, " + ", ".join(
 
 
 def _fitted(spark, sf_dir):
-    """Training rows go through a written table: the search reads them many times."""
+    """The split rows go through a written table: scaling and search read them many times."""
     path = f"{checkpoint_dir(spark)}/training-{uuid.uuid4()}"
-    scaled(spark, sf_dir).write.parquet(path)
-    rows = ml.assemble(spark.read.parquet(path), FEATURES)
+    split(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
+    rows = ml.assemble(ml.scale(rows, rows.filter("is_train"), FEATURES), FEATURES)
     grid = {"numTrees": [5], "maxDepth": [2, 4], "minInstancesPerNode": [1, 2]}
     return rows, *ml.grid_search(rows.filter("is_train"), "quality", grid, folds=3)
 

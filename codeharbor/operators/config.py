@@ -28,33 +28,40 @@ def _texts(*conditions: tuple[Column, str]) -> Column:
 # ---- lints -----------------------------------------------------------------------------------
 
 
-def lint_practices(configs: DataFrame, target: Column) -> DataFrame:
-    """(path, score, suggestions): 100 minus the weight of every missing practice, at least 0."""
-    content = F.col("content")
+def practice_columns(content: Column, target: Column) -> list[Column]:
+    """score (100 minus the weight of every missing practice, at least 0) and suggestions."""
     no_stop = ~F.contains(content, F.lit("autotermination_minutes"))
     no_spot = (target == "dev") & ~F.contains(F.lower(content), F.lit("spot"))
     no_mail = ~F.contains(content, F.lit("email_notifications"))
     # fixed values: the weights
     score = F.lit(100) - F.when(no_stop, 10).otherwise(0) - F.when(no_spot, 5).otherwise(0) - F.when(no_mail, 10).otherwise(0)
-    return configs.select(
-        "path",
+    return [
         F.greatest(F.lit(0), score).cast("long").alias("score"),
         _texts(
             (no_stop, rules.PRACTICE_AUTOTERMINATION), (no_spot, rules.PRACTICE_SPOT), (no_mail, rules.PRACTICE_EMAIL)
         ).alias("suggestions"),
-    )
+    ]
 
 
-def lint_secrets(configs: DataFrame) -> DataFrame:
-    """(path, passed, issues): looks at the first occurrence of each key only, 50 characters on."""
-    content = F.col("content")
+def secret_issues(content: Column) -> Column:
+    """Issues by the first occurrence of each key only, looking 50 characters on."""
 
     def bare(key: str) -> Column:
         at = F.instr(F.lower(content), key)
         return (at > 0) & ~F.contains(F.substring(content, at, F.lit(50)), F.lit("${"))
 
-    issues = _texts((bare("password:"), rules.SECRET_PASSWORD), (bare("api_key:"), rules.SECRET_API_KEY))
-    return configs.select("path", issues.alias("issues")).select("path", (F.size("issues") == 0).alias("passed"), "issues")
+    return _texts((bare("password:"), rules.SECRET_PASSWORD), (bare("api_key:"), rules.SECRET_API_KEY))
+
+
+def lint_practices(configs: DataFrame, target: Column) -> DataFrame:
+    """(path, score, suggestions)."""
+    return configs.select("path", *practice_columns(F.col("content"), target))
+
+
+def lint_secrets(configs: DataFrame) -> DataFrame:
+    """(path, passed, issues)."""
+    found = configs.select("path", secret_issues(F.col("content")).alias("issues"))
+    return found.select("path", (F.size("issues") == 0).alias("passed"), "issues")
 
 
 def lint_config(configs: DataFrame, target: Column) -> DataFrame:
@@ -168,10 +175,10 @@ def validation_rows(runs: DataFrame, ruleset: str = "mcp") -> DataFrame:
 
 def validate(runs: DataFrame, configs: DataFrame) -> DataFrame:
     """Run outcome beside the lints of the run's config; NULL lints where there is no config."""
-    target = F.col("target")
-    linted = lint_practices(configs, target).join(
-        lint_secrets(configs).select("path", F.col("passed").alias("security_passed"), "issues"), "path"
-    )
+    content = F.col("content")
+    linted = configs.select(
+        "path", *practice_columns(content, F.col("target")), secret_issues(content).alias("issues")
+    ).withColumn("security_passed", F.size("issues") == 0)
     keyed = parse_cli_runs(runs).withColumn("path", F.concat("bundle_path", F.lit("/" + rules.CONFIG_FILE)))
     return lookup_join(keyed, linted, "path", ["run_id"], "left")
 
@@ -251,16 +258,21 @@ def bundles_from_jobs(tasks: DataFrame) -> DataFrame:
     return notebook_paths(tasks).select(name, "stem").distinct()
 
 
-def dominant_workflow(members: DataFrame) -> DataFrame:
-    """(bundle_name, dominant_workflow): most frequent type, smallest name on a tie, 'etl' if none.
+def _typed_counts(members: DataFrame) -> DataFrame:
+    """Members per (bundle, type), so a bundle of any size reaches the next step as a few rows."""
+    return members.groupBy("bundle_name", "workflow_type").agg(F.count("*").alias("n"), F.count("error").alias("failed"))
 
-    Counted per (bundle, type) first, so a bundle of any size reaches the last step as a few rows.
-    """
-    counted = members.groupBy("bundle_name", "workflow_type").agg(F.count("workflow_type").alias("n"))
-    best = F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("minus_n"), "workflow_type")))
-    return counted.groupBy("bundle_name").agg(best.alias("best")).select(
-        "bundle_name", F.coalesce(F.col("best.workflow_type"), F.lit("etl")).alias("dominant_workflow")
-    )
+
+def _dominant() -> Column:
+    """Over typed counts: the most frequent type, smallest name on a tie, 'etl' if there is none."""
+    ranked = F.struct((-F.col("n")).alias("minus_n"), "workflow_type")
+    best = F.min(F.when(F.col("workflow_type").isNotNull(), ranked))
+    return F.coalesce(best["workflow_type"], F.lit("etl")).alias("dominant_workflow")
+
+
+def dominant_workflow(members: DataFrame) -> DataFrame:
+    """(bundle_name, dominant_workflow)."""
+    return _typed_counts(members).groupBy("bundle_name").agg(_dominant())
 
 
 def bundle_pattern(members: DataFrame) -> DataFrame:
@@ -278,10 +290,10 @@ def bundle_pattern(members: DataFrame) -> DataFrame:
 
 def bundle_context(members: DataFrame, host: str = "https://your-workspace.example.com") -> DataFrame:
     """One row per bundle: counts, dominant workflow, host. The analyses are `bundle_analyses`."""
-    totals = members.groupBy("bundle_name").agg(
-        F.count("*").alias("n_files"), F.count("error").alias("n_failed")
+    totals = _typed_counts(members).groupBy("bundle_name").agg(
+        F.sum("n").alias("n_files"), F.sum("failed").alias("n_failed"), _dominant()
     )
-    return totals.join(dominant_workflow(members), "bundle_name").select(
+    return totals.select(
         "bundle_name", "n_files", "n_failed", "dominant_workflow",
         F.concat(F.lit("./"), F.col("bundle_name")).alias("output_path"),
         F.lit(host).alias("workspace_host"),

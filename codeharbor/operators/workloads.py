@@ -120,11 +120,11 @@ def wide_details(rows: DataFrame, keys: list[str], detail: str) -> DataFrame:
     Equal details collapse to one entry with its count before they move, and a group is cut into
     as many lists as its entries need, so no list outgrows ROWS_PER_LIST by more than chance.
     """
-    entries = rows.groupBy(*keys, detail).agg(F.count("*").alias("n"))
-    lists = entries.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_PER_LIST).alias("_lists"))
+    entries = rows.groupBy(*keys, detail).agg(F.count("*").alias("n")).withColumn("_group", F.struct(*keys))
+    lists = entries.groupBy("_group").agg(F.ceil(F.count("*") / ROWS_PER_LIST).alias("_lists"))
     chunk = F.pmod(F.xxhash64(detail), F.col("_lists")).alias("chunk_no")
     return (
-        entries.join(lists, keys).groupBy(*keys, chunk)
+        lookup_join(entries, lists, "_group", [detail], "inner").groupBy(*keys, chunk)
         .agg(F.collect_list(F.struct(F.col(detail).alias("detail"), "n")).alias("details"))
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
-HOT_SALTS = 64
+SALTS = 32
+HOT_SALTS = 1024
 HOT_ROWS = 100_000
 MAX_HOT_KEYS = 1000
 

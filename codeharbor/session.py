@@ -39,11 +39,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_scratch: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    scratch = tempfile.mkdtemp(prefix="codeharbor-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    if not _scratch:
+        _scratch.append(tempfile.mkdtemp(prefix="codeharbor-"))
+    return _scratch[0]

@@ -43,7 +43,7 @@ def test_hot_keys_are_the_frequent_ones_and_few(spark, low_bar, monkeypatch):
 def test_hot_key_is_spread_over_salts(spark, low_bar):
     left = spark.createDataFrame(skewed(), "i long, k string").filter("k = 'hot'")
     salts = left.select(F.pmod(F.xxhash64("i"), F.lit(skew.HOT_SALTS)).alias("s")).groupBy("s").count()
-    assert salts.count() > skew.HOT_SALTS // 2
+    assert salts.count() > min(skew.HOT_SALTS, left.count()) // 2
     assert salts.agg(F.max("count")).first()[0] < left.count() / 8
 
 

@@ -45,8 +45,21 @@ on("jobs", "w4_top_n", "SELECT creator_user_name, job_id FROM jobs ORDER BY job_
    lambda j: inv.top_n(j.select("creator_user_name", "job_id"), "job_id", 25))
 on("warehouses", "p2_project_assets", """SELECT warehouse_id, name, size, coalesce(state, 'UNKNOWN') AS state,
   auto_stop_mins FROM warehouses""", inv.list_warehouses)
-on("clusters", "p2_project_clusters", """SELECT cluster_id, cluster_name, spark_version, node_type_id, num_workers, state
-  FROM clusters""", lambda c: inv.project_assets(c, "cluster"))
+on("clusters", "p2_project_clusters", """SELECT cluster_id, cluster_name, spark_version, node_type_id, driver_node_type_id,
+    num_workers, autotermination_minutes, enable_elastic_disk, cluster_source, state, replace(conf_json, '": "', '":"') AS conf,
+    '{}' AS env, CASE WHEN tag IS NULL THEN '{}' ELSE '{"kind":"' || tag || '"}' END AS tags,
+    CASE WHEN tag IS NULL THEN '' ELSE '/init/' || tag || '.sh' END AS scripts FROM clusters""",
+   lambda c: inv.project_assets(c, "cluster").select(
+       "cluster_id", "cluster_name", "spark_version", "node_type_id", "driver_node_type_id", "num_workers",
+       "autotermination_minutes", "enable_elastic_disk", "cluster_source", "state",
+       F.replace(F.to_json("spark_conf"), F.lit(","), F.lit(", ")).alias("conf"), F.to_json("spark_env_vars").alias("env"),
+       F.to_json("custom_tags").alias("tags"), F.array_join("init_scripts.destination", ",").alias("scripts")))
+on("clusters", "p2_project_clusters_sdk", """SELECT cluster_id, cluster_name AS name, spark_version, node_type_id,
+  num_workers, state FROM clusters""", lambda c: inv.project_assets(c, "cluster", "sdk"))
+on("warehouses", "p2_project_warehouses_sdk", """SELECT warehouse_id AS id, name, size, coalesce(state, 'UNKNOWN') AS state
+  FROM warehouses""", lambda w: inv.project_assets(w, "warehouse", "sdk"))
+on("jobs", "p1_list_jobs_sdk", """SELECT job_id, name, creator_user_name AS creator FROM jobs
+  WHERE lower(name) LIKE '%etl%'""", lambda j: inv.list_jobs(j, None, "etl", "sdk"))
 on("warehouses", "f10_with_default", "SELECT warehouse_id, coalesce(state, 'UNKNOWN') AS state FROM warehouses",
    lambda w: w.select("warehouse_id", tx.with_default(F.col("state"), "UNKNOWN").alias("state")))
 on("jobs", "p3_get_job", f"""SELECT {JOB}, max_concurrent_runs, timeout_seconds, CAST(NULL AS VARCHAR) AS error FROM jobs
@@ -56,7 +69,7 @@ on("jobs", "p3_get_job_missing", """SELECT CAST(NULL AS BIGINT) AS job_id, CAST(
   CAST(NULL AS BIGINT) AS timeout_seconds, 'job -5 not found' AS error
   WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE job_id = -5)""", lambda j: inv.get_job(j, -5))
 on("clusters", "p3_get_cluster", """SELECT cluster_id, cluster_name, spark_version, node_type_id, num_workers, state,
-  CAST(NULL AS VARCHAR) AS error FROM clusters WHERE cluster_id = 'c-17'""", lambda c: inv.get_cluster(c, "c-17"))
+  CAST(NULL AS VARCHAR) AS error FROM clusters WHERE cluster_id = 'c-17'""", lambda c: inv.get_cluster(c, "c-17", "sdk").withColumnRenamed("name", "cluster_name"))
 TASK_TYPES = """CASE WHEN settings LIKE '%notebook_task%' THEN 'notebook' WHEN settings LIKE '%python_wheel_task%'
   THEN 'python_wheel' WHEN settings LIKE '%spark_python_task%' THEN 'spark_python' END AS type,
   nullif(regexp_extract(settings, '"(?:notebook_path|package_name|python_file)": "([^"]*)"', 1), '') AS target"""

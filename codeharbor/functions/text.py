@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
 
-# Line ends of str.splitlines, other than a lone line feed.
-LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Line ends of str.splitlines, other than a line feed.
+LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WHITE = " \t\n\r\x0b\x0c"
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
-    """True when `text` holds at least one of `words`."""
+    """True when `text` holds at least one of `words`.
+
+    A word that holds another one of the list cannot change the answer and is not searched.
+    """
+    words = list(dict.fromkeys(words))
     hit = F.lit(False)
     for word in words:
-        hit = hit | F.contains(text, F.lit(word))
+        if not any(other != word and other in word for other in words):
+            hit = hit | F.contains(text, F.lit(word))
     return hit
 
 
@@ -53,7 +58,10 @@ def empty_to_null(text: Column) -> Column:
 
 def unix_lines(text: Column) -> Column:
     """Every line end becomes a line feed and one trailing line end is dropped."""
-    return F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), "\n\\z", "")
+    flat = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_END, "\n")
+    return let(
+        flat, lambda t: F.when(F.endswith(t, F.lit("\n")), F.left(t, F.char_length(t) - 1)).otherwise(t)
+    )
 
 
 def feed_count(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import any_of, feed_count, let, unix_lines
+from codeharbor.functions.text import any_of, feed_count, guarded, let, unix_lines
 from codeharbor.operators import extraction, statements
 from codeharbor.operators import imports as imp
 
@@ -24,7 +24,7 @@ def _unmark(cell: Column) -> Column:
             F.rlike(line, F.lit(MAGIC_LINE)), F.replace(line, F.lit(rules.MAGIC_PREFIX), F.lit(""))
         ).otherwise(line),
     )
-    return F.when(F.contains(cell, F.lit(rules.MAGIC_PREFIX)), F.array_join(lines, "\n")).otherwise(cell)
+    return F.when(F.contains(cell, F.lit(rules.MAGIC_PREFIX + "%")), F.array_join(lines, "\n")).otherwise(cell)
 
 
 def cell_structs(content: Column) -> Column:
@@ -45,7 +45,10 @@ def cell_structs(content: Column) -> Column:
 
 def _describe(pieces: Column) -> Column:
     words = F.transform(
-        pieces, lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit(MAGIC_WORD), F.lit(1)), F.lit(-1))
+        pieces,
+        lambda p: F.try_element_at(
+            guarded(p, [rules.MAGIC_PREFIX + "%"], F.regexp_extract_all(p, F.lit(MAGIC_WORD), F.lit(1))), F.lit(-1)
+        ),
     )
     lengths = F.transform(pieces, lambda p: feed_count(p) - 1)
     # two running lists, one element per piece: the language in force, the lines up to its end

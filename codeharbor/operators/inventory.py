@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from codeharbor.functions.text import with_default
 from codeharbor.plans.skew import lookup_join
 
+# rule set -> kind -> public fields, as (column, public name) where the names differ
 ASSET_FIELDS = {
-    "job": ["job_id", "name", "created_time", "creator_user_name"],
-    "warehouse": ["warehouse_id", "name", "size", "state", "auto_stop_mins"],
-    "cluster": ["cluster_id", "cluster_name", "spark_version", "node_type_id", "num_workers", "state"],
-    "notebook": ["path", "language", "size", "modified_at"],
+    "mcp": {
+        "job": ["job_id", "name", "created_time", "creator_user_name"],
+        "warehouse": ["warehouse_id", "name", "size", "state", "auto_stop_mins"],
+        "notebook": ["path", "language", "size", "modified_at"],
+        "storage": ["path", "is_dir", "file_size"],
+        "cluster": [
+            "cluster_id", "cluster_name", "spark_version", "node_type_id", "driver_node_type_id", "num_workers",
+            "autotermination_minutes", "spark_conf", "spark_env_vars", "enable_elastic_disk", "custom_tags",
+            "init_scripts", "cluster_source", "state",
+        ],
+    },
+    "sdk": {
+        "job": ["job_id", "name", ("creator_user_name", "creator")],
+        "warehouse": [("warehouse_id", "id"), "name", "size", "state"],
+        "notebook": ["path", "language"],
+        "storage": ["path", "is_dir", ("file_size", "size")],
+        "cluster": ["cluster_id", ("cluster_name", "name"), "spark_version", "node_type_id", "num_workers", "state"],
+    },
 }
+UNKNOWN_WHEN_MISSING = {("warehouse", "state"), ("notebook", "language")}
+EMPTY_WHEN_MISSING = {"spark_conf", "spark_env_vars", "custom_tags", "init_scripts"}
 
 
 # ---- listings -----------------------------------------------------------------------------
@@ -31,19 +48,28 @@ def top_n(rows: DataFrame, key: str, n: int | None) -> DataFrame:
     return rows if n is None else rows.orderBy(key).limit(n)
 
 
-def list_jobs(jobs: DataFrame, limit: int | None = 100, name_filter: str | None = None) -> DataFrame:
-    return top_n(project_assets(jobs.filter(name_matches(F.col("name"), name_filter)), "job"), "job_id", limit)
-
-
-def project_assets(rows: DataFrame, kind: str) -> DataFrame:
-    """The public fields of an asset kind; a missing state or language becomes UNKNOWN."""
-    defaults = {"warehouse": ["state"], "notebook": ["language"]}.get(kind, [])
-    return rows.select(
-        *[
-            with_default(F.col(field), "UNKNOWN").alias(field) if field in defaults else F.col(field)
-            for field in ASSET_FIELDS[kind]
-        ]
-    )
+def list_jobs(
+    jobs: DataFrame, limit: int | None = 100, name_filter: str | None = None, ruleset: str = "mcp"
+) -> DataFrame:
+    """The filter comes first: the limit counts matches only."""
+    matching = jobs.filter(name_matches(F.col("name"), name_filter))
+    return top_n(project_assets(matching, "job", ruleset), "job_id", limit)
+
+
+def project_assets(rows: DataFrame, kind: str, ruleset: str = "mcp") -> DataFrame:
+    """The public fields of an asset kind. A missing warehouse state or notebook language reads
+    UNKNOWN, a missing map or list is empty."""
+    public = []
+    for field in ASSET_FIELDS[ruleset][kind]:
+        name, alias = (field, field) if isinstance(field, str) else field
+        value = F.col(name)
+        if (kind, name) in UNKNOWN_WHEN_MISSING:
+            value = with_default(value, "UNKNOWN")
+        elif name in EMPTY_WHEN_MISSING:
+            empty = F.array() if name == "init_scripts" else F.create_map()
+            value = F.coalesce(value, empty.cast(rows.schema[name].dataType))
+        public.append(value.alias(alias))
+    return rows.select(*public)
 
 
 def list_warehouses(warehouses: DataFrame, limit: int | None = None) -> DataFrame:
@@ -80,8 +106,7 @@ def notebooks_per_folder(notebooks: DataFrame) -> DataFrame:
 
 
 def list_storage(storage: DataFrame, prefix: str = "/", limit: int | None = None) -> DataFrame:
-    rows = storage.filter(_below(F.col("path"), prefix)).select("path", "is_dir", "file_size")
-    return top_n(rows, "path", limit)
+    return top_n(project_assets(storage.filter(_below(F.col("path"), prefix)), "storage"), "path", limit)
 
 
 def with_count(rows: DataFrame) -> DataFrame:
@@ -107,7 +132,7 @@ def found_or_error(rows: DataFrame, key: str, value, kind: str) -> DataFrame:
 
 def get_job(jobs: DataFrame, job_id: int) -> DataFrame:
     """The job's settings, or an error row. Its tasks are `job_tasks`."""
-    columns = [*ASSET_FIELDS["job"], "max_concurrent_runs", "timeout_seconds"]
+    columns = [*ASSET_FIELDS["mcp"]["job"], "max_concurrent_runs", "timeout_seconds"]
     return found_or_error(jobs.select(*columns), "job_id", job_id, "job")
 
 
@@ -117,8 +142,8 @@ def job_tasks(tasks: DataFrame, job_id: int | None = None) -> DataFrame:
     return rows.select("job_id", "task_key", *task_columns(), "depends_on")
 
 
-def get_cluster(clusters: DataFrame, cluster_id: str) -> DataFrame:
-    return found_or_error(project_assets(clusters, "cluster"), "cluster_id", cluster_id, "cluster")
+def get_cluster(clusters: DataFrame, cluster_id: str, ruleset: str = "mcp") -> DataFrame:
+    return found_or_error(project_assets(clusters, "cluster", ruleset), "cluster_id", cluster_id, "cluster")
 
 
 # ---- tasks ------------------------------------------------------------------------------------

@@ -107,6 +107,10 @@ VIEWS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "p_name AS cluster_name",
         "CASE p_size % 3 WHEN 0 THEN '13.3.x-scala2.12' WHEN 1 THEN '14.3.x-ml-scala2.12' ELSE '16.4.x-scala2.12' END AS spark_version",
         "replace(lower(p_brand), '#', '.') AS node_type_id",
+        "CASE WHEN p_size % 2 = 0 THEN 'driver.' || lower(p_type) END AS driver_node_type_id",
+        "p_size > 25 AS enable_elastic_disk",
+        "CASE WHEN p_size % 5 <> 0 THEN 'UI' END AS cluster_source",
+        "CASE WHEN p_size % 7 <> 0 THEN p_type END AS tag",
         "CAST(nullif(p_size % 9, 0) AS BIGINT) AS num_workers",
         "CAST((p_size % 4) * 10 AS BIGINT) AS autotermination_minutes",
         "CASE WHEN p_size % 3 = 0 THEN '{}' ELSE '{\"spark.sql.shuffle.partitions\": \"' || CAST(p_size AS STRING) || "
@@ -213,7 +217,13 @@ def asset(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     if view == "clusters":
-        whole = whole.withColumn("spark_conf", F.from_json("conf_json", "map<string,string>"))
+        scripts = F.array(F.struct(F.concat(F.lit("/init/"), F.col("tag"), F.lit(".sh")).alias("destination")))
+        whole = whole.withColumns({
+            "spark_conf": F.from_json("conf_json", "map<string,string>"),
+            "spark_env_vars": F.lit(None).cast("map<string,string>"),
+            "custom_tags": F.when(F.col("tag").isNotNull(), F.create_map(F.lit("kind"), F.col("tag"))),
+            "init_scripts": F.when(F.col("tag").isNotNull(), scripts),
+        })
     if view == "tasks":
         whole = whole.withColumn("depends_on", F.array_compact(F.array("upstream_key")))
     return whole

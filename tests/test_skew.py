@@ -150,7 +150,7 @@ def test_inventory_answers(spark, rows):
     assert rows(inventory.get_cluster(spark.createDataFrame(
         [("c", "n", "v", "t", 1, "R")],
         "cluster_id string, cluster_name string, spark_version string, node_type_id string, num_workers int, state string"),
-        "zz"), "cluster_id", "error") == [(None, "cluster zz not found")]
+        "zz", "sdk"), "cluster_id", "error") == [(None, "cluster zz not found")]
     notebooks = spark.createDataFrame([("/a/n1", None, 1, 1), ("/a/b/n2", "SQL", 1, 1), ("/ab/n3", "R", 1, 1)],
                                       "path string, language string, size long, modified_at long")
     assert rows(inventory.list_notebooks(notebooks, "/a"), "path", "language") == [("/a/n1", "UNKNOWN")]

@@ -72,7 +72,7 @@ on("messages", "a7_session_summary", """SELECT session_id, count(*) FILTER (bloc
     count(*) FILTER (block_type = 'tool_result' AND tool_name LIKE '%analyze_notebook') AS n_analyzed,
     substring(arg_max(text, seq) FILTER (block_type = 'tool_result' AND tool_name LIKE '%validate_bundle' AND text <> ''), 1, 400)
       AS validation_summary FROM messages GROUP BY session_id""", log.session_summary)
-on("messages", "a8_session_text", f"""SELECT session_id, turn_id, CAST(floor(seq / 4096) AS BIGINT) AS chunk_no,
+on("messages", "a8_session_text", f"""SELECT session_id, turn_id, CAST(floor(seq / 256) AS BIGINT) AS chunk_no,
   string_agg(text, '' ORDER BY seq) AS text FROM messages WHERE {REPLY} GROUP BY ALL""", log.session_text)
 on("messages", "a8_t2_turn_rollup", """SELECT session_id, turn_id, count(*) AS n_messages,
     count(*) FILTER (block_type = 'tool_use') AS n_tools, bool_or(msg_type = 'result') AS done,

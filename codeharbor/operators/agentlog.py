@@ -16,7 +16,8 @@ from codeharbor.functions.text import cut, extract_yaml
 from codeharbor.functions.tools import call_label, clean_tool, is_destructive, subagent, tool_groups
 from codeharbor.plans.skew import chunk_of
 
-CHUNK = 4096
+CHUNK = 4096  # messages whose short labels share a list
+TEXT_CHUNK = 256  # messages whose texts share a row
 
 
 def _tool_uses(messages: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def session_summary(messages: DataFrame) -> DataFrame:
     )
 
 
-def session_text(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def session_text(messages: DataFrame, chunk: int = TEXT_CHUNK) -> DataFrame:
     """(session_id, turn_id, chunk_no, text): reply text of every turn, in order."""
     return (
         _assistant_text(messages)

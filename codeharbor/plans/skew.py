@@ -37,7 +37,9 @@ def lookup_join(
     """
     if keys_from is not None:
         hot = F.broadcast(hot_keys(keys_from, key))
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
+        # rows without a key match nothing and are spread as well
+        wide = F.col("_hot") | F.col(key).isNull()
+        salt = F.when(wide, F.pmod(F.xxhash64(*salt_by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
         copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
         salted = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
         spread = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

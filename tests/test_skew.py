@@ -47,6 +47,15 @@ def test_hot_key_is_spread_over_salts(spark, low_bar):
     assert salts.agg(F.max("count")).first()[0] < left.count() / 8
 
 
+def test_rows_without_a_key_are_spread(spark, low_bar):
+    left = spark.range(400).selectExpr("id AS i", "CASE WHEN id < 0 THEN CAST(id AS STRING) END AS k")
+    right = spark.createDataFrame([("a", 1)], "k string, v long")
+    joined = skew.lookup_join(left, right, "k", ["i"], "left", keys_from=left)
+    assert joined.count() == 400 and joined.filter("v IS NULL").count() == 400
+    plan = skew.lookup_join(left, right, "k", ["i"], "left", keys_from=left)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(k" in plan
+
+
 def test_enrich_with_a_hot_customer(spark, rows, low_bar):
     pick = random.Random(1)
     facts = spark.createDataFrame(

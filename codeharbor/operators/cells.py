@@ -6,76 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import any_of, feed_count, guarded, let, unix_lines
+from codeharbor.functions.text import any_of, let, unix_lines
 from codeharbor.operators import extraction, statements
 from codeharbor.operators import imports as imp
 
-# fixed values: one whole separator line; a line that names a magic
-SEPARATOR_LINE = r"(?m)^.*(?:# COMMAND ----------|-- COMMAND ----------).*$"
+# fixed values: a line that names a magic; a line that starts a magic command
 MAGIC_WORD = r"(?m)^# MAGIC %([A-Za-z0-9_]+)"
 MAGIC_LINE = r"^\s*# MAGIC %"
-
-
-def _unmark(cell: Column) -> Column:
-    """Drop the magic mark from the lines that start a magic command."""
-    lines = F.transform(
-        F.split(cell, "\n"),
-        lambda line: F.when(
-            F.rlike(line, F.lit(MAGIC_LINE)), F.replace(line, F.lit(rules.MAGIC_PREFIX), F.lit(""))
-        ).otherwise(line),
-    )
-    return F.when(F.contains(cell, F.lit(rules.MAGIC_PREFIX + "%")), F.array_join(lines, "\n")).otherwise(cell)
+MAGIC_START = rules.MAGIC_PREFIX + "%"
 
 
 def cell_structs(content: Column) -> Column:
     """array of struct(text, language, n_lines, line_start), empty cells dropped.
 
+    Every step is linear in the length of the file, whatever the number of its cells.
+    """
+    lines = F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(unix_lines(content), "\n"))
+    return let(lines, lambda known: let(_cut(known), _with_language))
+
+
+def _cut(lines: Column) -> Column:
+    """Cells between separator lines: array of struct(own lines, word, line_start).
+
     line_start is the line a separator closes minus the cell's length, or for the last cell the
     total of lines minus its length.
     """
-    fenced = F.concat(F.lit("\n"), unix_lines(content), F.lit("\n"))
-    # every piece is fenced by a line feed on each side; one without lines is a single line feed
-    pieces = (
-        F.when(content == "", F.array().cast("array<string>"))
-        .when(any_of(content, rules.CELL_SEPARATORS), F.split(fenced, SEPARATOR_LINE))
-        .otherwise(F.array(fenced))
-    )
-    return let(pieces, _describe)
 
+    def between(cuts: Column) -> Column:
+        ends = F.concat(cuts, F.array(F.size(lines)))
+        spans = F.transform(
+            ends,
+            lambda end, k: F.struct(F.coalesce(F.get(cuts, k - 1) + 1, F.lit(0)).alias("begin"), end.alias("end")),
+        )
+        return F.transform(F.filter(spans, lambda span: span["end"] > span["begin"]), cell)
 
-def _describe(pieces: Column) -> Column:
-    words = F.transform(
-        pieces,
-        lambda p: F.try_element_at(
-            guarded(p, [rules.MAGIC_PREFIX + "%"], F.regexp_extract_all(p, F.lit(MAGIC_WORD), F.lit(1))), F.lit(-1)
-        ),
-    )
-    lengths = F.transform(pieces, lambda p: feed_count(p) - 1)
-    # two running lists, one element per piece: the language in force, the lines up to its end
-    languages = F.aggregate(
-        words,
-        F.array(F.lit("python")),
-        lambda known, word: F.array_append(known, F.coalesce(word, F.element_at(known, -1))),
-    )
-    ends = F.aggregate(
-        lengths, F.array(F.lit(0)), lambda known, n: F.array_append(known, F.element_at(known, -1) + n + 1)
+    def cell(span: Column) -> Column:
+        first_line = span["begin"] + F.when(span["end"] == F.size(lines), 0).otherwise(1)
+        own = F.slice(lines, span["begin"] + 1, span["end"] - span["begin"])
+        return F.struct(own.alias("own"), _last_magic(own).alias("word"), first_line.cast("long").alias("line_start"))
+
+    is_cut = F.transform(lines, lambda line, i: F.when(any_of(line, rules.CELL_SEPARATORS), i))
+    return let(F.filter(is_cut, lambda i: i.isNotNull()), between)
+
+
+def _last_magic(lines: Column) -> Column:
+    """The language the last magic line names, NULL when there is none."""
+    named = F.filter(lines, lambda line: F.startswith(line, F.lit(MAGIC_START)) & F.rlike(line, F.lit(MAGIC_WORD)))
+    return F.regexp_extract(F.try_element_at(named, F.lit(-1)), MAGIC_WORD, 1)
+
+
+def _with_language(cells_: Column) -> Column:
+    """Carry the language forward: each naming cell's word holds up to the next naming cell."""
+    named = F.filter(
+        F.transform(cells_, lambda c, i: F.struct(c["word"].alias("word"), i.alias("at"))),
+        lambda n: n["word"].isNotNull(),
     )
-    zipped = F.arrays_zip(
-        pieces.alias("piece"),
-        lengths.alias("n_lines"),
-        F.slice(languages, F.lit(2), F.size(pieces)).alias("language"),
-        F.slice(ends, F.lit(1), F.size(pieces)).alias("before"),
+    start = F.array(F.struct(F.lit("python").alias("word"), F.lit(0).alias("at")))
+
+    def spread(known: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                known,
+                lambda n, k: F.array_repeat(
+                    n["word"], F.coalesce(F.get(known, k + 1)["at"], F.size(cells_)) - n["at"]
+                ),
+            )
+        )
+
+    return F.zip_with(
+        cells_,
+        let(F.concat(start, named), spread),
+        lambda c, language: F.struct(
+            _unmark(c["own"]).alias("text"),
+            language.alias("language"),
+            F.size(c["own"]).cast("long").alias("n_lines"),
+            c["line_start"].alias("line_start"),
+        ),
     )
-    described = F.transform(
-        zipped,
-        lambda c, i: F.struct(
-            _unmark(F.substring(c["piece"], F.lit(2), F.char_length(c["piece"]) - 2)).alias("text"),
-            c["language"].alias("language"),
-            c["n_lines"].cast("long").alias("n_lines"),
-            (c["before"] + F.when(i + 1 == F.size(pieces), 0).otherwise(1)).cast("long").alias("line_start"),
+
+
+def _unmark(lines: Column) -> Column:
+    """The cell's text, without the magic mark on lines that start a magic command."""
+    return F.array_join(
+        F.transform(
+            lines,
+            lambda line: F.when(
+                F.contains(line, F.lit(MAGIC_START)) & F.rlike(line, F.lit(MAGIC_LINE)),
+                F.replace(line, F.lit(rules.MAGIC_PREFIX), F.lit("")),
+            ).otherwise(line),
         ),
+        "\n",
     )
-    return F.filter(described, lambda c: c["n_lines"] > 0)
 
 
 def cells(files: DataFrame) -> DataFrame:

@@ -164,6 +164,13 @@ def test_cells_of_random_notebooks(spark):
         assert got.get(f"/f{i}.py", []) == plain_cells(text), repr(text)
 
 
+def test_a_notebook_of_very_many_cells(spark):
+    text = "\n".join(f"# MAGIC %sql\nx{i}\n# COMMAND ----------" if i % 3 else f"y{i}\n# COMMAND ----------" for i in range(40_000))
+    row = cells.cells(files_of(spark, text)).agg(F.count("*").alias("n"), F.max("line_start").alias("last"),
+                                                F.count_if(F.col("language") == "sql").alias("sql")).first()
+    assert (row.n, row.sql) == (40_000, 39_999) and row.last == len(text.splitlines()) - 1
+
+
 def test_mixed_analysis_merges_cells(spark, rows):
     text = ("import os\nspark.table('a.b')\n# COMMAND ----------\n# MAGIC %sql\nselect 1 from a.b;\ncreate table if not exists c.d (x int)\n"
             "# COMMAND ----------\n# MAGIC %python\nimport os\nspark.table('a.b')\n")

@@ -64,17 +64,26 @@ def notebook_callees(content: Column) -> Column:
     return guarded(content, ["dbutils.notebook.run"], find_all(content, rules.NOTEBOOK_CALL))
 
 
-# The dotted-name feature spelled so that a run of letters is tried once, from its first letter:
+# The dotted-name feature, spelled so that a run of letters is tried once, from its first letter:
 # a try from inside the run fails the same way, and no shorter run can be followed by the dot.
-LINEAR_FEATURES = {"unity_catalog": r"(?<![a-zA-Z_])([a-zA-Z_]++)\.[a-zA-Z_]++\.[a-zA-Z_]++"}
+DOTTED_NAME = r"(?<![a-zA-Z_])([a-zA-Z_]++)\.[a-zA-Z_]++\.[a-zA-Z_]++"
+DOTTED_LINE = r"\.[a-zA-Z_]++\.[a-zA-Z_]"
+
+
+def dotted_names(content: Column) -> Column:
+    """First parts of three-part names. A name lies within a line, so only lines with two dots
+    around a word are searched; finding those starts at a rare character and is cheap."""
+    lines = F.filter(F.split(content, "\n"), lambda line: F.rlike(line, F.lit(DOTTED_LINE)))
+    return find_all(F.array_join(lines, "\n"), DOTTED_NAME)
 
 
 def feature_values(content: Column, lower: Column, feature: str) -> Column:
     """First matches of one feature; each match is the array of its groups."""
     pattern, groups = rules.FEATURES[feature]
-    flagged = LINEAR_FEATURES.get(feature, f"(?im){pattern}")
+    flagged = f"(?im){pattern}"
     if groups < 2:
-        found = first_n(find_all(content, flagged, groups), rules.FEATURE_LIMIT)
+        matches = dotted_names(content) if feature == "unity_catalog" else find_all(content, flagged, groups)
+        found = first_n(matches, rules.FEATURE_LIMIT)
         values = F.transform(found, lambda v: F.array(v))
     else:
         parts = [first_n(find_all(content, flagged, g), rules.FEATURE_LIMIT) for g in range(1, groups + 1)]

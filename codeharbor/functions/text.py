@@ -35,6 +35,31 @@ def find_distinct(text: Column, pattern: str, group: int = 1) -> Column:
     return F.array_distinct(find_all(text, pattern, group))
 
 
+def tally(values: Column) -> Column:
+    """array of struct(value, n): distinct elements with how often each occurs.
+
+    Counting inside the row needs no shuffle; sorting first keeps it linear after the sort.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(ordered, lambda v, i: F.when((i == 0) | (v != F.get(ordered, i - 1)), i)),
+            lambda i: i.isNotNull(),
+        )
+        return let(
+            starts,
+            lambda known: F.transform(
+                known,
+                lambda at, k: F.struct(
+                    F.get(ordered, at).alias("value"),
+                    (F.coalesce(F.get(known, k + 1), F.size(ordered)) - at).cast("long").alias("n"),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(values), runs)
+
+
 def guarded(text: Column, needles: Iterable[str], values: Column, kind: str = "array<string>") -> Column:
     """`values`, a list that can only be non-empty when `text` holds one of the needles.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import any_of, let, unix_lines
+from codeharbor.functions.text import any_of, let, tally, unix_lines
 from codeharbor.operators import extraction, statements
 from codeharbor.operators import imports as imp
 
@@ -145,16 +145,16 @@ def cell_findings(cell: Column, modules: Column) -> Column:
 
 def mixed_analysis(files: DataFrame) -> DataFrame:
     """(path, kind, value, n): merged per-cell findings; n counts how often the merged list holds
-    the value. Languages are distinct, so their n is 1.
-
-    Work happens on cell rows in place; only (path, kind, value) rows shuffle, after a map-side
-    count.
+    the value. Languages are distinct, so their n is 1. All of it happens inside the file's row.
     """
-    rows = files.select("path", F.explode(cell_structs(F.col("content"))).alias("cell"))
-    code = F.when(F.col("cell.language") == "python", F.array("cell.text")).otherwise(F.array().cast("array<string>"))
+    rows = files.select("path", cell_structs(F.col("content")).alias("cells"))
+    code = F.transform("cells", lambda c: F.when(c["language"] == "python", c["text"]).otherwise(""))
     found = imp.with_symbols(rows, code)
-    modules = imp.module_list(F.col("units"), F.col("symbols"))
-    language = F.array(F.struct(F.lit("languages_used").alias("kind"), F.col("cell.language").alias("value")))
-    findings = F.concat(language, cell_findings(F.col("cell"), modules))
-    counted = found.select("path", F.inline(findings)).groupBy("path", "kind", "value").agg(F.count("*").alias("n"))
-    return counted.withColumn("n", F.when(F.col("kind") == "languages_used", F.lit(1)).otherwise(F.col("n")).cast("long"))
+    modules = F.zip_with("units", "symbols", imp.unit_modules)
+    findings = F.flatten(F.zip_with("cells", modules, cell_findings))
+    languages = F.transform(
+        F.array_distinct(F.transform("cells", lambda c: c["language"])),
+        lambda name: F.struct(F.lit("languages_used").alias("kind"), name.alias("value")),
+    )
+    counted = found.select("path", F.inline(tally(F.concat(languages, findings))).alias("found", "n"))
+    return counted.select("path", "found.kind", "found.value", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
 from codeharbor.functions.symbols import py_symbols
-from codeharbor.functions.text import find_all
+from codeharbor.functions.text import find_all, tally
 
 
 def base_module(module: Column) -> Column:
@@ -67,15 +67,14 @@ def with_symbols(files: DataFrame, units: Column | None = None) -> DataFrame:
     return files.withColumn("units", units).withColumn("symbols", py_symbols("units"))
 
 
+def unit_modules(unit: Column, symbols: Column) -> Column:
+    """Modules of one unit: distinct when it parses, as found by pattern when not."""
+    return F.when(symbols["parsed"], tree_modules(symbols["modules"])).otherwise(regex_modules(unit))
+
+
 def module_list(units: Column, symbols: Column) -> Column:
-    """Modules of all units, in unit order; distinct within a unit that parses."""
-    return F.flatten(
-        F.zip_with(
-            units,
-            symbols,
-            lambda unit, s: F.when(s["parsed"], tree_modules(s["modules"])).otherwise(regex_modules(unit)),
-        )
-    )
+    """Modules of all units, in unit order."""
+    return F.flatten(F.zip_with(units, symbols, unit_modules))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -84,9 +83,9 @@ def imports(files: DataFrame) -> DataFrame:
     rows = found.select(
         "path",
         F.get("symbols", 0)["parsed"].alias("parsed"),
-        F.explode(module_list(F.col("units"), F.col("symbols"))).alias("module"),
+        F.inline(tally(module_list(F.col("units"), F.col("symbols")))).alias("module", "n"),
     )
-    return categorize(rows).groupBy("path", "parsed", "category", "module").agg(F.count("*").alias("n"))
+    return categorize(rows).select("path", "parsed", "category", "module", "n")
 
 
 def definition_list(symbols: Column) -> Column:

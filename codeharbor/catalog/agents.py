@@ -49,7 +49,7 @@ on("messages", "j6_calls_by_category", """SELECT tool_group, count(*) AS n_calls
   GROUP BY ALL""", log.calls_by_category, CALLS, f"registry(tool_group, tool) AS (VALUES {REGISTRY})")
 on("messages", "w7_tool_names", "SELECT DISTINCT tool FROM calls ORDER BY tool", log.tool_names, CALLS)
 on("messages", "f2_clean_tool", "SELECT session_id, seq, tool FROM calls",
-   lambda m: log._calls(m), CALLS)
+   lambda m: log.calls(m), CALLS)
 on("messages", "f3_subagent", f"""SELECT session_id, seq, {SUBAGENT} AS subagent_type,
   coalesce(json_extract_string(tool_input, '$.description'), '') AS description FROM calls WHERE tool_name = 'Task'""",
    log.subagent_calls, CALLS)

@@ -15,15 +15,6 @@ QUERIES = {}
 ORACLE = {}
 
 
-def query(name, sql=None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return register
-
-
 def on_files(name, sql, fn, *ctes):
     QUERIES[name] = lambda spark, sf_dir: fn(code_corpus(spark, sf_dir))
     if sql is not None:

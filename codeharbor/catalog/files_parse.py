@@ -122,8 +122,8 @@ on_files("l12_symbols", """SELECT path, kind, replace(replace(name, '{src}', sou
 
 # ---- statements -----------------------------------------------------------------------------------
 
-DUCK_BODY = statements._BODY.replace("++", "+").replace(r"\# ", "# ")
-DUCK_CLOSE = statements._CLOSE.replace("*+", "*").replace(r"\# ", "# ")
+DUCK_BODY = statements.BODY.replace("++", "+").replace(r"\# ", "# ")
+DUCK_CLOSE = statements.CLOSE.replace("*+", "*").replace(r"\# ", "# ")
 DUCK_STATEMENT = f"(?s){DUCK_BODY}(?:{DUCK_CLOSE})?|{DUCK_CLOSE}"
 def statement_ctes(source, prefix=""):
     """CTEs <prefix>stmts and <prefix>gated over the rows (path, unit, content) of `source`."""
@@ -164,7 +164,7 @@ on_files("p9_u3_denied_names", f"""SELECT path, stmt_no, count(*) AS n_kept FROM
   WHERE NOT list_contains({text_list(rules.SQL_DENY_WORDS)}, upper(t)) GROUP BY ALL""",
          lambda f: statements.statement_rows(sql_files(f)).select(
              "path", "stmt_no",
-             F.size(statements._names(F.col("statement"), "INTO|TABLE")).cast("long").alias("n_kept"),
+             F.size(statements.names_after(F.col("statement"), "INTO|TABLE")).cast("long").alias("n_kept"),
          ).filter("n_kept > 0"), STATEMENTS)
 on_files("u1_union_refs", """SELECT path, direction, table_name FROM gated
   UNION SELECT path, direction, table_name FROM sql_refs SEMI JOIN stmts USING (path)""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeharbor.catalog import files_extract as fx
-from codeharbor.catalog.views import FILES, NOTEBOOKS, WORKSPACE_CONFIG_CTE, over, text
+from codeharbor.catalog.views import FILES, NOTEBOOKS, WORKSPACE_CONFIG_CTE, over
 from codeharbor.functions import paths, rules
 from codeharbor.functions import text as tx
 from codeharbor.operators import inventory as inv

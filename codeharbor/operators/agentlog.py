@@ -30,28 +30,28 @@ def _assistant_text(messages: DataFrame) -> DataFrame:
 
 def destructive_calls(messages: DataFrame, mode: str = "mcp") -> DataFrame:
     """Calls that need a confirmation."""
-    return _calls(messages).filter(is_destructive(F.col("tool"), mode))
+    return calls(messages).filter(is_destructive(F.col("tool"), mode))
 
 
 def auto_approved_calls(messages: DataFrame, mode: str = "mcp") -> DataFrame:
-    return _calls(messages).filter(~is_destructive(F.col("tool"), mode))
+    return calls(messages).filter(~is_destructive(F.col("tool"), mode))
 
 
-def _calls(messages: DataFrame) -> DataFrame:
+def calls(messages: DataFrame) -> DataFrame:
     return _tool_uses(messages).select("session_id", "seq", clean_tool(F.col("tool_name")).alias("tool"))
 
 
 def calls_by_category(messages: DataFrame) -> DataFrame:
     """(tool_group, n_calls): a call counts once in every group its tool is in."""
     return (
-        _calls(messages).select(F.explode(tool_groups(F.col("tool"))).alias("tool_group"))
+        calls(messages).select(F.explode(tool_groups(F.col("tool"))).alias("tool_group"))
         .groupBy("tool_group").agg(F.count("*").alias("n_calls"))
     )
 
 
 def tool_names(messages: DataFrame) -> DataFrame:
     """Distinct clean tool names, sorted."""
-    return _calls(messages).select("tool").distinct().orderBy("tool")
+    return calls(messages).select("tool").distinct().orderBy("tool")
 
 
 def subagent_calls(messages: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from codeharbor.functions.text import drop_words, find_all, strip
 
 # fixed values: a statement is a body up to ';' plus the blank and comment lines after it.
 # Possessive repeats keep matching iterative, so long texts cannot overflow the stack.
-_BODY = r"""(?:[^;'"`/#-]++|'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|\# [^\n]*|/\*.*?\*/|[^;])++"""
-_CLOSE = r";(?:\s|--[^\n]*|\# [^\n]*)*+"
-STATEMENT = rf"(?s){_BODY}(?:{_CLOSE})?|{_CLOSE}"
+BODY = r"""(?:[^;'"`/#-]++|'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|\# [^\n]*|/\*.*?\*/|[^;])++"""
+CLOSE = r";(?:\s|--[^\n]*|\# [^\n]*)*+"
+STATEMENT = rf"(?s){BODY}(?:{CLOSE})?|{CLOSE}"
 FIRST_WORD = r"(?s)^(?:\s|--[^\n]*+|\# [^\n]*+|/\*.*?\*/)*+(CREATE\s+OR\s+REPLACE|[A-Za-z]+)"
 TYPED_WORDS = [
     "SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "REPLACE",
@@ -51,17 +51,17 @@ def sql_statements(files: DataFrame) -> DataFrame:
     )
 
 
-def _names(statement: Column, keywords: str) -> Column:
+def names_after(statement: Column, keywords: str) -> Column:
     return drop_words(find_all(statement, rules.STATEMENT_REF % keywords), rules.SQL_DENY_WORDS)
 
 
 def _reads(statement: Column, kind: Column) -> Column:
-    names = F.array_union(_names(statement, "FROM"), _names(statement, "JOIN"))
+    names = F.array_union(names_after(statement, "FROM"), names_after(statement, "JOIN"))
     return F.when(kind.isin(READ_TYPES), names).otherwise(F.array().cast("array<string>"))
 
 
 def _writes(statement: Column, kind: Column) -> Column:
-    names = F.array_distinct(_names(statement, "INTO|TABLE"))
+    names = F.array_distinct(names_after(statement, "INTO|TABLE"))
     return F.when(kind.isin(WRITE_TYPES), names).otherwise(F.array().cast("array<string>"))
 
 

@@ -55,7 +55,7 @@ def describe(text: str | None) -> tuple:
 @F.pandas_udf(T.ArrayType(SYMBOLS_TYPE))
 def py_symbols(units: pd.Series) -> pd.Series:
     """Facts of every code unit of a file: the file itself, or its Python cells."""
-    return pd.Series([[describe(text) for text in texts] for texts in units])
+    return pd.Series([[] if texts is None else [describe(text) for text in texts] for texts in units])
 
 
 # Marked so that the optimizer never copies the call into a pushed-down filter and parses twice.

@@ -185,7 +185,8 @@ def task_type(tasks: DataFrame, ruleset: str = "mcp") -> DataFrame:
 
 def notebook_paths(tasks: DataFrame) -> DataFrame:
     """The tasks that run a notebook, with its path as `stem`."""
-    path = F.get_json_object("settings", "$.notebook_task.notebook_path")
+    may_have = F.contains("settings", F.lit("notebook_task"))  # parse only documents that can hold it
+    path = F.when(may_have, F.get_json_object("settings", "$.notebook_task.notebook_path"))
     return tasks.withColumn("stem", path).filter(F.col("stem").isNotNull())
 
 

@@ -37,7 +37,7 @@ def _by_type(python: Column, sql: Column | None, per_cell) -> Column:
     chosen = F.when(kind.isin(PYTHON_TYPES), python).when(kind == "mixed_notebook", merged)
     if sql is not None:
         chosen = chosen.when(kind.isin(SQL_TYPES), sql)
-    return chosen.otherwise(_none())
+    return F.coalesce(chosen, _none())
 
 
 def _cell_list(python, sql=None):

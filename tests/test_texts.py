@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeharbor.functions import paths
 from codeharbor.functions import text as tx
 from codeharbor.operators import cells, classify, extraction, imports, statements
+from codeharbor.plans import analysis
 
 
 def files_of(spark, *texts, extension=".py"):
@@ -237,6 +238,29 @@ def test_path_resolution(spark):
         "/u/a/b/x", "/u/a/y/z", "/u/a/b/w", "/abs/q", "/r"]
 
 
+def test_tally(spark):
+    from collections import Counter
+
+    pick = random.Random(2)
+    lists = [[pick.choice("abcde") for _ in range(pick.randint(0, 30))] for _ in range(50)]
+    got = apply(spark, lists, tx.tally, "array<string>")
+    assert [{r.value: r.n for r in row} for row in got] == [dict(Counter(values)) for values in lists]
+    pairs = [[("x", "1"), ("x", "2"), ("x", "1")]]
+    got = apply(spark, pairs, tx.tally, "array<struct<k:string,v:string>>")[0]
+    assert [(tuple(r.value), r.n) for r in got] == [(("x", "1"), 2), (("x", "2"), 1)]
+
+
+def test_null_and_empty_texts_give_no_rows(spark):
+    files = spark.createDataFrame([("/a.py", None), ("/b.py", "")], "path string, content string")
+    for found in (extraction.table_refs(files), extraction.sql_table_refs(files), extraction.features(files),
+                  extraction.params(files), extraction.notebook_calls(files), cells.cells(files),
+                  statements.sql_statements(files), imports.imports(files), imports.symbols(files),
+                  cells.mixed_analysis(files)):
+        assert found.count() == 0
+    for row in analysis.summary(analysis.analyze(files)).collect():
+        assert (row.total_data_sources, row.total_dependencies, row.uses_unity_catalog) == (0, 0, False)
+
+
 def test_text_functions(spark):
     assert apply(spark, ["", "a", "a\n", "a\nb", "a\r\nb\r\n", "\n\n", "a\x0cb\x85c"], tx.line_count) == [
         len(t.splitlines()) for t in ["", "a", "a\n", "a\nb", "a\r\nb\r\n", "\n\n", "a\x0cb\x85c"]]

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeharbor.llm import decontaminate, simhash, toxicity, url_filter
+from codeharbor.llm import decontaminate, licenses, packing, pii, simhash, toxicity, url_filter
 from codeharbor.llm.common import load
 
 
+SECRET = "surrogates-of-this-corpus"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(load(spark, sf_dir, "documents")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -20,10 +27,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"), SECRET)
+    return made.withColumnRenamed("_n_entities", "n_entities")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.listed(pages, url_filter.LISTED_SITES), url_filter.RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontamination, op5_toxicity, op8_url_filter)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(load(spark, sf_dir, "documents"), packing.vocabulary_text())
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_simhash, op4_decontamination, op5_toxicity, op6_pii_surrogates, op8_url_filter, op10_packing,
+)}
 ORACLE: dict[str, str] = {}

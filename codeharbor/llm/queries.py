@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeharbor.llm import decontaminate, licenses, packing, pii, simhash, toxicity, url_filter
+from codeharbor.llm import decontaminate, licenses, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 from codeharbor.llm.common import load
 
 
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash, op4_decontamination, op5_toxicity, op6_pii_surrogates, op8_url_filter, op10_packing,
+    op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op8_url_filter, op10_packing,
 )}
 ORACLE: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeharbor.llm import decontaminate, licenses, packing, pii, simhash, suffix_dedup, toxicity, url_filter
+from codeharbor.llm import ann, decontaminate, licenses, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 from codeharbor.llm.common import load
 
 
@@ -36,6 +36,10 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("_n_entities", "n_entities")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(load(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.listed(pages, url_filter.LISTED_SITES), url_filter.RULES)
@@ -46,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op8_url_filter, op10_packing,
+    op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op7_nearest_neighbours, op8_url_filter, op10_packing,
 )}
 ORACLE: dict[str, str] = {}

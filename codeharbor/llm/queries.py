@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeharbor.llm import ann, decontaminate, licenses, packing, pii, simhash, suffix_dedup, toxicity, url_filter
+from codeharbor.llm import ann, decontaminate, licenses, lm_mixing, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 from codeharbor.llm.common import load
 
 
@@ -45,11 +45,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listed(pages, url_filter.LISTED_SITES), url_filter.RULES)
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(load(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(load(spark, sf_dir, "documents"), packing.vocabulary_text())
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op7_nearest_neighbours, op8_url_filter, op10_packing,
+    op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op7_nearest_neighbours, op8_url_filter, op9_context_mixing, op10_packing,
 )}
 ORACLE: dict[str, str] = {}

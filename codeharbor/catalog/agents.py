@@ -65,15 +65,12 @@ on("messages", "l22_keyword_hits", f"""SELECT session_id, word,
     row_number() OVER (PARTITION BY session_id ORDER BY min(seq), place) AS rank
   FROM messages JOIN words ON contains(text, word) WHERE {REPLY} GROUP BY session_id, word, place""",
    lambda m: log.keyword_hits(m, rules.LANGUAGE_WORDS), f"words(place, word) AS (VALUES {WORDS})")
-on("messages", "a7_session_tools", """SELECT session_id, CAST(floor(seq / 4096) AS BIGINT) AS chunk_no,
-  string_agg(label, '|' ORDER BY seq) AS tools, count(*) AS n_tools FROM calls GROUP BY ALL""",
-   lambda m: log.session_tools(m).withColumn("tools", joined("tools")), CALLS)
+on("messages", "a7_session_tools", "SELECT session_id, turn_id, seq, label FROM calls", log.session_tools, CALLS)
 on("messages", "a7_session_summary", """SELECT session_id, count(*) FILTER (block_type = 'tool_use') AS n_tools,
     count(*) FILTER (block_type = 'tool_result' AND tool_name LIKE '%analyze_notebook') AS n_analyzed,
     substring(arg_max(text, seq) FILTER (block_type = 'tool_result' AND tool_name LIKE '%validate_bundle' AND text <> ''), 1, 400)
       AS validation_summary FROM messages GROUP BY session_id""", log.session_summary)
-on("messages", "a8_session_text", f"""SELECT session_id, turn_id, CAST(floor(seq / 256) AS BIGINT) AS chunk_no,
-  string_agg(text, '' ORDER BY seq) AS text FROM messages WHERE {REPLY} GROUP BY ALL""", log.session_text)
+on("messages", "a8_session_text", f"SELECT session_id, turn_id, seq, text FROM messages WHERE {REPLY}", log.session_text)
 on("messages", "a8_t2_turn_rollup", """SELECT session_id, turn_id, count(*) AS n_messages,
     count(*) FILTER (block_type = 'tool_use') AS n_tools, bool_or(msg_type = 'result') AS done,
     arg_max(cost, seq) FILTER (cost IS NOT NULL) AS last_cost,
@@ -119,12 +116,12 @@ def stamped(frame, *columns):
 
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
-on("tool_calls", "t3_session_gaps", f"""SELECT session_id, strftime(min(ts), {STAMP}) AS session_start,
+GAPS = f"""SELECT session_id, strftime(min(ts), {STAMP}) AS session_start,
     strftime(max(ts) + INTERVAL 30 MINUTE, {STAMP}) AS session_end, count(*) AS n_calls FROM (
     SELECT *, sum(is_new) OVER (PARTITION BY session_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, call_id) < INTERVAL 30 MINUTE
-        THEN 0 ELSE 1 END AS is_new FROM tool_calls)) GROUP BY session_id, run""",
-   lambda c: stamped(log.session_gaps(c), "session_start", "session_end"))
+        THEN 0 ELSE 1 END AS is_new FROM tool_calls)) GROUP BY session_id, run"""
+on("tool_calls", "t3_session_gaps", GAPS, lambda c: stamped(log.session_gaps(c), "session_start", "session_end"))
 on("tool_calls", "t4_calls_per_minute", f"""SELECT tool_name, strftime(date_trunc('minute', ts), {STAMP}) AS window_start,
   count(*) AS n_calls FROM tool_calls GROUP BY ALL""", lambda c: stamped(log.calls_per_window(c), "window_start"))
 LIMIT = " ".join(f"WHEN {text(t)} THEN {n}" for t, n in rules.RATE_LIMITS.items())

@@ -131,10 +131,10 @@ STEM = r"regexp_replace(path, '([^/])\.[^./]+$', '\1')"
 
 
 def _job_analysis(spark, sf_dir):
-    analysis = code_corpus(spark, sf_dir).select(
-        paths.without_extension(F.col("path")).alias("stem"),
+    analysis = lineage.one_per_stem(code_corpus(spark, sf_dir).select(
+        paths.without_extension(F.col("path")).alias("stem"), "path",
         quick_workflow(F.col("content"), "sdk").alias("workflow_type"),
-    )
+    )).drop("path")
     return inv.job_analysis(asset(spark, sf_dir, "jobs"), asset(spark, sf_dir, "tasks"), analysis)
 
 

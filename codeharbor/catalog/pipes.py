@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codeharbor.catalog import files_extract as fx
-from codeharbor.catalog.agents import CONFIGS, ORACLE as AGENT_ORACLE
+from codeharbor.catalog.agents import GAPS, ORACLE as AGENT_ORACLE, STAMP, stamped
 from codeharbor.catalog.views import over, over_files
+from codeharbor.functions import rules
 from codeharbor.operators import evaluation as ev
 from codeharbor.session import checkpoint_dir
 from codeharbor.sources import files as src
@@ -38,8 +40,14 @@ def _written_bundles(spark, sf_dir):
             F.lower("c_mktsegment").alias("bundle_name")), "path"
     ).select("bundle_name", F.lit(1).cast("long").alias("section"), F.col("path").alias("sort_key"),
              F.col("content").alias("text"))
+    readme = sinks.readme_blocks(blocks.select("bundle_name").distinct())
+    blocks = blocks.withColumn("file", F.lit(rules.CONFIG_FILE)).unionByName(readme)
     sinks.write_bundles(blocks, out)
-    return out
+    try:
+        sinks.write_bundles(blocks, out)
+    except AnalysisException:  # the guard: what is there stays unless overwriting is asked for
+        return out
+    raise AssertionError("an existing target was overwritten")
 
 
 def _bundle_lines(spark, sf_dir):
@@ -48,7 +56,7 @@ def _bundle_lines(spark, sf_dir):
 
 
 def _read_back(spark, sf_dir):
-    rows = src.read_files(spark, _written_bundles(spark, sf_dir), "*.txt")
+    rows = src.read_files(spark, _written_bundles(spark, sf_dir), "*.txt").filter("path NOT LIKE '%README%'")
     return rows.groupBy(F.regexp_extract("path", "bundle_name=([^/]*)", 1).alias("bundle_name")).agg(
         F.sum(F.char_length("content")).alias("n_chars"), F.sum("n_bytes").alias("n_bytes"))
 
@@ -58,7 +66,8 @@ SEGMENTS = """(SELECT lower(c_mktsegment) AS bundle_name, content FROM configs
 QUERIES["s7_s8_write_bundles"] = _bundle_lines
 ORACLE["s7_s8_write_bundles"] = over(f"""SELECT bundle_name, 'databricks.yml' AS file,
     CAST(sum(len(string_split(regexp_replace(content, '\\n$', ''), chr(10)))) AS BIGINT) AS n_lines
-  FROM {SEGMENTS} GROUP BY ALL""", "configs")
+  FROM {SEGMENTS} GROUP BY ALL
+  UNION ALL SELECT DISTINCT bundle_name, 'README.md', 6 FROM {SEGMENTS}""", "configs")
 QUERIES["s1_read_files"] = _read_back
 ORACLE["s1_read_files"] = over(f"""SELECT bundle_name, CAST(sum(len(content)) AS BIGINT) AS n_chars,
     CAST(sum(strlen(content)) AS BIGINT) AS n_bytes FROM {SEGMENTS} GROUP BY ALL""", "configs")
@@ -130,11 +139,14 @@ ORACLE["s10_read_qa"] = over("""SELECT question, trim(expected) AS expected, too
 def _results(spark, sf_dir):
     out, qa = scratch(spark, "results"), asset(spark, sf_dir, "qa")
     sinks.write_results(ev.accuracy(qa), ev.scored(qa).select("question", "expected", "correct"), out)
-    return spark.read.schema("question string, expected string, correct boolean").json(f"{out}/questions")
+    told = spark.read.schema("question string, expected string, correct boolean").json(f"{out}/questions")
+    total = spark.read.schema("total long, correct long").json(f"{out}/summary")
+    return told.unionByName(total.selectExpr("'summary' AS question", "cast(total AS string) || ' ' || cast(correct AS string) AS expected", "cast(NULL AS boolean) AS correct"))
 
 
 QUERIES["s11_write_results"] = _results
-ORACLE["s11_write_results"] = over("SELECT question, expected, correct FROM scored", "qa",
+ORACLE["s11_write_results"] = over("""SELECT question, expected, correct FROM scored
+  UNION ALL SELECT 'summary', count(*) || ' ' || count(*) FILTER (correct), NULL FROM scored""", "qa",
                                    AGENT_ORACLE["c13_check_answer"].split("qa AS MATERIALIZED", 1)[1].split("),\n", 1)[1]
                                    .rsplit("\n", 1)[0])
 
@@ -152,21 +164,58 @@ QUERIES["t1_table_refs_stream"] = _refs_stream
 ORACLE["t1_table_refs_stream"] = fx.ORACLE["l1_l2_l3_table_refs"]
 
 
+def _analyze_stream(spark, sf_dir):
+    """The whole analysis of each new file, of which the query tells what its oracle can know."""
+    docs = streams.table_stream(spark, sf_dir, "documents.parquet", load(spark, sf_dir, "documents").schema)
+    out, state = scratch(spark, "analysis"), scratch(spark, "analysis-state")
+    streams.append_stream(streams.analyze_stream(corpus_from(docs)), out, state).awaitTermination()
+    return spark.read.parquet(out).select("path", "file_type")
+
+
+QUERIES["t1_analyze_stream"] = _analyze_stream
+ORACLE["t1_analyze_stream"] = fx.ORACLE["p4_file_type"]
+
+
 def _turns_stream(spark, sf_dir):
-    events = streams.table_stream(spark, sf_dir, "events.parquet", load(spark, sf_dir, "events").schema)
-    uses, results = [events.selectExpr(*expressions, "CAST(ts AS TIMESTAMP) AS ts")
-                     for base, expressions, _ in VIEWS["messages"] if base == "events"]
-    table, state = scratch(spark, "turns"), scratch(spark, "turns-state")
-    turns = streams.turns_stream(uses.unionByName(results))
-    streams.upsert_stream(turns, table, ["session_id", "turn_id"], ["n_messages"], state, 8, "update").awaitTermination()
-    return sinks.read_table(spark, table)
+    """Both parts of the messages, in a stream each, into one table of partial totals."""
+    table = scratch(spark, "turns")
+    for base in ("conversations", "events"):
+        rows = streams.table_stream(spark, sf_dir, f"{base}.parquet", load(spark, sf_dir, base).schema)
+        parts = [rows.selectExpr(*expressions) for b, expressions, _ in VIEWS["messages"] if b == base]
+        for part in parts:
+            streams.turns_stream(part, table, scratch(spark, "turns-state")).awaitTermination()
+    return streams.read_turns(spark, table)
 
 
 QUERIES["t2_turns_stream"] = _turns_stream
-ORACLE["t2_turns_stream"] = over("""SELECT session_id, turn_id, count(*) AS n_messages,
-    count(*) FILTER (block_type = 'tool_use') AS n_tools, bool_or(msg_type = 'result') AS done,
-    arg_max(cost, seq) FILTER (cost IS NOT NULL) AS last_cost, CAST(NULL AS VARCHAR) AS last_config
-  FROM configs_said WHERE starts_with(session_id, 'user-') GROUP BY ALL""", "messages", CONFIGS)
+ORACLE["t2_turns_stream"] = AGENT_ORACLE["a8_t2_turn_rollup"]
+
+
+def _calls_stream(spark, sf_dir):
+    rows = streams.table_stream(spark, sf_dir, "events.parquet", load(spark, sf_dir, "events").schema)
+    base, expressions, where = VIEWS["tool_calls"][0]
+    return (rows.filter(where) if where else rows).selectExpr(*expressions).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _closed(make, *columns):
+    """What an append-mode stream tells: windows that the watermark has passed."""
+    def run(spark, sf_dir):
+        out, state = scratch(spark, "closed"), scratch(spark, "closed-state")
+        streams.append_stream(make(_calls_stream(spark, sf_dir)), out, state).awaitTermination()
+        return stamped(spark.read.parquet(out), *columns)
+    return run
+
+
+WATERMARK = f"strftime((SELECT max(ts) FROM tool_calls) - INTERVAL 10 MINUTE, {STAMP})"
+QUERIES["t3_session_gaps_stream"] = _closed(streams.session_gaps_stream, "session_start", "session_end")
+ORACLE["t3_session_gaps_stream"] = over(
+    "SELECT * FROM gaps WHERE session_end <= " + WATERMARK, "tool_calls",
+    "gaps AS (" + GAPS + ")")
+QUERIES["t4_rate_breaches_stream"] = _closed(
+    lambda calls: streams.rate_breaches_stream(calls, F.lit(0).cast("long")).drop("limit"), "window_start")
+ORACLE["t4_rate_breaches_stream"] = over(f"""SELECT tool_name, strftime(date_trunc('minute', ts), {STAMP}) AS window_start,
+    count(*) AS n_calls FROM tool_calls GROUP BY ALL
+  HAVING strftime(date_trunc('minute', ts) + INTERVAL 1 MINUTE, {STAMP}) <= {WATERMARK}""", "tool_calls")
 
 
 def _latest_stream(spark, sf_dir):
@@ -174,7 +223,7 @@ def _latest_stream(spark, sf_dir):
     versions = events.selectExpr(
         "'/u' || user_id || '/' || event_type AS path", "event_id AS version", "md5(props) AS digest")
     table, state = scratch(spark, "latest"), scratch(spark, "latest-state")
-    streams.upsert_stream(versions, table, ["path"], ["version"], state, 8).awaitTermination()
+    streams.upsert_stream(versions, table, ["path"], ["version"], state).awaitTermination()
     return sinks.read_table(spark, table)
 
 

@@ -28,7 +28,8 @@ def job_id(source: Column) -> Column:
 
 def bundle_name(source: Column, kind: Column) -> Column:
     """'job-<id>-bundle', or the stem of the last path part in kebab case, or 'bundle'."""
-    last = F.regexp_extract(F.regexp_replace(source, r"/+\z", ""), r"[^/]*\z", 0)
+    whole = F.regexp_replace(source, r"(?:/+\.?)*\z", "")  # closing slashes and parts that are one dot are no names
+    last = F.regexp_extract(whole, r"[^/]*\z", 0)
     stem = F.regexp_replace(last, r"([^.])\.[^.]+\z", "$1")
     kebab = F.regexp_replace(F.lower(stem), r"[_\s]+", "-")
     kebab = F.regexp_replace(kebab, "[^a-z0-9-]", "")

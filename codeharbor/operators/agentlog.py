@@ -1,9 +1,8 @@
 """Roll-ups of agent message logs: messages(session_id, turn_id, seq, msg_type, block_type,
 tool_name, tool_input, text, cost).
 
-`seq` is a whole number, unique within a session. Ordered lists are built per chunk of
-consecutive `seq` values, so a session of any length stays a set of bounded rows; the chunks in
-order are the whole list.
+`seq` is a whole number, unique within a session. What the reader of a session sees in order is
+given as rows with their `seq`, not as lists, so a session of any length is a set of short rows.
 """
 
 from __future__ import annotations
@@ -14,10 +13,6 @@ from pyspark.sql import functions as F
 from codeharbor.functions import rules
 from codeharbor.functions.text import cut, extract_yaml
 from codeharbor.functions.tools import call_label, clean_tool, is_destructive, subagent, tool_groups
-from codeharbor.plans.skew import chunk_of
-
-CHUNK = 4096  # messages whose short labels share a list
-TEXT_CHUNK = 256  # messages whose texts share a row
 
 
 def _tool_uses(messages: DataFrame) -> DataFrame:
@@ -97,19 +92,9 @@ def keyword_hits(messages: DataFrame, words: list[str]) -> DataFrame:
     return first.select("session_id", "word", F.row_number().over(order).cast("long").alias("rank"))
 
 
-def _ordered(value: Column) -> Column:
-    """Values of a chunk in `seq` order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("seq", value.alias("v")))), lambda p: p["v"])
-
-
-def session_tools(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(session_id, chunk_no, tools, n_tools): call labels in order."""
-    label = call_label(F.col("tool_name"), F.col("tool_input"))
-    return (
-        _tool_uses(messages).withColumn("label", label)
-        .groupBy("session_id", chunk_of("seq", chunk).alias("chunk_no"))
-        .agg(_ordered(F.col("label")).alias("tools"), F.count("*").alias("n_tools"))
-    )
+def session_tools(messages: DataFrame) -> DataFrame:
+    """(session_id, turn_id, seq, label): the calls of every session, in the order of seq."""
+    return _tool_uses(messages).select("session_id", "turn_id", "seq", call_label(F.col("tool_name"), F.col("tool_input")).alias("label"))
 
 
 def session_summary(messages: DataFrame) -> DataFrame:
@@ -123,32 +108,36 @@ def session_summary(messages: DataFrame) -> DataFrame:
     )
 
 
-def session_text(messages: DataFrame, chunk: int = TEXT_CHUNK) -> DataFrame:
-    """(session_id, turn_id, chunk_no, text): reply text of every turn, in order."""
-    return (
-        _assistant_text(messages)
-        .groupBy("session_id", "turn_id", chunk_of("seq", chunk).alias("chunk_no"))
-        .agg(F.array_join(_ordered(F.col("text")), "").alias("text"))
-    )
+def session_text(messages: DataFrame) -> DataFrame:
+    """(session_id, turn_id, seq, text): the reply texts of every turn, in the order of seq."""
+    return _assistant_text(messages).select("session_id", "turn_id", "seq", "text")
 
 
-def turn_rollup(messages: DataFrame) -> DataFrame:
-    """One row per turn: counts, cost, last config, and whether its result message has come.
-
-    Only mergeable aggregates, so the same code runs on a batch and as a streaming aggregation,
-    and messages may come in any order.
-    """
+def turn_partials(messages: DataFrame) -> DataFrame:
+    """Totals per turn of a part of the messages, in a form that merges: see `merge_turns`."""
     config = F.when((F.col("msg_type") == "assistant") & (F.col("block_type") == "text"), extract_yaml(F.col("text")))
-    with_config = messages.withColumn("_config", config)
-    return with_config.groupBy("session_id", "turn_id").agg(
+    cost, said = (F.when(v.isNotNull(), F.struct("seq", v.alias("value"))) for v in (F.col("cost"), config))
+    return messages.withColumn("_cost", cost).withColumn("_config", said).groupBy("session_id", "turn_id").agg(
         F.count("*").alias("n_messages"),
         F.count_if(F.col("block_type") == "tool_use").alias("n_tools"),
         F.bool_or(F.col("msg_type") == "result").alias("done"),
-        F.max_by("cost", F.when(F.col("cost").isNotNull(), F.col("seq"))).alias("last_cost"),
-        F.max_by("_config", F.when(F.col("_config").isNotNull(), F.col("seq"))).alias("last_config"),
+        F.max("_cost").alias("cost"), F.max("_config").alias("config"),
     )
 
 
+def merge_turns(partials: DataFrame) -> DataFrame:
+    """One row per turn: counts, last cost, last config, and whether its result message has come."""
+    return partials.groupBy("session_id", "turn_id").agg(
+        F.sum("n_messages").alias("n_messages"), F.sum("n_tools").alias("n_tools"), F.bool_or("done").alias("done"),
+        F.max("cost")["value"].alias("last_cost"), F.max("config")["value"].alias("last_config"),
+    )
+
+
+def turn_rollup(messages: DataFrame) -> DataFrame:
+    """The roll-up of a batch; messages may come in any order."""
+    return merge_turns(turn_partials(messages))
+
+
 def message_types(messages: DataFrame) -> DataFrame:
     """(session_id, message_types): the distinct types, at most the handful that exist."""
     return messages.groupBy("session_id").agg(F.array_sort(F.collect_set("msg_type")).alias("message_types"))
@@ -185,13 +174,21 @@ def test_errors(results: DataFrame) -> DataFrame:
 
 
 def session_gaps(calls: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(session_id, session_start, session_end, n_calls): runs of calls less than `gap` apart."""
-    window = F.session_window("ts", gap)
-    return (
-        calls.groupBy("session_id", window).agg(F.count("*").alias("n_calls"))
-        .select("session_id", F.col("session_window.start").alias("session_start"),
-                F.col("session_window.end").alias("session_end"), "n_calls")
+    """(session_id, session_start, session_end, n_calls): runs of calls less than `gap` apart.
+
+    Calls in one bin of length `gap` are one run, so each task first folds its calls into bins; only
+    bins are put in order, and a session with very many calls has no more of them than others.
+    """
+    length = F.expr(f"INTERVAL {gap}")
+    bins = calls.groupBy("session_id", F.window("ts", gap).alias("_bin")).agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_n")
     )
+    order = Window.partitionBy("session_id").orderBy("_from")
+    fresh = F.coalesce(F.col("_from") >= F.lag("_to").over(order) + length, F.lit(True))
+    runs = bins.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order))
+    return runs.groupBy("session_id", "_run").agg(
+        F.min("_from").alias("session_start"), (F.max("_to") + length).alias("session_end"), F.sum("_n").alias("n_calls")
+    ).drop("_run")
 
 
 def calls_per_window(calls: DataFrame, width: str = "1 minute") -> DataFrame:

@@ -11,7 +11,7 @@ from codeharbor.operators import extraction, statements
 from codeharbor.operators import imports as imp
 
 # fixed values: a line that names a magic; a line that starts a magic command
-MAGIC_WORD = r"(?m)^# MAGIC %([A-Za-z0-9_]+)"
+MAGIC_WORD = r"(?md)^# MAGIC %([A-Za-z0-9_]+)"
 MAGIC_LINE = r"^\s*# MAGIC %"
 MAGIC_START = rules.MAGIC_PREFIX + "%"
 

@@ -11,6 +11,7 @@ from codeharbor.functions.yaml_json import yaml_to_json
 from codeharbor.operators.extraction import library_names
 from codeharbor.operators.classify import quick_workflow
 from codeharbor.operators.inventory import notebook_paths
+from codeharbor.operators.lineage import one_per_stem
 from codeharbor.plans.skew import lookup_join
 
 CONFIG_SCHEMA = """bundle struct<name: string>,
@@ -238,15 +239,17 @@ def advice(validated: DataFrame, ruleset: str = "service") -> DataFrame:
 def bundle_files(bundles: DataFrame, files: DataFrame) -> DataFrame:
     """(bundle_name, stem, workflow_type, libraries, uses_mlflow, uses_streaming, error).
 
-    One row per file of a bundle; a file that is not in the corpus keeps its row with an error.
+    One row per stem of a bundle, described by the file with the smallest path; a stem that is not
+    in the corpus keeps its row with an error.
     """
     content = F.col("content")
-    analysed = files.select(
+    analysed = one_per_stem(files.select(
+        "path",
         F.regexp_replace("path", r"([^/])\.[^./]+$", "$1").alias("stem"),
         quick_workflow(content, "sdk").alias("workflow_type"),
         library_names(content, "sdk").alias("libraries"),
         any_of(F.lower(content), rules.STREAMING_WORDS).alias("uses_streaming"),
-    ).withColumn("uses_mlflow", F.array_contains("libraries", "mlflow"))
+    )).drop("path").withColumn("uses_mlflow", F.array_contains("libraries", "mlflow"))
     return lookup_join(bundles, analysed, "stem", ["bundle_name"], "left", keys_from=bundles).withColumn(
         "error", F.when(F.col("workflow_type").isNull(), F.lit("Could not analyze file"))
     )

@@ -35,7 +35,7 @@ def input_tables(content: Column) -> Column:
 
 def strict_input_tables(content: Column) -> Column:
     """As `input_tables`, without the import lines that look like FROM clauses."""
-    code = F.regexp_replace(content, r"(?m)^\s*from\s+[^\s]+\s+import\b[^\n]*", "")
+    code = F.regexp_replace(content, r"(?md)^\s*from\s+[^\s]+\s+import\b[^\n]*", "")
     return input_tables(code)
 
 
@@ -80,7 +80,7 @@ def dotted_names(content: Column) -> Column:
 def feature_values(content: Column, lower: Column, feature: str) -> Column:
     """First matches of one feature; each match is the array of its groups."""
     pattern, groups = rules.FEATURES[feature]
-    flagged = f"(?im){pattern}"
+    flagged = f"(?imd){pattern}"
     if groups < 2:
         matches = dotted_names(content) if feature == "unity_catalog" else find_all(content, flagged, groups)
         found = first_n(matches, rules.FEATURE_LIMIT)

@@ -43,7 +43,8 @@ def regex_modules(content: Column) -> Column:
     Duplicates are kept. A platform module adds its base once, and only when the first module
     with that base is not the base itself.
     """
-    origin, names = find_all(content, rules.IMPORT_LINE, 1), find_all(content, rules.IMPORT_LINE, 2)
+    line = "(?d)" + rules.IMPORT_LINE  # only a line feed ends a line
+    origin, names = find_all(content, line, 1), find_all(content, line, 2)
     modules = F.zip_with(
         origin, names, lambda o, n: F.when(o != "", o).otherwise(F.regexp_extract(n, r"^[^\s,]+", 0))
     )

@@ -51,15 +51,21 @@ def nearest_config(files: DataFrame, configs: DataFrame, levels: int = 3) -> Dat
     )
 
 
+def one_per_stem(rows: DataFrame) -> DataFrame:
+    """Of rows(stem, path, ...) the one with the smallest path per stem: a stem is one notebook."""
+    return rows.groupBy("stem").agg(F.min_by(F.struct(*rows.columns), "path").alias("r")).select("r.*")
+
+
 def call_edges(files: DataFrame) -> DataFrame:
     """(path, ordinal, callee, callee_path): notebook calls resolved to files, NULL when unknown.
 
-    A notebook is called without its extension. A callee everybody calls is one hot key, hence
-    the salted join; the text is scanned once, so the salt is the same for all keys.
+    A notebook is called without its extension; of several files with that stem the smallest path
+    is meant. A callee everybody calls is one hot key, hence the salted join; the text is scanned
+    once, so the salt is the same for all keys.
     """
     calls = notebook_calls(files).withColumn("stem", paths.resolve(F.col("path"), F.col("callee")))
-    targets = files.select(
-        paths.without_extension(F.col("path")).alias("stem"), F.col("path").alias("callee_path")
+    targets = one_per_stem(files.select(paths.without_extension(F.col("path")).alias("stem"), "path")).select(
+        "stem", F.col("path").alias("callee_path")
     )
     return lookup_join(calls, targets, "stem", ["path", "ordinal"]).select("path", "ordinal", "callee", "callee_path")
 

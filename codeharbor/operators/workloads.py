@@ -129,7 +129,6 @@ def wide_details(rows: DataFrame, keys: list[str], detail: str) -> DataFrame:
     )
 
 
-def write_wide(result: DataFrame, path: str, partition_key: str, partitions: int | None = None) -> None:
-    """Spread by the partition column and write one folder per value of it."""
-    spread = result.repartition(*([partitions] if partitions else []), F.col(partition_key))
-    spread.write.mode("overwrite").partitionBy(partition_key).parquet(path)
+def write_wide(result: DataFrame, path: str, partition_key: str) -> None:
+    """One folder per value of the partition column; a value with very many rows is split over tasks."""
+    result.hint("rebalance", F.col(partition_key)).write.mode("overwrite").partitionBy(partition_key).parquet(path)

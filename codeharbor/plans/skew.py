@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
-HOT_SALTS = 1024
-HOT_ROWS = 100_000
-MAX_HOT_KEYS = 1000
+HOT_SALTS = 1024  # shared out among the hot keys by their part of the rows
+HOT_PART = 1000  # a key with more than one row in so many is hot
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The most frequent keys with at least HOT_ROWS rows.
+    """(key, _salts): the keys with more than 1/HOT_PART of all rows, and the salts each needs.
 
-    Any key with more than 1/MAX_HOT_KEYS of all rows is among the MAX_HOT_KEYS most frequent
-    ones, so the list is complete where it matters and never longer than that: it may be
-    broadcast whatever the size of the input.
+    There are fewer than HOT_PART of them by arithmetic, and they share HOT_SALTS salts, so the list
+    may be broadcast whatever the size of the input.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    top = counts.filter(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
-    return top.select(key, F.lit(True).alias("_hot"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.filter(F.col(key).isNotNull() & (F.col("_n") * HOT_PART > total))
+    return hot.select(key, F.ceil(F.col("_n") * HOT_SALTS / total).cast("int").alias("_salts"))
 
 
 def lookup_join(
@@ -29,26 +28,23 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows to a lookup with one row per key, with hot keys spread over tasks.
 
-    The salt is a hash of the row itself, so a recomputed task gives the same rows.
+    The salt is a hash of the row itself, so a recomputed task gives the same rows; it needs a
+    column besides the key, as rows that differ in nothing else cannot be spread.
     keys_from names a cheap frame that holds the same keys at least as often (a base table): its
     keys are counted first, one more pass over one column, and only hot ones are salted. Without
     it every key is salted a little, which suits rows that are costly to derive twice, such as
     ones extracted from text.
     """
+    if set(salt_by) <= {key}:
+        raise ValueError("a salt made from the key alone spreads nothing")
     if keys_from is not None:
         hot = F.broadcast(hot_keys(keys_from, key))
         # rows without a key match nothing and are spread as well
-        wide = F.col("_hot") | F.col(key).isNull()
-        salt = F.when(wide, F.pmod(F.xxhash64(*salt_by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        salted = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-        spread = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        salts = F.when(F.col(key).isNull(), F.lit(HOT_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+        copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+        salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")
+        spread = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
         spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
-
-
-def chunk_of(seq: str, size: int) -> Column:
-    """The chunk a row of an ordered group falls into: `size` consecutive values of `seq`."""
-    return F.floor(F.col(seq) / size).cast("long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings, applied only where the session leaves them unset.
@@ -39,14 +37,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_scratch: list[str] = []
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster, else a folder in the warehouse, which is shared as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _scratch:
-        _scratch.append(tempfile.mkdtemp(prefix="codeharbor-"))
-    return _scratch[0]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"

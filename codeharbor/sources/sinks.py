@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +68,35 @@ def write_results(summary: DataFrame, questions: DataFrame, out: str) -> None:
 # ---- keyed tables -----------------------------------------------------------------------------------
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.exists(target)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def _put(spark: SparkSession, path: str, value: object) -> None:
+    """Write a small JSON record under another name and rename it: it is there whole or not at all."""
+    fs, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    if not fs.rename(part, _fs(spark, path)[1]):
+        fs.delete(part, False)
+        if not path_exists(spark, path):
+            raise OSError(f"cannot write {path}")
+
+
+def _get(spark: SparkSession, path: str) -> object:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -82,47 +106,69 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(*first)).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
-def upsert_table(
-    changes: DataFrame, table: str, keys: list[str], order: list[str], buckets: int = 64, batch: str = "batch"
-) -> None:
-    """Merge changes into a Parquet table in folders by key bucket, keeping the latest per key.
+def _properties(spark: SparkSession, table: str, keys: list[str], order: list[str]) -> None:
+    """Keys and order belong to the table: the first call writes them down, others must agree."""
+    path, mine = f"{table}/_about/table.json", {"keys": keys, "order": order}
+    if not path_exists(spark, path):
+        _put(spark, path, mine)
+    if _get(spark, path) != mine:
+        raise ValueError(f"{table} has other keys or another order than {mine}")
+
+
+def committed(spark: SparkSession, table: str) -> list[str]:
+    """The batches that make up the table: those with a commit record that no later one replaces."""
+    fs, folder = _fs(spark, f"{table}/_commits")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    names = sorted(n for n in names if not n.endswith(".part") and not n.startswith("."))
+    replaced = {old for n in names if n.startswith("compact-") for old in _get(spark, f"{table}/_commits/{n}")}
+    return [n for n in names if n not in replaced]
 
-    Only the buckets the changes fall into are read and replaced. The changes are written down
-    once (`incoming`), then the merged buckets (`merged`), and only then are these moved into the
-    table. A run that dies at any point is repeated with the same `batch`: finished steps are
-    taken as they are, so nothing is computed from a half-written table, lost or applied twice.
+
+def append_batch(rows: DataFrame, table: str, batch: str) -> None:
+    """Add rows to a table of versions, once per batch name.
+
+    The rows go to a folder of their own and count from the moment its commit record stands. A batch
+    that has one is not written again; one that died before is written anew. Nothing else is read or
+    moved, so a small batch costs little however large the table is.
     """
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = changes.withColumn("_bucket", bucket)
-    schema, columns = fresh.schema, changes.columns
-    incoming, merged = (f"{table.rstrip('/')}__staged/{batch}/{step}" for step in ("incoming", "merged"))
-
-    def stored(path: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(path)
-
-    if not path_exists(spark, f"{incoming}/_SUCCESS"):
-        fresh.write.mode("overwrite").parquet(incoming)
-    if not path_exists(spark, f"{merged}/_SUCCESS"):
-        rows = stored(incoming)
-        if path_exists(spark, table):
-            # at most `buckets` small numbers; as literals they prune the folders that are read
-            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
-            rows = rows.unionByName(stored(table).filter(F.col("_bucket").isin(touched)))
-        (
-            latest(rows, ["_bucket", *keys], order).select(*columns, "_bucket")
-            .write.mode("overwrite").partitionBy("_bucket").parquet(merged)
-        )
-    (
-        stored(merged).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table)
-    )
+    spark = rows.sparkSession
+    record = f"{table}/_commits/{batch}"
+    if not path_exists(spark, record):
+        rows.write.mode("overwrite").parquet(f"{table}/versions/{batch}")
+        _put(spark, record, [])
+
+
+def upsert_table(changes: DataFrame, table: str, keys: list[str], order: list[str], batch: str) -> None:
+    """Merge changes into a keyed table: of all rows with a key the greatest by `order` is the row.
+
+    `batch` names these changes for good: the same name again is a repetition and changes nothing,
+    so two different sets of changes need two names. Changes become versions (`append_batch`);
+    `read_table` picks the latest, `compact` drops the others.
+    """
+    table = table.rstrip("/")
+    _properties(changes.sparkSession, table, keys, order)
+    append_batch(changes, table, batch)
 
 
-def drop_staged(spark: SparkSession, table: str, batch: str) -> None:
-    """Remove the staged files of a batch that is published and will not be repeated."""
-    _remove(spark, f"{table.rstrip('/')}__staged/{batch}")
+def read_versions(spark: SparkSession, table: str) -> DataFrame:
+    """All rows of the committed batches."""
+    table = table.rstrip("/")
+    return spark.read.parquet(*[f"{table}/versions/{batch}" for batch in committed(spark, table)])
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).drop("_bucket")
+    told = _get(spark, f"{table.rstrip('/')}/_about/table.json")
+    return latest(read_versions(spark, table), told["keys"], told["order"])
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Rewrite the table as one batch of latest rows; the commit record names the batches it replaces.
+
+    Run it on a schedule, not beside readers that still use the old folders: those are removed last.
+    """
+    table = table.rstrip("/")
+    old, new = committed(spark, table), f"compact-{uuid.uuid4().hex}"
+    read_table(spark, table).write.parquet(f"{table}/versions/{new}")
+    _put(spark, f"{table}/_commits/{new}", old)
+    for batch in old:
+        _remove(spark, f"{table}/versions/{batch}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +13,7 @@ from pyspark.sql.types import StructType
 from codeharbor.operators import agentlog, extraction
 from codeharbor.plans import analysis
 from codeharbor.sources.files import _plain_path
-from codeharbor.sources.sinks import drop_staged, upsert_table
+from codeharbor.sources.sinks import append_batch, read_versions, upsert_table
 
 
 def file_stream(spark: SparkSession, root: str, glob: str = "*", per_trigger: int = 10_000) -> DataFrame:
@@ -44,19 +47,27 @@ def table_refs_stream(files: DataFrame) -> DataFrame:
     return extraction.table_refs(files)
 
 
-def turns_stream(messages: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Turn roll-up with state, to be run in update mode.
+def turns_stream(messages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Turn roll-up without state: each micro-batch adds its partial totals to a table of versions.
 
-    The state holds mergeable totals per turn, not messages, and partial totals merge per task
-    first. A turn's result message marks it done; `lateness` bounds how long turns stay open.
+    A turn may stay open for any time and its messages may come late; nothing is kept between the
+    batches. `read_turns` merges the partial totals, and `done` says whether the result message came.
     """
-    timed = messages.withWatermark("ts", lateness)
-    return agentlog.turn_rollup(timed)
+    return versions_stream(messages, table, checkpoint, agentlog.turn_partials)
+
+
+def read_turns(spark: SparkSession, table: str) -> DataFrame:
+    return agentlog.merge_turns(read_versions(spark, table))
 
 
 def session_gaps_stream(calls: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
     """Closed call sessions, append mode."""
-    return agentlog.session_gaps(calls.withWatermark("ts", lateness), gap)
+    window = F.session_window("ts", gap)
+    return (
+        calls.withWatermark("ts", lateness).groupBy("session_id", window).agg(F.count("*").alias("n_calls"))
+        .select("session_id", F.col("session_window.start").alias("session_start"),
+                F.col("session_window.end").alias("session_end"), "n_calls")
+    )
 
 
 def rate_breaches_stream(
@@ -74,18 +85,31 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def upsert_stream(
-    rows: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str,
-    buckets: int = 64, mode: str = "append",
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to: another checkpoint, another id."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def versions_stream(
+    rows: DataFrame, table: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch
 ) -> StreamingQuery:
+    """Append what `each` makes of every micro-batch to a table of versions, exactly once."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        append_batch(each(batch), table.rstrip("/"), f"{query_id(spark, checkpoint)}-{number}")
+
+    return (
+        rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def upsert_stream(rows: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Keep the latest row per key in a table; a repeated micro-batch changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        upsert_table(batch, table, keys, order, buckets, f"b{number}")
-        if number > 0:
-            drop_staged(batch.sparkSession, table, f"b{number - 1}")
+        upsert_table(batch, table, keys, order, f"{query_id(batch.sparkSession, checkpoint)}-{number}")
 
     return (
-        rows.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -39,15 +39,38 @@ def test_audit(messages, rows):
     assert dict(rows(log.calls_by_category(messages))) == {"core": 2, "agent:analyst": 1, "agent:builder": 1}
 
 
-def test_tool_lists_in_order_and_in_chunks(messages):
-    whole = {r.session_id: r.tools for r in log.session_tools(messages).collect()}
-    assert whole == {"s": ["run_job", "subagent:analyst", "execute_dbsql"], "t": ["subagent:unknown", "Read"]}
-    chunks = log.session_tools(messages, chunk=3).orderBy("session_id", "chunk_no").collect()
-    assert [t for r in chunks if r.session_id == "s" for t in r.tools] == whole["s"] and len(chunks) == 4
-    text = log.session_text(messages, chunk=2).filter("session_id = 's' AND turn_id = 0").orderBy("chunk_no").collect()
+def test_tool_lists_in_order(messages):
+    said = log.session_tools(messages).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.turn_id, r.label) for r in said] == [
+        ("s", 0, "run_job"), ("s", 0, "subagent:analyst"), ("s", 1, "execute_dbsql"), ("t", 0, "subagent:unknown"), ("t", 0, "Read")]
+    text = log.session_text(messages).filter("session_id = 's' AND turn_id = 0").orderBy("seq").collect()
     assert "".join(r.text for r in text) == "Go. ```yaml\nbundle: 1\n```Java"
 
 
+def test_partial_turns_merge_to_the_whole(messages, rows):
+    parts = [log.turn_partials(messages.filter(F.col("seq") % 3 == k)) for k in range(3)]
+    merged = log.merge_turns(parts[0].union(parts[1]).union(parts[2]))
+    assert rows(merged) == rows(log.turn_rollup(messages))
+
+
+def test_a_session_with_most_of_the_calls(spark, rows):
+    import random
+
+    pick = random.Random(2)
+    calls = [(0 if i % 10 else i % 7, pick.randrange(0, 4_000_000)) for i in range(3000)] + [(9, 0), (9, 1800), (9, 3599), (9, 7200)]
+    want = []
+    for session in {s for s, _ in calls}:
+        run = []
+        for t in sorted(t for s, t in calls if s == session) + [None]:
+            if run and (t is None or t - run[-1] >= 1800):
+                want.append((session, run[0], run[-1] + 1800, len(run)))
+                run = []
+            run.append(t)
+    frame = spark.createDataFrame(calls, "session_id long, t long").select("session_id", F.timestamp_seconds("t").alias("ts"))
+    got = log.session_gaps(frame).select("session_id", F.unix_timestamp("session_start"), F.unix_timestamp("session_end"), "n_calls")
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_summary(messages):
     row = log.session_summary(messages).filter("session_id = 's'").first()
     assert (row.n_tools, row.n_analyzed, row.validation_summary) == (3, 1, "v" * 400)

@@ -96,34 +96,61 @@ def test_run_sql(spark):
 # ---- keyed tables -----------------------------------------------------------------------------------
 
 
-def test_upsert_table_is_repeatable(spark, tmp_path, rows):
-    table = str(tmp_path / "t")
+def change(spark, *values):
+    return spark.createDataFrame(list(values), "k string, version long, v string")
 
-    def change(*values):
-        return spark.createDataFrame(list(values), "k string, version long, v string")
 
-    sinks.upsert_table(change(("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")), table, ["k"], ["version"], 4, "b0")
+def test_upsert_table_is_repeatable(spark, tmp_path, rows):
+    table = str(tmp_path / "t")
+    sinks.upsert_table(change(spark, ("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")), table, ["k"], ["version"], "b0")
     assert rows(sinks.read_table(spark, table)) == [("a", 2, "y"), ("b", 1, "x")]
     for _ in range(2):  # the second time stands for a repeated batch
-        sinks.upsert_table(change(("a", 1, "old"), ("c", 1, "z")), table, ["k"], ["version"], 4, "b1")
+        sinks.upsert_table(change(spark, ("a", 1, "old"), ("c", 1, "z")), table, ["k"], ["version"], "b1")
         assert rows(sinks.read_table(spark, table)) == [("a", 2, "y"), ("b", 1, "x"), ("c", 1, "z")]
-    sinks.upsert_table(change(("q", 1, "x")).limit(0), table, ["k"], ["version"], 4, "b2")
+    sinks.upsert_table(change(spark, ("q", 1, "x")).limit(0), table, ["k"], ["version"], "b2")
     assert sinks.read_table(spark, table).count() == 3
+    with pytest.raises(ValueError, match="other keys"):
+        sinks.upsert_table(change(spark), table, ["v"], ["version"], "b3")
 
 
-def test_upsert_table_recovers_from_a_lost_publication(spark, tmp_path, rows):
-    """The table's buckets vanish between staging and publication; the repeated batch restores them."""
-    import shutil
-
+def test_compaction_keeps_the_rows(spark, tmp_path, rows):
     table = str(tmp_path / "t")
-    first = spark.createDataFrame([(f"k{i}", 1) for i in range(50)], "k string, version long")
-    second = spark.createDataFrame([(f"k{i}", 2) for i in range(0, 50, 2)], "k string, version long")
-    sinks.upsert_table(first, table, ["k"], ["version"], 4, "b0")
-    sinks.upsert_table(second, table, ["k"], ["version"], 4, "b1")
+    for i in range(4):
+        sinks.upsert_table(change(spark, ("a", i, f"v{i}"), (f"k{i}", 1, "x")), table, ["k"], ["version"], f"b{i}")
     want = rows(sinks.read_table(spark, table))
-    shutil.rmtree(tmp_path / "t" / "_bucket=1")
-    sinks.upsert_table(second, table, ["k"], ["version"], 4, "b1")
-    assert rows(sinks.read_table(spark, table)) == want and len(want) == 50
+    sinks.compact(spark, table)
+    assert rows(sinks.read_table(spark, table)) == want and len(sinks.committed(spark, table)) == 1
+    sinks.upsert_table(change(spark, ("a", 9, "late")), table, ["k"], ["version"], "b9")
+    sinks.upsert_table(change(spark, ("a", 99, "again")), table, ["k"], ["version"], "b1")  # taken in before
+    assert ("a", 9, "late") in rows(sinks.read_table(spark, table)) and sinks.read_versions(spark, table).count() == 6
+
+
+def test_upsert_table_after_a_crash(spark, tmp_path, rows):
+    """A batch whose files were written but never committed does not count and is written anew."""
+    table = str(tmp_path / "t")
+    sinks.upsert_table(change(spark, ("a", 1, "x")), table, ["k"], ["version"], "b0")
+    change(spark, ("z", 1, "half")).write.parquet(f"{table}/versions/b1")
+    assert rows(sinks.read_table(spark, table)) == [("a", 1, "x")]
+    sinks.upsert_table(change(spark, ("b", 1, "y")), table, ["k"], ["version"], "b1")
+    assert rows(sinks.read_table(spark, table)) == [("a", 1, "x"), ("b", 1, "y")]
+
+
+def test_a_new_checkpoint_on_an_old_table_loses_nothing(spark, tmp_path, rows):
+    table, schema = str(tmp_path / "t"), "k string, version long, v string"
+    for i in range(2):  # another stream each time, whose batches are numbered from 0 again
+        change(spark, ("a", i, f"v{i}"), (f"k{i}", 1, "x")).write.parquet(str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}"))
+        streams.upsert_stream(stream, table, ["k"], ["version"], str(tmp_path / f"cp{i}")).awaitTermination()
+    assert rows(sinks.read_table(spark, table)) == [("a", 1, "v1"), ("k0", 1, "x"), ("k1", 1, "x")]
+
+
+def test_wide_write_has_a_folder_per_value(spark, tmp_path, rows):
+    from codeharbor.operators import workloads
+
+    frame = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id % 7 END AS k")
+    workloads.write_wide(frame, str(tmp_path / "w"), "k")
+    assert {p.name for p in (tmp_path / "w").iterdir() if p.is_dir()} == {"k=hot", *(f"k=k{i}" for i in range(7))}
+    assert rows(spark.read.parquet(str(tmp_path / "w")), "id", "k") == rows(frame, "id", "k")
 
 
 # ---- streams ------------------------------------------------------------------------------------------
@@ -162,9 +189,10 @@ def messages_in_files(spark, path):
 def test_turn_stream_equals_batch(spark, tmp_path, rows):
     frame = messages_in_files(spark, str(tmp_path / "in"))
     stream = streams.table_stream(spark, str(tmp_path / "in"), "*.parquet", frame.schema, per_trigger=1)
-    streams.upsert_stream(streams.turns_stream(stream), str(tmp_path / "turns"), ["session_id", "turn_id"], ["n_messages"],
-                          str(tmp_path / "cp"), 4, "update").awaitTermination()
-    assert rows(sinks.read_table(spark, str(tmp_path / "turns"))) == rows(agentlog.turn_rollup(frame))
+    query = streams.turns_stream(stream, str(tmp_path / "turns"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    assert rows(streams.read_turns(spark, str(tmp_path / "turns"))) == rows(agentlog.turn_rollup(frame))
 
 
 def calls_in_files(spark, path):

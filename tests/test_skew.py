@@ -2,6 +2,7 @@
 a plain computation."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,18 +11,12 @@ from codeharbor.operators import inventory, lineage, training, workloads
 from codeharbor.plans import skew
 
 
-@pytest.fixture
-def low_bar(monkeypatch):
-    """Make keys count as hot at test size."""
-    monkeypatch.setattr(skew, "HOT_ROWS", 20)
-
-
 def skewed(n=900, seed=3):
     pick = random.Random(seed)
     return [(i, "hot" if pick.random() < 0.4 else pick.choice(["a", "b", "c", None, "gone"])) for i in range(n)]
 
 
-def test_lookup_join_equals_a_plain_join(spark, rows, low_bar):
+def test_lookup_join_equals_a_plain_join(spark, rows):
     left = spark.createDataFrame(skewed(), "i long, k string")
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("c", 4), ("unused", 5)], "k string, v long")
     for how in ("left", "inner"):
@@ -30,24 +25,30 @@ def test_lookup_join_equals_a_plain_join(spark, rows, low_bar):
         assert rows(skew.lookup_join(left, right, "k", ["i"], how, keys_from=left), "i", "k", "v") == plain
 
 
-def test_hot_keys_are_the_frequent_ones_and_few(spark, low_bar, monkeypatch):
+def test_hot_keys_are_those_with_a_large_part_and_share_the_salts(spark, monkeypatch):
     left = spark.createDataFrame(skewed() + [(1000 + i, f"k{i % 60}") for i in range(2400)], "i long, k string")
     counts = {r.k: r["count"] for r in left.groupBy("k").count().collect()}
-    hot = {r.k for r in skew.hot_keys(left, "k").collect()}
-    assert hot == {k for k, n in counts.items() if k is not None and n >= 20}
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 3)
-    top = sorted((k for k in counts if k), key=lambda k: (-counts[k], k))[:3]
-    assert {r.k for r in skew.hot_keys(left, "k").collect()} == set(top)
+    for part in (10, 20, 1000):
+        monkeypatch.setattr(skew, "HOT_PART", part)
+        hot = {r.k: r["_salts"] for r in skew.hot_keys(left, "k").collect()}
+        assert set(hot) == {k for k, n in counts.items() if k is not None and n * part > 3300} and len(hot) < part
+        assert all(s >= 1 for s in hot.values()) and sum(hot.values()) <= skew.HOT_SALTS + len(hot)
+
+
+def test_a_salt_needs_more_than_the_key(spark):
+    left, right = spark.createDataFrame([(1, "a")], "i long, k string"), spark.createDataFrame([("a", 1)], "k string, v long")
+    with pytest.raises(ValueError, match="spreads nothing"):
+        skew.lookup_join(left, right, "k", ["k"])
 
 
-def test_hot_key_is_spread_over_salts(spark, low_bar):
+def test_hot_key_is_spread_over_salts(spark):
     left = spark.createDataFrame(skewed(), "i long, k string").filter("k = 'hot'")
     salts = left.select(F.pmod(F.xxhash64("i"), F.lit(skew.HOT_SALTS)).alias("s")).groupBy("s").count()
     assert salts.count() > min(skew.HOT_SALTS, left.count()) // 2
     assert salts.agg(F.max("count")).first()[0] < left.count() / 8
 
 
-def test_rows_without_a_key_are_spread(spark, low_bar):
+def test_rows_without_a_key_are_spread(spark):
     left = spark.range(400).selectExpr("id AS i", "CASE WHEN id < 0 THEN CAST(id AS STRING) END AS k")
     right = spark.createDataFrame([("a", 1)], "k string, v long")
     joined = skew.lookup_join(left, right, "k", ["i"], "left", keys_from=left)
@@ -56,7 +57,7 @@ def test_rows_without_a_key_are_spread(spark, low_bar):
     assert "isnull(k" in plan
 
 
-def test_enrich_with_a_hot_customer(spark, rows, low_bar):
+def test_enrich_with_a_hot_customer(spark, rows):
     pick = random.Random(1)
     facts = spark.createDataFrame(
         [(i, 7 if i % 2 else pick.randint(0, 30), float(i)) for i in range(500)],
@@ -105,6 +106,49 @@ def test_stratified_split_equals_ranking_every_row(spark, monkeypatch, digits):
     assert len(got) == 700
 
 
+def test_split_keeps_rows_without_a_label(spark):
+    labelled = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id long, y int")
+    got = training.stratified_split(labelled, "id", "y").collect()
+    assert len(got) == 50
+    for y in (None, 0, 1):
+        assert sum(r.is_train for r in got if r.y == y) == 8 * sum(r.y == y for r in got) // 10
+
+
+def test_scaling_reads_the_training_rows_once(spark):
+    import math
+
+    frame = spark.createDataFrame([(float(i), float(i * i), 7.0) for i in range(9)], "a double, b double, c double")
+    got = training.scale(frame, frame.filter("a < 5"), ["a", "b", "c"])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"[Ss]ubquery subquery#(\d+)", plan))) == 1
+    deviation = math.sqrt(sum((x - 2) ** 2 for x in range(5)) / 5)
+    assert [r.a for r in got.orderBy("a").collect()] == pytest.approx([(i - 2) / deviation for i in range(9)])
+    assert {r.c for r in got.collect()} == {0.0}
+
+
+def test_one_file_per_stem(spark, rows):
+    from codeharbor.operators import config
+
+    files = spark.createDataFrame([("/p/etl.py", "import mlflow"), ("/p/etl.sql", "SELECT 1"), ("/p/main.py", "dbutils.notebook.run('./etl', 60)")], "path string, content string")
+    assert rows(lineage.call_edges(files), "path", "callee_path") == [("/p/main.py", "/p/etl.py")]
+    bundles = spark.createDataFrame([("b", "/p/etl"), ("b", "/p/gone")], "bundle_name string, stem string")
+    got = config.bundle_files(bundles, files).collect()
+    assert sorted((r.stem, r.error is None) for r in got) == [("/p/etl", True), ("/p/gone", False)]
+    assert [r.uses_mlflow for r in got if r.stem == "/p/etl"] == [True]
+
+
+def test_sources_are_joined_without_copies(spark, rows):
+    from codeharbor.sources.files import read_sources
+
+    wanted = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")
+    local = spark.createDataFrame([("/a", "x")], "path string, content string")
+    exports = spark.createDataFrame([("/a", "eQ=="), ("/b", "eg==")], "path string, content string")
+    found = read_sources(wanted, local, exports)
+    assert rows(found) == [("/a", "x", None), ("/b", "z", None), ("/c", None, "File not found: /c")]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lineage_of_a_table_everybody_uses(spark, rows):
     texts = [(f"/w{i}.py", "x.saveAsTable('a.hot')") for i in range(40)]
     texts += [(f"/r{i}.py", "spark.table('a.hot'); spark.table('a.cold')") for i in range(60)]
@@ -126,7 +170,7 @@ def test_lineage_reads_the_text_once(spark):
     assert "ReusedExchange" in plan
 
 
-def test_nearest_config(spark, rows, low_bar):
+def test_nearest_config(spark, rows):
     files = spark.createDataFrame([("/u/a/b/n1.py",), ("/u/a/n2.py",), ("/u/x/y/z/n3.py",), ("/n4.py",)]
                                   + [(f"/u/a/b/m{i}.py",) for i in range(50)], "path string")
     configs = spark.createDataFrame([("/u/databricks.yml",), ("/u/a/b/databricks.yml",), ("/databricks.yml",)], "config_path string")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 try:
     import yaml
-except ImportError:  # the structural lint then reports every file as not checked
+except ImportError:  # the structural lint then fails with a clear message
     yaml = None
 
 

@@ -29,28 +29,27 @@ targets:
 '''
 INVALID = "bundle:\n  description: x\nresources:\n  jobs:\n    bad:\n      tasks: []\n"
 POOR = '''
-bundle: {name: my-bundle}
 resources:
   jobs:
-    job1:
-      name: test-job
-      existing_cluster_id: c-1
-      tasks: [{task_key: t, notebook_task: {notebook_path: ./n.py}}]
+    ferry:
+      existing_cluster_id: harbour-7
+      tasks:
+        - {task_key: board, notebook_task: {notebook_path: ../ferry/board.py}}
+        - {task_key: sail, notebook_task: {notebook_path: ../ferry/sail.py}}
+      name: ferry times
+bundle: {name: bundle}
 '''
 INSECURE = '''
-bundle:
-  name: secure-test
+bundle: {name: ticket-office}
 resources:
   jobs:
-    job1:
-      name: job
+    tickets:
+      name: sell
       tasks:
-        - task_key: t
+        - task_key: sell
           notebook_task:
-            notebook_path: ./n.py
-            base_parameters:
-              api_key: sk-123
-              password: hunter2
+            base_parameters: {till: "4", password: "open the till", api_key: "k-900"}
+            notebook_path: ./sell.py
 '''
 BROKEN = "bundle:\n  name: test\n    invalid: indentation"
 

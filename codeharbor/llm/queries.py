@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeharbor.llm import ann, decontaminate, licenses, lm_mixing, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 from codeharbor.llm.common import load
+from codeharbor.llm.oracles import ORACLE  # noqa: F401
 
 
 SECRET = "surrogates-of-this-corpus"
@@ -56,4 +57,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op7_nearest_neighbours, op8_url_filter, op9_context_mixing, op10_packing,
 )}
-ORACLE: dict[str, str] = {}

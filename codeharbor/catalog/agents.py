@@ -57,7 +57,7 @@ on("messages", "f4_cost_text", """SELECT session_id, seq, CASE WHEN cost <> 0 TH
   FROM messages WHERE cost IS NOT NULL""",
    lambda m: m.filter("cost IS NOT NULL").select("session_id", "seq", tx.cost_text(F.col("cost")).alias("cost_text")))
 on("messages", "w6_tool_inputs", """SELECT session_id, seq, label, CASE WHEN len(tool_input) > 80
-  THEN substring(tool_input, 1, 80) || '...' ELSE tool_input END AS short_input FROM calls""", log.tool_inputs, CALLS)
+  THEN substring(tool_input, 1, 80) || '...' ELSE tool_input END AS short_input FROM calls""", lambda m: log.tool_inputs(m, 80), CALLS)
 on("messages", "l21_extract_yaml", "SELECT session_id, seq, config FROM configs_said WHERE config IS NOT NULL",
    log.extracted_configs, CONFIGS)
 WORDS = ", ".join(f"({i}, {text(w)})" for i, w in enumerate(rules.LANGUAGE_WORDS))
@@ -69,7 +69,7 @@ on("messages", "a7_session_tools", "SELECT session_id, turn_id, seq, label FROM
 on("messages", "a7_session_summary", """SELECT session_id, count(*) FILTER (block_type = 'tool_use') AS n_tools,
     count(*) FILTER (block_type = 'tool_result' AND tool_name LIKE '%analyze_notebook') AS n_analyzed,
     substring(arg_max(text, seq) FILTER (block_type = 'tool_result' AND tool_name LIKE '%validate_bundle' AND text <> ''), 1, 400)
-      AS validation_summary FROM messages GROUP BY session_id""", log.session_summary)
+      AS validation_summary FROM messages GROUP BY session_id""", lambda m: log.session_summary(m, 400))
 on("messages", "a8_session_text", f"SELECT session_id, turn_id, seq, text FROM messages WHERE {REPLY}", log.session_text)
 on("messages", "a8_t2_turn_rollup", """SELECT session_id, turn_id, count(*) AS n_messages,
     count(*) FILTER (block_type = 'tool_use') AS n_tools, bool_or(msg_type = 'result') AS done,
@@ -97,7 +97,7 @@ on("qa", "c14_accuracy_by_complexity", f"SELECT complexity, tools_needed, {ACCUR
 on("qa", "p8_placeholder_rows", "SELECT qa_id, question FROM qa WHERE contains(expected, 'UPDATE_WITH')",
    lambda q: ev.placeholder_rows(q).select("qa_id", "question"))
 on("qa", "p8_placeholder_preview", """SELECT qa_id, substring(question, 1, 50) AS question FROM qa
-  WHERE contains(expected, 'UPDATE_WITH') ORDER BY qa_id LIMIT 3""", ev.placeholder_preview)
+  WHERE contains(expected, 'UPDATE_WITH') ORDER BY qa_id LIMIT 3""", lambda q: ev.placeholder_preview(q, 3, 50))
 
 # ---- test results and the call log -------------------------------------------------------------------
 

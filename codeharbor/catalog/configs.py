@@ -102,7 +102,7 @@ PARSED = f"""parsed AS MATERIALIZED (SELECT run_id, bundle_path, target, return_
 on("cli_runs", "g2_parse_cli_runs", """SELECT run_id, validation_passed, array_to_string(errors, '|') AS errors,
     array_to_string(warnings, '|') AS warnings, right(stdout, 1000) AS stdout_tail, right(stderr, 1000) AS stderr_tail
   FROM parsed""",
-   lambda r: cfg.parse_cli_runs(r).select("run_id", "validation_passed", joined("errors"), joined("warnings"),
+   lambda r: cfg.parse_cli_runs(r, 1000).select("run_id", "validation_passed", joined("errors"), joined("warnings"),
                                           "stdout_tail", "stderr_tail"), PARSED)
 on("cli_runs", "a9_run_counts", """SELECT run_id, len(errors) AS total_errors, len(warnings) AS total_warnings,
   return_code FROM parsed""",
@@ -143,7 +143,7 @@ on(["cli_runs", "configs"], "c9_advice_service", f"""SELECT run_id,
            bullets("CASE WHEN coalesce(suggestions, '') = '' THEN [] ELSE string_split(suggestions, '|') END"))} AS improvements,
     {parts(when('validation_passed', SERVICE['passed']), when('NOT validation_passed', SERVICE['failed']))} AS next_steps
   FROM validated""",
-   lambda r, c: cfg.advice(cfg.validate(r, c)).select(
+   lambda r, c: cfg.advice(cfg.validate(r, c), first=3).select(
        "run_id", joined("immediate_actions"), joined("improvements"), joined("next_steps")), *VALIDATED)
 on(["cli_runs", "configs"], "c10_advice_tool", f"""SELECT run_id,
     {parts(when('len(errors) > 0', TOOL['errors']), when("coalesce(issues, 'x') <> ''", TOOL['security']))} AS immediate_actions,

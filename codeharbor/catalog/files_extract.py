@@ -117,7 +117,7 @@ def feature_sql(name):
 
 FEATURE_SQL = " UNION ALL ".join(feature_sql(name) for name in rules.FEATURES)
 on_files("l13_features", FEATURE_SQL,
-         lambda f: extraction.features(f).select(
+         lambda f: extraction.features(f, rules.FEATURE_LIMIT).select(
              "path", "feature", "ordinal", F.get("value", 0).alias("value_1"), F.get("value", 1).alias("value_2")))
 PARAMS_SQL = f"""SELECT path, ordinal, list_extract(kinds, ordinal) AS widget_type,
     list_extract(names, ordinal) AS name, nullif(list_extract(defaults, ordinal), '') AS default_value

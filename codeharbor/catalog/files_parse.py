@@ -156,7 +156,7 @@ def statement_ctes(source, prefix=""):
 STATEMENTS = TYPED + ",\n" + statement_ctes(
     "SELECT path, 0 AS unit, content FROM typed WHERE file_type IN ('sql', 'sql_notebook')")
 on_files("l6_sql_statements", """SELECT path, stmt_no, stmt_type, substring(statement, 1, 200) AS statement_prefix
-  FROM stmts""", lambda f: statements.sql_statements(sql_files(f)), STATEMENTS)
+  FROM stmts""", lambda f: statements.sql_statements(sql_files(f), 200), STATEMENTS)
 on_files("l5_statement_refs", "SELECT path, stmt_no, direction, table_name FROM gated",
          lambda f: statements.statement_refs(sql_files(f)), STATEMENTS)
 on_files("p9_u3_denied_names", f"""SELECT path, stmt_no, count(*) AS n_kept FROM (
@@ -265,7 +265,7 @@ on_files("c11_j4_recommend", f"""SELECT w.path, {case_rule(0, text(rules.DEFAULT
     CASE WHEN workflow_type = 'ML' THEN concat_ws(',', 'mlflow', t.names) ELSE coalesce(t.names, '') END AS libraries,
     coalesce(p.params, '') AS parameters, s.n_tables > 0 AS requires_unity_catalog
   FROM workflows w JOIN sources s USING (path) LEFT JOIN third t USING (path) LEFT JOIN param_counts p USING (path)""",
-         lambda f: analysis.recommend(analysis.analyze(f)).withColumns({
+         lambda f: analysis.recommend(analysis.analyze(f, feature_limit=rules.FEATURE_LIMIT)).withColumns({
              "libraries": F.concat_ws(
                  ",", F.filter("libraries", lambda x: x == "mlflow"),
                  F.array_sort(F.filter("libraries", lambda x: x != "mlflow"))),
@@ -276,7 +276,7 @@ on_files("p10_recommended_libraries", f"""SELECT module AS library, count(*) AS
     SELECT path, module FROM import_rows, range(n) WHERE category = 'third_party'
       AND NOT list_contains({text_list(rules.BUILT_IN_LIBRARIES)}, module)
     UNION ALL SELECT path, 'mlflow' FROM workflows WHERE workflow_type = 'ML') GROUP BY ALL""",
-         lambda f: analysis.recommend(analysis.analyze(f)).select(F.explode("libraries").alias("library"))
+         lambda f: analysis.recommend(analysis.analyze(f, feature_limit=rules.FEATURE_LIMIT)).select(F.explode("libraries").alias("library"))
          .groupBy("library").agg(F.count("*").alias("n_files")), IMPORTS, fx.WORKFLOW)
 on_files("c12_summary", f"""SELECT path, s.file_type, workflow_type, s.n_tables > 0 AS uses_unity_catalog,
     coalesce(told.uses_mlflow, false) AS uses_mlflow, coalesce(p.n, 0) > 0 AS has_parameters,
@@ -286,10 +286,10 @@ on_files("c12_summary", f"""SELECT path, s.file_type, workflow_type, s.n_tables
     coalesce(d.n, 0) AS total_dependencies, s.n_all AS total_data_sources
   FROM workflows JOIN sources s USING (path) JOIN files USING (path) LEFT JOIN told USING (path)
   LEFT JOIN param_counts p USING (path) LEFT JOIN all_deps d USING (path)""",
-         lambda f: analysis.summary(analysis.analyze(f)), *ON_ANALYSED)
+         lambda f: analysis.summary(analysis.analyze(f, feature_limit=rules.FEATURE_LIMIT)), *ON_ANALYSED)
 on_files("a5_dependency_totals", """SELECT s.file_type, sum(coalesce(d.n, 0))::BIGINT AS total_dependencies,
     sum(s.n_all)::BIGINT AS total_data_sources FROM sources s LEFT JOIN all_deps d USING (path) GROUP BY ALL""",
-         lambda f: analysis.summary(analysis.analyze(f)).groupBy("file_type").agg(
+         lambda f: analysis.summary(analysis.analyze(f, feature_limit=rules.FEATURE_LIMIT)).groupBy("file_type").agg(
              F.sum("total_dependencies").alias("total_dependencies"),
              F.sum("total_data_sources").alias("total_data_sources")), *ON_ANALYSED)
 on_files("a3_import_lists", """SELECT path, category, string_agg(DISTINCT module, ',' ORDER BY module) AS modules

@@ -99,12 +99,14 @@ def line_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(lines).cast("long")
 
 
-def cut(text: Column, n: int, side: str = "head", ellipsis: str = "none") -> Column:
-    """Cut to n characters.
+def cut(text: Column, n: int | None, side: str = "head", ellipsis: str = "none") -> Column:
+    """Cut to n characters, or leave whole without n.
 
     ellipsis: 'none' = plain cut, 'after' = n characters then '...', 'inside' = '...' counts
     within the n characters.
     """
+    if n is None:
+        return text
     if side == "tail":
         return F.when(F.char_length(text) > n, F.substring(text, -n, n)).otherwise(text)
     if ellipsis == "after":
@@ -114,8 +116,9 @@ def cut(text: Column, n: int, side: str = "head", ellipsis: str = "none") -> Col
     return F.substring(text, 1, n)
 
 
-def first_n(values: Column, n: int) -> Column:
-    return F.slice(values, 1, n)
+def first_n(values: Column, n: int | None) -> Column:
+    """The first n values, or all without n."""
+    return values if n is None else F.slice(values, 1, n)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

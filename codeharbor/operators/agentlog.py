@@ -55,12 +55,12 @@ def subagent_calls(messages: DataFrame) -> DataFrame:
     ).select("session_id", "seq", "s.*")
 
 
-def tool_inputs(messages: DataFrame) -> DataFrame:
-    """(session_id, seq, label, short_input): one display line per call."""
+def tool_inputs(messages: DataFrame, width: int | None = None) -> DataFrame:
+    """(session_id, seq, label, short_input): one display line per call, cut to `width` characters if given."""
     return _tool_uses(messages).select(
         "session_id", "seq",
         call_label(F.col("tool_name"), F.col("tool_input")).alias("label"),
-        cut(F.col("tool_input"), 80, ellipsis="after").alias("short_input"),
+        cut(F.col("tool_input"), width, ellipsis="after").alias("short_input"),
     )
 
 
@@ -97,14 +97,14 @@ def session_tools(messages: DataFrame) -> DataFrame:
     return _tool_uses(messages).select("session_id", "turn_id", "seq", call_label(F.col("tool_name"), F.col("tool_input")).alias("label"))
 
 
-def session_summary(messages: DataFrame) -> DataFrame:
+def session_summary(messages: DataFrame, width: int | None = None) -> DataFrame:
     """(session_id, n_tools, n_analyzed, validation_summary): totals, all combined per task first."""
     result = F.col("block_type") == "tool_result"
     validated = result & F.endswith("tool_name", F.lit("validate_bundle")) & (F.col("text") != "")
     return messages.groupBy("session_id").agg(
         F.count_if(F.col("block_type") == "tool_use").alias("n_tools"),
         F.count_if(result & F.endswith("tool_name", F.lit("analyze_notebook"))).alias("n_analyzed"),
-        F.max_by(F.when(validated, cut(F.col("text"), 400)), F.when(validated, F.col("seq"))).alias("validation_summary"),
+        F.max_by(F.when(validated, cut(F.col("text"), width)), F.when(validated, F.col("seq"))).alias("validation_summary"),
     )
 
 

@@ -136,8 +136,8 @@ def cli_info(stdout: Column) -> Column:
     return F.struct(*[value(key) for key in ("Name", "Target", "Host", "User", "Path")])
 
 
-def parse_cli_runs(runs: DataFrame) -> DataFrame:
-    """Errors, warnings, verdict, info and output tails of every run."""
+def parse_cli_runs(runs: DataFrame, tail: int | None = None) -> DataFrame:
+    """Errors, warnings, verdict, info and the output of every run, its last `tail` characters if given."""
     passed = (F.col("return_code") == 0) | F.contains("stdout", F.lit(rules.SUCCESS_PHRASE))
     parsed = runs.select(
         "run_id", "bundle_path", "target", "return_code",
@@ -145,8 +145,8 @@ def parse_cli_runs(runs: DataFrame) -> DataFrame:
         _marked(F.col("stderr"), "Error:").alias("errors"),
         _marked(F.col("stderr"), "Warning:").alias("warnings"),
         cli_info(F.col("stdout")).alias("bundle_info"),
-        cut(F.col("stdout"), 1000, "tail").alias("stdout_tail"),
-        cut(F.col("stderr"), 1000, "tail").alias("stderr_tail"),
+        cut(F.col("stdout"), tail, "tail").alias("stdout_tail"),
+        cut(F.col("stderr"), tail, "tail").alias("stderr_tail"),
     )
     return parsed.withColumns(
         {
@@ -196,21 +196,24 @@ def _bullets(values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit("- "), v))
 
 
-def advice(validated: DataFrame, ruleset: str = "service") -> DataFrame:
-    """(run_id, immediate_actions, improvements, next_steps) of validated runs."""
+def advice(validated: DataFrame, ruleset: str = "service", first: int | None = None) -> DataFrame:
+    """(run_id, immediate_actions, improvements, next_steps) of validated runs.
+
+    Errors and suggestions are all told, or the `first` of either.
+    """
     has_errors, has_warnings = F.size("errors") > 0, F.size("warnings") > 0
     none = F.array().cast("array<string>")
     if ruleset == "service":
         texts = rules.SERVICE_ADVICE
         actions = F.concat(
             _when_texts(has_errors, texts["errors"]),
-            _bullets(first_n(F.col("errors"), 3)),
+            _bullets(first_n(F.col("errors"), first)),
             F.coalesce(F.col("issues"), none),
         )
         improvements = F.concat(
             _when_texts(has_warnings, texts["warnings"]),
             _when_texts(F.coalesce(F.col("score") < 80, F.lit(False)), texts["score"]),
-            _bullets(first_n(F.coalesce(F.col("suggestions"), none), 3)),
+            _bullets(first_n(F.coalesce(F.col("suggestions"), none), first)),
         )
     else:
         texts = rules.TOOL_ADVICE

@@ -42,6 +42,8 @@ def placeholder_rows(qa: DataFrame) -> DataFrame:
     return qa.filter(F.contains("expected", F.lit(rules.PLACEHOLDER_MARK)))
 
 
-def placeholder_preview(qa: DataFrame, n: int = 3) -> DataFrame:
-    """The first n of them by id, with a short question."""
-    return placeholder_rows(qa).orderBy("qa_id").limit(n).select("qa_id", cut(F.col("question"), 50).alias("question"))
+def placeholder_preview(qa: DataFrame, n: int | None = None, width: int | None = None) -> DataFrame:
+    """The first n of them by id, the question cut to `width` characters; all and whole without these."""
+    found = placeholder_rows(qa)
+    rows = found if n is None else found.orderBy("qa_id").limit(n)
+    return rows.select("qa_id", cut(F.col("question"), width).alias("question"))

@@ -77,16 +77,16 @@ def dotted_names(content: Column) -> Column:
     return find_all(F.array_join(lines, "\n"), DOTTED_NAME)
 
 
-def feature_values(content: Column, lower: Column, feature: str) -> Column:
-    """First matches of one feature; each match is the array of its groups."""
+def feature_values(content: Column, lower: Column, feature: str, limit: int | None = None) -> Column:
+    """Matches of one feature, the first `limit` if given; each is the array of its groups."""
     pattern, groups = rules.FEATURES[feature]
     flagged = f"(?imd){pattern}"
     if groups < 2:
         matches = dotted_names(content) if feature == "unity_catalog" else find_all(content, flagged, groups)
-        found = first_n(matches, rules.FEATURE_LIMIT)
+        found = first_n(matches, limit)
         values = F.transform(found, lambda v: F.array(v))
     else:
-        parts = [first_n(find_all(content, flagged, g), rules.FEATURE_LIMIT) for g in range(1, groups + 1)]
+        parts = [first_n(find_all(content, flagged, g), limit) for g in range(1, groups + 1)]
         values = F.zip_with(*parts, lambda a, b: F.array(a, b))
     return guarded(lower, rules.FEATURE_NEEDLES[feature], values, "array<array<string>>")
 
@@ -162,12 +162,12 @@ def delta_refs(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(delta_handles(F.col("content"))).alias("delta_call"))
 
 
-def feature_array(content: Column, lower: Column) -> Column:
+def feature_array(content: Column, lower: Column, limit: int | None = None) -> Column:
     """array of struct(feature, ordinal, value ARRAY<STRING>) over all features."""
 
     def numbered(name: str) -> Column:
         return F.transform(
-            feature_values(content, lower, name),
+            feature_values(content, lower, name, limit),
             lambda v, i: F.struct(
                 F.lit(name).alias("feature"), (i + 1).cast("long").alias("ordinal"), v.alias("value")
             ),
@@ -176,9 +176,9 @@ def feature_array(content: Column, lower: Column) -> Column:
     return F.concat(*[numbered(name) for name in rules.FEATURES])
 
 
-def features(files: DataFrame) -> DataFrame:
-    """(path, feature, ordinal, value ARRAY<STRING>)."""
-    return with_lower(files).select("path", F.inline(feature_array(F.col("content"), F.col("_lower"))))
+def features(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, feature, ordinal, value ARRAY<STRING>), the first `limit` of each feature if given."""
+    return with_lower(files).select("path", F.inline(feature_array(F.col("content"), F.col("_lower"), limit)))
 
 
 def params(files: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def top_n(rows: DataFrame, key: str, n: int | None) -> DataFrame:
 
 
 def list_jobs(
-    jobs: DataFrame, limit: int | None = 100, name_filter: str | None = None, ruleset: str = "mcp"
+    jobs: DataFrame, limit: int | None = None, name_filter: str | None = None, ruleset: str = "mcp"
 ) -> DataFrame:
     """The filter comes first: the limit counts matches only."""
     matching = jobs.filter(name_matches(F.col("name"), name_filter))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeharbor.functions import rules
-from codeharbor.functions.text import drop_words, find_all, strip
+from codeharbor.functions.text import cut, drop_words, find_all, strip
 
 # fixed values: a statement is a body up to ';' plus the blank and comment lines after it.
 # Possessive repeats keep matching iterative, so long texts cannot overflow the stack.
@@ -44,10 +44,10 @@ def statement_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def sql_statements(files: DataFrame) -> DataFrame:
-    """(path, stmt_no, stmt_type, statement_prefix): the prefix is the first 200 characters."""
+def sql_statements(files: DataFrame, width: int | None = None) -> DataFrame:
+    """(path, stmt_no, stmt_type, statement_prefix): the statement, or its first `width` characters."""
     return statement_rows(files).select(
-        "path", "stmt_no", "stmt_type", F.substring("statement", 1, 200).alias("statement_prefix")
+        "path", "stmt_no", "stmt_type", cut(F.col("statement"), width).alias("statement_prefix")
     )
 
 

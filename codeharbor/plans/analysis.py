@@ -50,11 +50,12 @@ def _cell_list(python, sql=None):
     return pick
 
 
-def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES) -> DataFrame:
+def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES, feature_limit: int | None = None) -> DataFrame:
     """One wide row per file: type, workflow, dependencies, sources, features, parameters, calls.
 
     Everything is computed inside the row, so nothing shuffles and the text is read once; columns
-    left out of `include` are not computed. Later selects prune what they do not use.
+    left out of `include` are not computed. Later selects prune what they do not use. Of each feature
+    all matches are told, or the first `feature_limit`.
     """
     content, lower = F.col("content"), F.col("_lower")
     typed = with_lower(files)
@@ -98,7 +99,7 @@ def analyze(files: DataFrame, include: tuple[str, ...] = INCLUDES) -> DataFrame:
     widgets = F.size(extraction.feature_values(content, lower, "widgets")) > 0
     no_params = F.array().cast(extraction.PARAMS_TYPE)
     keep += [
-        extraction.feature_array(content, lower).alias("features"),
+        extraction.feature_array(content, lower, feature_limit).alias("features"),
         F.when(widgets, extraction.widget_params(content)).otherwise(no_params).alias("params"),
         extraction.notebook_callees(content).alias("notebook_dependencies"),
     ]

@@ -72,7 +72,7 @@ def test_a_session_with_most_of_the_calls(spark, rows):
 
 
 def test_summary(messages):
-    row = log.session_summary(messages).filter("session_id = 's'").first()
+    row = log.session_summary(messages, 400).filter("session_id = 's'").first()
     assert (row.n_tools, row.n_analyzed, row.validation_summary) == (3, 1, "v" * 400)
     types = {r.session_id: r.message_types for r in log.message_types(messages).collect()}
     assert types["s"] == ["assistant", "result", "system", "user"]

@@ -97,11 +97,11 @@ def runs_of(spark, *rows):
 def test_run_logs(spark):
     runs = runs_of(spark, ("x", " Error:  one \nWarning: w\nerror: no\nError:two", 1), ("Validation OK!", "Error: late", 1),
                    ("Name: a:b\nName:c\n Host: no\nUser: u", "", 0), ("y" * 1500, "z", 0))
-    got = cfg.parse_cli_runs(runs).orderBy("run_id").collect()
+    got = cfg.parse_cli_runs(runs, 1000).orderBy("run_id").collect()
     assert got[0].errors == ["one", "two"] and got[0].warnings == ["w"] and not got[0].validation_passed
     assert got[1].validation_passed and got[1].total_errors == 1
     assert (got[2].bundle_info.name, got[2].bundle_info.host, got[2].bundle_info.user) == ("c", None, "u")
-    assert len(got[3].stdout_tail) == 1000
+    assert len(got[3].stdout_tail) == 1000 and len(cfg.parse_cli_runs(runs).orderBy("run_id").collect()[3].stdout_tail) == 1500
     assert [r.validation_passed for r in cfg.validation_rows(runs).orderBy("run_id").collect()] == [False, False, True, True]
 
 
@@ -109,10 +109,11 @@ def test_advice(spark, configs):
     runs = runs_of(spark, ("", "Error: a\nError: b\nError: c\nError: d\nWarning: w", 1), ("", "", 0))
     linted = configs.filter("path = 'insecure'").withColumn("path", F.lit("/b0/databricks.yml")).withColumn("target", F.lit("dev"))
     checked = cfg.validate(runs, linted)
-    first, second = cfg.advice(checked).orderBy("run_id").collect()
+    first, second = cfg.advice(checked, first=3).orderBy("run_id").collect()
     assert first.immediate_actions == [
         "Fix validation errors before deployment", "- a", "- b", "- c", rules.SECRET_PASSWORD, rules.SECRET_API_KEY]
     assert first.improvements[:2] == ["Review warnings for potential issues", "Improve configuration based on best practices"]
+    assert "- d" in cfg.advice(checked).orderBy("run_id").first().immediate_actions
     assert second.immediate_actions == [] and second.improvements == []
     assert second.next_steps[0] == "Bundle is ready for deployment"
     tool = cfg.advice(checked, "tool").orderBy("run_id").collect()

@@ -56,10 +56,11 @@ def test_quick_workflows(spark):
 def test_features_keep_groups_and_the_first_ten(spark):
     text = "DELTA.Merge x\n" + "mlflow.log_param(1)\n" * 12 + "main.raw.t /mnt/a/b\n%sql\nSpark.Conf.Set('k', 1)\n"
     found = {}
-    for r in extraction.features(files_of(spark, text)).orderBy("ordinal").collect():
+    for r in extraction.features(files_of(spark, text), 10).orderBy("ordinal").collect():
         found.setdefault(r.feature, []).append(list(r.value))
     assert found["delta_operations"] == [["DELTA", "Merge"]]
     assert found["mlflow_tracking"] == [["log_param"]] * 10
+    assert extraction.features(files_of(spark, text)).filter("feature = 'mlflow_tracking'").count() == 12
     assert found["unity_catalog"] == [["main"], ["Spark"]]
     assert found["dbfs_paths"] == [["/mnt/a/b"]]
     assert found["magic_commands"] == [["sql"]]

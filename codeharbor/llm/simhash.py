@@ -93,7 +93,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents whose key names their group: one document of each."""
-    kept = near_duplicates(docs, text, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    once = docs.dropDuplicates([key])
-    return once.join(kept, F.col(key).eqNullSafe(F.col("_k"))).select(*docs.columns)
+    """One document of each group, the one with the smallest key; columns stay as they are.
+
+    A document without a key goes by a hash of its text, which counts as larger than any key. Of rows
+    with the same key one stays. Texts are shuffled once, by key.
+    """
+    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 2)
+    named = docs.withColumn("_name", F.coalesce(F.col(key).cast("long"), unnamed))
+    kept = near_duplicates(named.select("_name", text), text, "_name").filter("_name = component_id").select("_name").distinct()
+    return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns)

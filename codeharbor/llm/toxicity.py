@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters.from_level(
         LEVEL, min_match=4, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS
     )
-    made = zstd.ZstdCompressionDict(content or b" ~~~~~~~~", dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    # the compressor finds nothing in the last bytes of a dictionary, so they are filled up
+    made = zstd.ZstdCompressionDict(content + b"\n" * 16, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     made.precompute_compress(compression_params=params)
     return zstd.ZstdCompressor(dict_data=made, compression_params=params)
 
@@ -80,6 +82,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return beta
 
 
+def _sketches(batches):
+    """The key, the class and the smallest hash of two words in a row: near copies mostly share it."""
+    for batch in batches:
+        out = []
+        for t in batch.column(2).to_pylist():
+            words = words_of(t)
+            pairs = map(b"%b %b".__mod__, zip(words, words[1:], strict=False)) if len(words) > 1 else [b" ".join(words)]
+            out.append(min(map(xxhash.xxh64_intdigest, pairs)))
+        made = pa.array(np.array(out, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["k", "y", "s"])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Learn from labelled documents outside the held-out fold.
 
@@ -105,8 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             marks_of = np.repeat(np.array(batch.column(1).to_pylist(), np.int32), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.binary()), pa.array(marks_of, pa.int32())], names=["w", "y"])
 
-    learn = rows.filter(F.col("part") == learn_part)
-    n_toxic, n_ordinary = (min(SAMPLE, totals[learn_part, y]) for y in (1, 0))
+    learn = rows.filter(F.col("part") == learn_part).select("k", "y", "t")
+    # copies of one text would make its chance words look typical of its class: one of each counts
+    kind = learn.schema["k"].dataType.simpleString()
+    once = learn.mapInArrow(_sketches, f"k {kind}, y int, s long").groupBy("s", "y").agg(F.min("k").alias("k")).select("k", "y").cache()
+    held = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_ordinary = (held.get(y, 0) for y in (1, 0))
+    learn = learn.join(F.broadcast(once), ["k", "y"])  # at most 2 x SAMPLE short rows
     counts = learn.select("t", "y").mapInArrow(distinct_words, "w binary, y int").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     counts = counts.filter(f"length(w) BETWEEN 3 AND 64 AND n >= {LEAST_DOCS}").withColumn("b", F.expr("n - a"))
 
@@ -120,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     counts = counts.cache()
     model = Model(entries("a", "b", n_toxic, n_ordinary), entries("b", "a", n_ordinary, n_toxic), None)
     counts.unpersist()
+    once.unpersist()
     tune = rows.filter(F.col("part") == tune_part).select("t", "y")
 
     def tuned(batches):

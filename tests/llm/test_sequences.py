@@ -66,9 +66,9 @@ def small_model(texts):
 
 def test_probabilities_of_all_continuations_sum_to_one():
     model = small_model([b"abracadabra abba", b"banana band"])
-    ready = lm_mixing.Tables([np.random.default_rng(1).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
-    p = {x: 10 ** lm_mixing.log10_probabilities(model, ready, [x])[0] for x in [b"", *(bytes([a]) for a in range(256))]}
-    longer = 10 ** lm_mixing.log10_probabilities(model, ready, [bytes([97, a]) for a in range(256)])
+    model = model._replace(tables=[np.random.default_rng(1).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
+    p = {x: 10 ** lm_mixing.log10_probabilities(model, [x])[0] for x in [b"", *(bytes([a]) for a in range(256))]}
+    longer = 10 ** lm_mixing.log10_probabilities(model, [bytes([97, a]) for a in range(256)])
     first = sum(p.values())  # texts of at most one byte
     assert 0 < first < 1
     # what follows "a" is the end or a byte: the mass of "a" so far is at least that of "a" and all "a?"
@@ -81,10 +81,10 @@ def test_code_is_complete_and_long_texts_agree_with_chunks(monkeypatch):
     assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1)
     texts = [b"the cat sat on the mat " * 400, b"", b"dog"]
     model = small_model([b"the cat sat on the mat " * 20, b"dogs"])
-    ready = lm_mixing.Tables([np.random.default_rng(2).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
-    whole = lm_mixing.log10_probabilities(model, ready, texts)
+    model = model._replace(tables=[np.random.default_rng(2).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
+    whole = lm_mixing.log10_probabilities(model, texts)
     monkeypatch.setattr(lm_mixing, "CHUNK_BYTES", 500)
-    assert lm_mixing.log10_probabilities(model, ready, texts) == pytest.approx(whole, rel=1e-5)
+    assert lm_mixing.log10_probabilities(model, texts) == pytest.approx(whole, rel=1e-5)
 
 
 def test_training_helps(spark):

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeharbor.llm import near_copies
 from codeharbor.llm.common import components, written
 
 WIDTH, SEED, CHUNK = 3, 42, 1 << 16
@@ -93,12 +94,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group, the one with the smallest key; columns stay as they are.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one
+    with the smallest key; columns stay as they are.
 
     A document without a key goes by a hash of its text, which counts as larger than any key. Of rows
     with the same key one stays. Texts are shuffled once, by key.
     """
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 2)
     named = docs.withColumn("_name", F.coalesce(F.col(key).cast("long"), unnamed))
-    kept = near_duplicates(named.select("_name", text), text, "_name").filter("_name = component_id").select("_name").distinct()
+    kept = near_copies.groups(named.select("_name", text), text, "_name").selectExpr("k AS _name").distinct()
     return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns)

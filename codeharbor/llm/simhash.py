@@ -98,9 +98,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     with the smallest key; columns stay as they are.
 
     A document without a key goes by a hash of its text, which counts as larger than any key. Of rows
-    with the same key one stays. Texts are shuffled once, by key.
+    with the same key and text one stays; of a group's different texts under its smallest key, the one
+    with the smallest hash. Texts are shuffled by key and text, and where they share shingles.
     """
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 2)
-    named = docs.withColumn("_name", F.coalesce(F.col(key).cast("long"), unnamed))
-    kept = near_copies.groups(named.select("_name", text), text, "_name").selectExpr("k AS _name").distinct()
-    return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns)
+    named = docs.withColumn("_name", F.coalesce(F.col(key).cast("long"), unnamed)).withColumn("_hash", F.xxhash64(text))
+    kept = near_copies.groups(named.select("_name", text), text, "_name").toDF("_name", "_hash")
+    return named.join(kept, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).select(*docs.columns)

@@ -118,6 +118,13 @@ def test_stage_drops_every_near_copy(spark):
     assert len(got) < len(docs)
 
 
+def test_one_row_of_each_group_stays_when_a_key_repeats(spark):
+    texts = [f"{w} is a text of its own about {w} and nothing else than {w}" for w in ("tea", "rain", "iron", "wool")]
+    docs = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (2, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([(5, texts[0]), (2, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
 # ---- suffix arrays ------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ sent to a block, so a step is a Spark join of blocks with their mail.
 * Seeding: chunks of CHUNK nodes that follow each other along a random direction give first neighbours.
 * NN-descent round: nodes send themselves to their neighbours, so each node has a list of those it
   points to and those that point to it, at most LIST of either; it fetches their vectors, and every
-  pair of the list with a new member is a candidate edge. Blocks keep the K best per node.
+  pair of the list with a new member is a candidate edge. Blocks keep the K best per node. Rounds end
+  when at most a share SETTLED of the edges is new.
 * Search: a query starts at its own node and keeps the best nodes seen. Each round it opens up to STEP
   of the BEAM best that are not open yet, and measures the neighbours of those that it has not met.
   It ends when the BEAM best are all open. The measure of the answers is taken again in doubles.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from codeharbor.llm.common import written
 
-K, LIST, CHUNK, SEEDINGS, ROUNDS, BEAM, STEP, BLOCK, FINALISTS = 32, 24, 2048, 3, 3, 192, 96, 4096, 16
+K, LIST, CHUNK, SEEDINGS, BEAM, STEP, BLOCK, FINALISTS = 32, 24, 2048, 3, 192, 96, 4096, 16
+SETTLED = 0.01  # rounds end when at most this share of the graph's edges is new
 GRAPH = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("nbrs", pa.binary()), ("sims", pa.binary()), ("fresh", pa.binary())])
 MAIL = pa.schema([("block", pa.int64()), ("home", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 STATE = pa.schema([("home", pa.int64()), ("q", pa.int64()), ("vec", pa.binary()), ("seen", pa.binary()), ("pool", pa.binary()), ("sims", pa.binary()), ("done", pa.binary())])
@@ -209,7 +211,7 @@ def _descend(graph: DataFrame, blocks: int, dim: int) -> DataFrame:
         for x in mail.to_pylist():
             if x["kind"]:
                 at = np.searchsorted(ids, np.frombuffer(x["a"], np.int64))
-                x = x | {"b": vecs[at].astype(np.float16).tobytes(), "c": sims[at, K - 1].tobytes()}
+                x = x | {"b": vecs[at].tobytes(), "c": sims[at, K - 1].tobytes()}
             out.append(x)
         return _table(out, MAIL)
 
@@ -220,7 +222,7 @@ def _descend(graph: DataFrame, blocks: int, dim: int) -> DataFrame:
         if not got:
             return _table([], MAIL)
         known = np.concatenate([np.frombuffer(x["a"], np.int64) for x in got])
-        vecs = np.concatenate([np.frombuffer(x["b"], np.float16) for x in got]).reshape(-1, dim).astype(np.float32)
+        vecs = np.concatenate([np.frombuffer(x["b"], np.float32) for x in got]).reshape(-1, dim)
         worst = np.concatenate([np.frombuffer(x["c"], np.float32) for x in got])
         order = np.argsort(known)
         known, vecs, worst = known[order], vecs[order], worst[order]
@@ -245,8 +247,8 @@ def _descend(graph: DataFrame, blocks: int, dim: int) -> DataFrame:
     return answered.groupBy("home").applyInArrow(join, _ddl(MAIL))
 
 
-def build(nodes: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of nodes(id, v), in packed blocks."""
+def build(nodes: DataFrame, count: int, dim: int, settled: float = SETTLED) -> DataFrame:
+    """The neighbour graph of nodes(id, v), in packed blocks; rounds go on until at most a share `settled` of its edges is new."""
     blocks = count // BLOCK + 1
     base = _packed_blocks(nodes, blocks, dim)
     seeds = _seeds(nodes, count, blocks, dim, 0)
@@ -256,10 +258,17 @@ def build(nodes: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> DataF
     def merged(graph, edges):
         return written(graph.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_merge(dim), _ddl(GRAPH)))
 
+    def news(batches):
+        for batch in batches:
+            edges = [(int((nbrs >= 0).sum()), int(fresh.sum())) for _, _, nbrs, _, fresh in (_load(row, dim) for row in batch.to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["edges", "new"])
+
     graph = merged(base, seeds)
-    for _ in range(rounds):
+    while True:
         graph = merged(graph, _descend(graph, blocks, dim))
-    return graph
+        had = graph.mapInArrow(news, "edges long, new long").agg(F.sum("edges").alias("edges"), F.sum("new").alias("new")).first()
+        if (had["new"] or 0) <= settled * (had["edges"] or 0):
+            return graph
 
 
 def _walk(graph: DataFrame, state: DataFrame, blocks: int, dim: int) -> DataFrame:

@@ -226,3 +226,22 @@ def test_nearest_edge_cases(spark):
     assert got == {q: [k for k, _ in rows] for q, rows in plain_nearest(good).items()}
     assert ann.report(frame.limit(0)).count() == 0
     assert ann.report(frame.filter("vec_id = 0")).count() == 0
+
+
+def test_recall_over_many_chunks_and_near_copies(spark):
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((4, 32))
+    near = np.repeat(centres, 1000, axis=0) + 0.01 * draw.standard_normal((4000, 32))  # cosine about 0.9999
+    vecs = np.concatenate((near, draw.standard_normal((3000, 32))))[draw.permutation(7000)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    found = {}
+    for r in ann.report(frame).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, ids in found.items():
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits += len(ids & set(np.argsort(-sims)[:5].tolist()))
+    assert len(found) == 140
+    assert hits / (5 * len(found)) >= 0.9

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeharbor.llm import ann, decontaminate, licenses, lm_mixing, packing, pii, simhash, suffix_dedup, toxicity, url_filter
+from codeharbor.llm import ann, decontaminate, fim, licenses, lm_mixing, merkle, packing, pieces, pii, simhash, suffix_dedup, toxicity, url_filter
 from codeharbor.llm.common import load
 from codeharbor.llm.oracles import ORACLE  # noqa: F401
 
@@ -54,6 +54,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(load(spark, sf_dir, "documents"), packing.vocabulary_text())
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(load(spark, sf_dir, "documents"), pieces.model_bytes())
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(load(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_simhash, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_pii_surrogates, op7_nearest_neighbours, op8_url_filter, op9_context_mixing, op10_packing,
+    op11_piece_encoding, op12_fill_in_middle, op13_merkle_manifest,
 )}

@@ -46,6 +46,15 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def fresh_name(frame: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have, in any case of letters."""
+    taken = {c.lower() for c in frame.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def total_bytes(frame: DataFrame, column: str) -> int:
     return frame.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

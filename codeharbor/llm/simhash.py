@@ -13,11 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm import near_copies
-from codeharbor.llm.common import components, written
+from codeharbor.llm.common import components, fresh_name, written
 
 WIDTH, SEED, CHUNK = 3, 42, 1 << 16
 RADIUS = 3
@@ -78,30 +77,37 @@ def links(prints: DataFrame) -> DataFrame:
     return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
+def _classes(prints: DataFrame, least: Column) -> DataFrame:
+    """(fp, component, low) of prints(fp, ...): its component of linked fingerprints, and the least of
+    `least` over the component's rows."""
+    groups = components(links(prints.select("fp").distinct()))
+    own = prints.groupBy("fp").agg(F.min(least).alias("low"))
+    own = written(own.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
+    lows = own.groupBy("component").agg(F.min("low").alias("low"))
+    return own.drop("low").join(lows, "component")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, fingerprint (16 hex digits), component_id (smallest key reachable).
 
     Null and blank texts have fingerprint zero and are linked like any other; repeated rows stay; a
-    null key never names a component unless the component has no other.
+    null key never names a component unless the component has no other. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, text, key))
-    groups = components(links(prints.select("fp").distinct()))
-    least = prints.groupBy("fp").agg(F.min(key).alias("low"))
-    least = written(least.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
-    ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = least.join(ids, "component").select("fp", "component_id")
+    classes = _classes(prints, F.col(key)).select("fp", F.col("low").alias("component_id"))
     return prints.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one
-    with the smallest key; columns stay as they are.
+    """One row of each component of `near_duplicates`, columns as they are: the one with the smallest
+    key, of its rows the one with the smallest text, of equal ones any.
 
-    A document without a key goes by a hash of its text, which counts as larger than any key. Of rows
-    with the same key and text one stays; of a group's different texts under its smallest key, the one
-    with the smallest hash. Texts are shuffled by key and text, and where they share shingles.
+    Rows without a key come after all others. Null and blank texts are near copies of each other, so one
+    of them stays. An empty table stays empty.
     """
-    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 2)
-    named = docs.withColumn("_name", F.coalesce(F.col(key).cast("long"), unnamed)).withColumn("_hash", F.xxhash64(text))
-    kept = near_copies.groups(named.select("_name", text), text, "_name").toDF("_name", "_hash")
-    return named.join(kept, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).select(*docs.columns)
+    whole, held = (fresh_name(docs, n) for n in ("row", "held"))
+    name = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.xxhash64(text, F.lit(1)).alias("c"), F.xxhash64(text, F.lit(2)).alias("d"))
+    prints = written(fingerprints(docs.select(name.alias("doc_id"), F.col(text).alias("text"))))
+    kept = _classes(prints, F.col("doc_id")).select(F.col("low").alias(held)).distinct()
+    rows = docs.select(name.alias(held), F.struct(*[docs[c] for c in docs.columns]).alias(whole))
+    return rows.join(kept, held, "left_semi").groupBy(held).agg(F.first(whole).alias(whole)).select(f"{whole}.*")

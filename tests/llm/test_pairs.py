@@ -80,42 +80,13 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def plain_near_copies(docs, width=5):
-    """The smallest key of each group of texts linked by a Jaccard similarity of 0.8 or more."""
-    sets = {}
-    for k, t in docs.items():
-        ws = (t or "").lower().split()
-        sets[k] = {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} if ws else set()
-    root = {k: k for k in docs}
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in docs:
-        for b in docs:
-            shared = len(sets[a] & sets[b])
-            if a < b and (sets[a] == sets[b] or 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared)):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return sorted({find(k) for k in docs})
-
-
-def test_stage_drops_every_near_copy(spark):
-    draw = random.Random(8)
-    base = [[f"w{draw.randrange(5000)}" for _ in range(n)] for n in (6, 30, 60, 120, 200)]
-    common = [f"c{i}" for i in range(40)]
-    texts = [" ".join(b) for b in base] + [" ".join(common + [f"u{i}x{j}" for j in range(n)]) for i, n in enumerate((2, 3, 5, 8, 9, 10, 12, 40) * 3)]
-    for b in base * 14:  # copies with changed, added and lost words
-        t = list(b)
-        for _ in range(draw.randrange(5)):
-            t[draw.randrange(len(t))] = f"x{draw.randrange(10**6)}"
-        texts.append(" ".join((t + common[: draw.randrange(6)])[draw.randrange(3) :]))
-    docs = dict(enumerate(texts))
-    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect())
-    assert got == plain_near_copies(docs)
-    assert len(got) < len(docs)
+def test_stage_keeps_the_first_of_each_component(spark):
+    docs = {r[0]: r[1] for r in table("documents")}
+    want = {low for _, low in plain_components({k: plain_fingerprint(t) for k, t in docs.items()}).values()}
+    frame = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS _row", "'mine' AS _held", "3 AS fp")
+    got = simhash.keep_one(frame).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and all(r["_held"] == "mine" and r["text"] == docs[r["doc_id"]] for r in got)
+    assert simhash.keep_one(frame.limit(0)).count() == 0
 
 
 def test_one_row_of_each_group_stays_when_a_key_repeats(spark):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codeharbor.llm.common import block_count
 
 SIZE, END_ID, SENTENCE_PENALTY, STEP, STEP_PENALTY = 2048, 1, 8, 32, 24
-STRETCH, CACHE, LONGEST_CACHED = 1 << 21, 600_000, 64
+STRETCH, CACHE, LONGEST_CACHED = 1 << 21, 300_000, 64
 # the split pattern of the byte-level vocabulary, as its README gives it
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOOSE = re.compile(r" (?:\s|\Z)")

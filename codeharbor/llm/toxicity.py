@@ -27,7 +27,8 @@ from codeharbor.llm.decontaminate import words_of
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE, ENTRIES, LEAST_DOCS, LEAST_SHARE, RATIO = 6000, 200, 3, 0.01, 20.0
-LEVEL, THRESHOLD, CACHE = 3, 0.7, 1_000_000
+LEVEL, THRESHOLD = 3, 0.7
+CACHE, LONGEST_KNOWN = 200_000, 64  # words a task keeps, and the bytes of the longest
 PAD = b" ~~~~~~~~~~~~"
 STEPS = (2, 3, 4, 5)
 
@@ -61,10 +62,14 @@ class Windows:
         words = words_of(text)
         if len(self.known) > CACHE:
             self.known.clear()
-        for w in set(words).difference(self.known):
+        fresh = set(words).difference(self.known)
+        for w in fresh:
             window = b" " + w + PAD
             self.known[w] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
         gain = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for w in fresh:
+            if len(w) > LONGEST_KNOWN:
+                del self.known[w]
         if not len(gain):
             return [0.0] * (1 + 2 * len(STEPS)) + [1.0]
         counts = [int((gain >= s).sum()) for s in STEPS]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["files_extract", "files_parse", "inventory", "configs", "agents", "workloads", "pipes"]
+FAMILIES = ["files_extract", "files_parse", "inventory", "configs", "agents", "workloads", "pipes", "live"]
 
 
 def _merge(attribute: str) -> dict:

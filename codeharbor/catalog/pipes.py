@@ -214,7 +214,7 @@ ORACLE["t3_session_gaps_stream"] = over(
 QUERIES["t4_rate_breaches_stream"] = _closed(
     lambda calls: streams.rate_breaches_stream(calls, F.lit(0).cast("long")).drop("limit"), "window_start")
 ORACLE["t4_rate_breaches_stream"] = over(f"""SELECT tool_name, strftime(date_trunc('minute', ts), {STAMP}) AS window_start,
-    count(*) AS n_calls FROM tool_calls GROUP BY ALL
+    count(*) AS n_calls FROM tool_calls GROUP BY tool_name, date_trunc('minute', ts)
   HAVING strftime(date_trunc('minute', ts) + INTERVAL 1 MINUTE, {STAMP}) <= {WATERMARK}""", "tool_calls")
 
 

@@ -134,6 +134,7 @@ DEFAULT_RATE_LIMIT = 100
 LANGUAGE_WORDS = ["Python", "JavaScript", "Java", "C++", "Go", "Rust", "Ruby"]
 
 # --- fixed values: config lint texts ------------------------------------------------------
+RETRY_STEP = "Fix the error and try again"
 PRACTICE_AUTOTERMINATION = "Consider adding autotermination_minutes to clusters"
 PRACTICE_SPOT = "Consider using spot instances in development"
 PRACTICE_EMAIL = "Consider adding email notifications for job status"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeharbor.functions import rules
 from codeharbor.functions.text import cut, extract_yaml
 from codeharbor.functions.tools import call_label, clean_tool, is_destructive, subagent, tool_groups
+from codeharbor.plans.running import joined_texts
 
 
 def _tool_uses(messages: DataFrame) -> DataFrame:
@@ -36,8 +37,15 @@ def calls(messages: DataFrame) -> DataFrame:
     return _tool_uses(messages).select("session_id", "seq", clean_tool(F.col("tool_name")).alias("tool"))
 
 
-def calls_by_category(messages: DataFrame) -> DataFrame:
-    """(tool_group, n_calls): a call counts once in every group its tool is in."""
+def calls_by_category(messages: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(tool_group, n_calls): a call counts once in every group its tool is in.
+
+    The groups are the built-in ones, or the rows of registry(tool_group, tool). Calls are counted per
+    tool first, so the registry meets as many rows as there are tools.
+    """
+    if registry is not None:
+        counts = calls(messages).groupBy("tool").agg(F.count("*").alias("n"))
+        return counts.join(registry.select("tool_group", "tool").distinct(), "tool").groupBy("tool_group").agg(F.sum("n").alias("n_calls"))
     return (
         calls(messages).select(F.explode(tool_groups(F.col("tool"))).alias("tool_group"))
         .groupBy("tool_group").agg(F.count("*").alias("n_calls"))
@@ -113,6 +121,15 @@ def session_text(messages: DataFrame) -> DataFrame:
     return _assistant_text(messages).select("session_id", "turn_id", "seq", "text")
 
 
+def turn_text(messages: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(session_id, turn_id, chunk_no, text): the whole reply of every turn, in chunks of `width` characters.
+
+    The chunks of a turn joined in order are its reply; a turn of any length is spread over tasks.
+    """
+    replies = session_text(messages)
+    return joined_texts(replies, ["session_id", "turn_id"], ["seq"], "text", width)
+
+
 def turn_partials(messages: DataFrame) -> DataFrame:
     """Totals per turn of a part of the messages, in a form that merges: see `merge_turns`."""
     config = F.when((F.col("msg_type") == "assistant") & (F.col("block_type") == "text"), extract_yaml(F.col("text")))

@@ -174,6 +174,23 @@ def validation_rows(runs: DataFrame, ruleset: str = "mcp") -> DataFrame:
     )
 
 
+def validation_failures(failures: DataFrame) -> DataFrame:
+    """The full row of a validation that could not be run, from failures(run_id, error): not passed, one
+    error, no score, the error as security issue and as the action to take."""
+    none = F.array().cast("array<string>")
+    error = F.array("error")
+    return failures.select(
+        "run_id", F.lit(False).alias("validation_passed"),
+        F.struct(F.lit(1).alias("total_errors"), F.lit(0).alias("total_warnings")).alias("validation_summary"),
+        error.alias("errors"), none.alias("warnings"),
+        F.struct(F.lit(0).alias("score"), none.alias("suggestions")).alias("best_practices"),
+        F.struct(F.lit(False).alias("passed"), error.alias("issues")).alias("security_checks"),
+        F.struct(
+            error.alias("immediate_actions"), none.alias("improvements"), F.array(F.lit(rules.RETRY_STEP)).alias("next_steps")
+        ).alias("recommendations"),
+    )
+
+
 def validate(runs: DataFrame, configs: DataFrame) -> DataFrame:
     """Run outcome beside the lints of the run's config; NULL lints where there is no config."""
     content = F.col("content")

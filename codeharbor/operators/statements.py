@@ -10,7 +10,8 @@ from codeharbor.functions.text import cut, drop_words, find_all, strip
 
 # fixed values: a statement is a body up to ';' plus the blank and comment lines after it.
 # Possessive repeats keep matching iterative, so long texts cannot overflow the stack.
-BODY = r"""(?:[^;'"`/#-]++|'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|\# [^\n]*|/\*.*?\*/|[^;])++"""
+DOLLAR = r"\$(\w*)\$.*?\$\1\$"
+BODY = rf"""(?:[^;'"`/#$-]++|'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|\# [^\n]*|/\*.*?\*/|{DOLLAR}|[^;])++"""
 CLOSE = r";(?:\s|--[^\n]*|\# [^\n]*)*+"
 STATEMENT = rf"(?s){BODY}(?:{CLOSE})?|{CLOSE}"
 FIRST_WORD = r"(?s)^(?:\s|--[^\n]*+|\# [^\n]*+|/\*.*?\*/)*+(CREATE\s+OR\s+REPLACE|[A-Za-z]+)"
@@ -18,13 +19,53 @@ TYPED_WORDS = [
     "SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "REPLACE",
     "CREATE", "CREATE OR REPLACE", "ALTER", "DROP", "TRUNCATE",
 ]
+# fixed values: what opens and closes a block inside CREATE, BEGIN and DECLARE statements; IF, FOR, WHILE,
+# LOOP and REPEAT need no count, as their END names them. A bare BEGIN or BEGIN TRANSACTION opens nothing.
+QUOTED = rf"""(?s)'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|\# [^\n]*|/\*.*?\*/|{DOLLAR}"""
+BLOCK_OPEN = r"(?i)\bBEGIN\b(?!\s*(?:;|TRAN|WORK))|(?<!\bEND\s)\bCASE\b"
+BLOCK_CLOSE = r"(?i)\bEND\b(?!\s+(?:IF|FOR|WHILE|LOOP|REPEAT)\b)"
+BLOCK_START = r"(?i)^\s*(?:CREATE|BEGIN|DECLARE)\b"
+BLOCK_WORD = r"(?i)\bBEGIN\b"
 READ_TYPES = ["SELECT", "DELETE", "UPDATE"]
 WRITE_TYPES = ["INSERT", "CREATE", "MERGE"]
 
 
+def _in_blocks(pieces: Column) -> Column:
+    """Pieces that end at semicolons joined where a block is open: a state machine over the pieces.
+
+    It keeps the depth of blocks, whether the statement can hold blocks, whether its declarations still
+    wait for their BEGIN, and the numbers of the pieces that end a statement.
+    """
+    bare = F.transform(pieces, lambda p: F.regexp_replace(p, QUOTED, " "))
+    marks = F.transform(bare, lambda b, i: F.struct(
+        i.alias("at"), F.rlike(b, F.lit(BLOCK_START)).alias("may"), F.rlike(b, F.lit(BLOCK_WORD)).alias("begin"),
+        F.rlike(b, F.lit(r"(?i)\bDECLARE\b")).alias("declare"),
+        (F.regexp_count(b, F.lit(BLOCK_OPEN)) - F.regexp_count(b, F.lit(BLOCK_CLOSE))).alias("change")))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("may"), F.lit(False).alias("waits"), F.array().cast("array<int>").alias("ends"))
+
+    def step(state: Column, mark: Column) -> Column:
+        fresh = (state["depth"] == 0) & ~state["waits"]
+        may = F.when(fresh, mark["may"]).otherwise(state["may"])
+        depth = F.when(may, F.greatest(F.lit(0), state["depth"] + mark["change"])).otherwise(F.lit(0))
+        waits = may & ~mark["begin"] & (state["waits"] | mark["declare"]) & (depth == 0)
+        ends = F.when((depth == 0) & ~waits, F.concat(state["ends"], F.array(mark["at"]))).otherwise(state["ends"])
+        return F.struct(depth.alias("depth"), may.alias("may"), waits.alias("waits"), ends.alias("ends"))
+
+    ends = F.aggregate(marks, start, step)["ends"]
+    last = F.size(pieces) - 1
+    ends = F.array_union(ends, F.array(last))  # an open block ends with the text
+    return F.transform(ends, lambda e, i: F.array_join(
+        F.slice(pieces, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + 1) + 1, e - F.when(i == 0, F.lit(-1)).otherwise(F.get(ends, i - 1))), ""))
+
+
 def statement_list(content: Column) -> Column:
-    """Statements in order, without the ones that hold nothing but blanks."""
-    return F.filter(F.regexp_extract_all(content, F.lit(STATEMENT), F.lit(0)), lambda s: strip(s) != "")
+    """Statements in order, without the ones that hold nothing but blanks.
+
+    A block between BEGIN and END and a text between dollar quotes are part of one statement.
+    """
+    pieces = F.filter(F.regexp_extract_all(content, F.lit(STATEMENT), F.lit(0)), lambda s: strip(s) != "")
+    return F.when(F.rlike(content, F.lit(BLOCK_WORD)) & (F.size(pieces) > 0), _in_blocks(pieces)).otherwise(pieces)
 
 
 def statement_type(statement: Column) -> Column:

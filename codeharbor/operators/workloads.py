@@ -104,6 +104,19 @@ def customer_metrics(spark: SparkSession, transactions: DataFrame, customers: Da
     )
 
 
+def create_customer_metrics(
+    spark: SparkSession, transactions: DataFrame, customers: DataFrame, since: str, table: str, path: str, buckets: int = 64
+) -> DataFrame:
+    """Create the catalog table of `customer_metrics` at a path, or replace it, and give it back.
+
+    It is bucketed and sorted by customer_id, so a join or grouping on that key reads it in place: that
+    side needs no exchange.
+    """
+    metrics = customer_metrics(spark, transactions, customers, since)
+    metrics.write.mode("overwrite").option("path", path).bucketBy(buckets, "customer_id").sortBy("customer_id").saveAsTable(table)
+    return spark.table(table)
+
+
 def wide_aggregate(rows: DataFrame, keys: list[str], value: str, having: float) -> DataFrame:
     """Sum, average and standard deviation by keys, for groups whose sum exceeds `having`."""
     return rows.groupBy(*keys).agg(

@@ -10,6 +10,17 @@ HOT_SALTS = 1024  # shared out among the hot keys by their part of the rows
 HOT_PART = 1000  # a key with more than one row in so many is hot
 
 
+FEW = 10_000
+
+
+def few_broadcast(lookup: DataFrame, most: int = FEW) -> DataFrame:
+    """The lookup with a broadcast hint if it has at most `most` rows, else as it is.
+
+    At most one row more than that is counted, so the check costs little on a large lookup.
+    """
+    return F.broadcast(lookup) if lookup.limit(most + 1).count() <= most else lookup
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """(key, _salts): the keys with more than 1/HOT_PART of all rows, and the salts each needs.
 

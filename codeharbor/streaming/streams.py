@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 
 from codeharbor.operators import agentlog, extraction
 from codeharbor.plans import analysis
+from codeharbor.plans.skew import few_broadcast
 from codeharbor.sources.files import _plain_path
-from codeharbor.sources.sinks import append_batch, read_versions, upsert_table
+from codeharbor.sources.sinks import append_batch, latest, read_versions, upsert_table
 
 
 def file_stream(spark: SparkSession, root: str, glob: str = "*", per_trigger: int = 10_000) -> DataFrame:
@@ -77,6 +78,34 @@ def rate_breaches_stream(
     return agentlog.rate_breaches(calls.withWatermark("ts", lateness), limit, width)
 
 
+def without_repeats(rows: DataFrame, keys: list[str], ts: str = "ts", bound: str = "10 minutes") -> DataFrame:
+    """The first row of every key; a repeat at most `bound` later in event time is dropped.
+
+    State holds the keys of that span only, whatever the length of the stream.
+    """
+    return rows.withWatermark(ts, bound).dropDuplicatesWithinWatermark(keys)
+
+
+def ruled_breaches_stream(
+    calls: DataFrame, rules: str, default: int, table: str, checkpoint: str, width: str = "1 minute", lateness: str = "10 minutes"
+) -> StreamingQuery:
+    """Windows over the limit of their tool, by a table of rules(tool_name, limit) at a path.
+
+    The rules are read anew for every micro-batch, so a changed limit holds from the next batch on, and
+    broadcast only if they are few. Tools without a rule have the default. Rows go to a table of versions.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        limits = latest(spark.read.parquet(rules).select("tool_name", "limit"), ["tool_name"], ["limit"])
+        limits = few_broadcast(limits)
+        told = batch.join(limits, "tool_name", "left").withColumn("limit", F.coalesce(F.col("limit").cast("long"), F.lit(default).cast("long")))
+        append_batch(told.filter("n_calls > limit"), table.rstrip("/"), f"{query_id(spark, checkpoint)}-{number}")
+
+    windows = agentlog.calls_per_window(calls.withWatermark("ts", lateness), width)
+    return windows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append to a Parquet folder, exactly once, until the input now present is used up."""
     return (
@@ -104,8 +133,17 @@ def versions_stream(
     )
 
 
-def upsert_stream(rows: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the latest row per key in a table; a repeated micro-batch changes nothing."""
+def upsert_stream(
+    rows: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str,
+    repeats: tuple[list[str], str, str] | None = None,
+) -> StreamingQuery:
+    """Keep the latest row per key in a table; a repeated micro-batch changes nothing.
+
+    `repeats` are (columns, event time, bound) of rows that may be delivered again: of these only the
+    first is written, see `without_repeats`.
+    """
+    if repeats:
+        rows = without_repeats(rows, *repeats)
 
     def apply(batch: DataFrame, number: int) -> None:
         upsert_table(batch, table, keys, order, f"{query_id(batch.sparkSession, checkpoint)}-{number}")

@@ -286,12 +286,12 @@ def _created(spark, sf_dir):
     name = f"customer_metrics_{uuid.uuid4().hex}"
     return workloads.create_customer_metrics(
         spark, asset(spark, sf_dir, "transactions"), customers(spark, sf_dir), "1995-01-01", name, scratch(spark, "metrics")
-    ).select("customer_id", "transaction_count", F.round("total_spent", 2).alias("total_spent"), F.round("avg_transaction", 6).alias("avg_transaction"))
+    ).select("customer_id", "transaction_count", F.round("total_spent", 2).alias("total_spent"), F.floor(F.col("avg_transaction") * 1000).alias("avg_transaction"))
 
 
 QUERIES["e7_created_table"] = _created
 ORACLE["e7_created_table"] = over(f"""SELECT customer_id, count(*) AS transaction_count, round(sum(CAST(amount AS DECIMAL(18,2)))::DOUBLE, 2) AS total_spent,
-    round(sum(CAST(amount AS DECIMAL(18,2)))::DOUBLE / count(amount), 6) AS avg_transaction
+    floor(sum(CAST(amount AS DECIMAL(18,2)))::DOUBLE / count(amount) * 1000)::BIGINT AS avg_transaction
   FROM transactions JOIN customers ON customer_id = id WHERE transaction_date >= DATE '1995-01-01'
   GROUP BY customer_id HAVING count(amount) > 0""", "transactions", CUSTOMERS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +55,21 @@ def _in_blocks(pieces: Column) -> Column:
         return F.struct(depth.alias("depth"), may.alias("may"), waits.alias("waits"), ends.alias("ends"))
 
     ends = F.aggregate(marks, start, step)["ends"]
-    last = F.size(pieces) - 1
-    ends = F.array_union(ends, F.array(last))  # an open block ends with the text
-    return F.transform(ends, lambda e, i: F.array_join(
-        F.slice(pieces, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + 1) + 1, e - F.when(i == 0, F.lit(-1)).otherwise(F.get(ends, i - 1))), ""))
+    ends = F.array_union(ends, F.array(F.size(pieces) - 1))  # an open block ends with the text
+
+    def cut(last: Column) -> Column:
+        def statement(end: Column, i: Column) -> Column:
+            first = F.when(i == 0, F.lit(0)).otherwise(F.get(last, i - 1) + 1)
+            return F.array_join(F.slice(pieces, first + 1, end - first + 1), "")
+
+        return F.transform(last, statement)
+
+    return _with(ends, cut)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used inside."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def statement_list(content: Column) -> Column:
@@ -65,7 +78,7 @@ def statement_list(content: Column) -> Column:
     A block between BEGIN and END and a text between dollar quotes are part of one statement.
     """
     pieces = F.filter(F.regexp_extract_all(content, F.lit(STATEMENT), F.lit(0)), lambda s: strip(s) != "")
-    return F.when(F.rlike(content, F.lit(BLOCK_WORD)) & (F.size(pieces) > 0), _in_blocks(pieces)).otherwise(pieces)
+    return _with(pieces, lambda p: F.when(F.rlike(content, F.lit(BLOCK_WORD)) & (F.size(p) > 0), _in_blocks(p)).otherwise(p))
 
 
 def statement_type(statement: Column) -> Column:

@@ -170,41 +170,48 @@ def test_surrogates_of_tables_and_long_texts(spark):
 # ---- licences ---------------------------------------------------------------------------------------------
 
 
+def plain_passages(path, text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+    def says(t):
+        return any(m in t for m in licenses.MENTIONS)
+
+    made = [ln for ln in text.split("\n") if says(ln)]
+    header = re.split(r"\n[ \t\r]*\n", text, maxsplit=1)[0]
+    made += [header] if "\n" in header and says(header) else []
+    made += [text] if path and re.search(licenses.LICENCE_FILE, path) and says(text) else []
+    return made
+
+
 def plain_licences(files):
-    vocabulary = licenses.vocabulary(licenses.TEMPLATES)
-    lines = [ln for _, t in files for ln in (t or "").split("\n")]
-    df = {t: sum(t in licenses.words(ln) for ln in lines) for t in vocabulary}
-    idf, rare = {t: math.log((len(lines) + 1) / (df[t] + 1)) + 1 for t in vocabulary}, math.log(len(lines) + 1) + 1
+    texts = [(name, licenses.words(t)) for name in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[name]]
+    held = [set(licenses.words(t or "")) for _, t in files]
+    idf = lambda w: math.log((len(files) + 1) / (sum(w in h for h in held) + 1)) + 1
     own = []
     for path, text in files:
         best = (0.0, 0, "")
-        for ln in (text or "").split("\n"):
-            ws = licenses.words(ln)
-            if not set(ws) & set(vocabulary):
-                continue
-            size = math.sqrt(sum((ws.count(w) * idf[w]) ** 2 for w in set(ws) if w in idf) + sum(w not in idf for w in ws) * rare**2)
-            at = 0
-            for name in sorted(licenses.TEMPLATES):
-                for t in licenses.TEMPLATES[name]:
-                    tw = licenses.words(t)
-                    v = {w: tw.count(w) * idf[w] for w in set(tw)}
-                    norm = math.sqrt(sum(x * x for x in v.values()))
-                    cos = round(sum(v[w] / norm * ws.count(w) * idf[w] for w in v) / size, 6)
-                    best = max(best, (cos, at, name))
-                    at -= 1
+        for passage in plain_passages(path, text):
+            ws = licenses.words(passage)
+            mine = {w: ws.count(w) * idf(w) for w in set(ws)}
+            size = math.sqrt(sum(v * v for v in mine.values()))
+            for at, (name, tw) in enumerate(texts):
+                theirs = {w: tw.count(w) * idf(w) for w in set(tw)}
+                norm = math.sqrt(sum(v * v for v in theirs.values()))
+                cos = round(sum(theirs[w] * mine.get(w, 0) for w in theirs) / size / norm, 6) if size else 0
+                best = max(best, (cos, -at, name))
         own.append((path, best[2] if best[0] >= licenses.THRESHOLD else None, best[0] or None))
     given = {}
     for path, name, score in own:
         if name and path and re.search(licenses.LICENCE_FILE, path):
             folder = path.rpartition("/")[0]
-            given[folder] = max(given.get(folder, (0, "")), (score, name))
+            given[folder] = min(given.get(folder, (1,)), (-score, path, name))
     out = []
     for path, name, score in own:
         folder, up = (path or "").rpartition("/")[0], 0
         where = None
         while path is not None:
             if folder in given:
-                where = (given[folder][1], folder, up)
+                where = (given[folder][2], folder, up)
                 break
             if not folder:
                 break
@@ -227,11 +234,24 @@ def test_licences_match_brute_force(spark):
     want = plain_licences(FILES)
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
-    clash = frame.selectExpr("*", "'u' AS up", "'l' AS lic", "1 AS near")
-    assert licenses.scan(clash).count() == len(FILES)
+    clash = frame.selectExpr("*", "'u' AS up", "'l' AS lic", "1 AS near", "2 AS o", "3 AS p", "4 AS row", "5 AS passages")
+    made = licenses.scan(clash)
+    assert made.count() == len(FILES) and {(r["up"], r["o"], r["row"]) for r in made.collect()} == {("u", 2, 4)}
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_headers_of_real_files_and_ties(spark):
+    rows = [(f"/f/{i}.txt", f"words of file {i} about nothing\nand more of it") for i in range(400)]
+    rows += [("/m/a.py", "# This file is licensed under the MIT License, see the LICENSE file for details\nimport os"),
+             ("/g/b.c", "/* program\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License\n */\n\nint x;"),
+             ("/t/LICENSE.1", "Licensed under the Apache License, Version 2.0."), ("/t/LICENSE.2", "Released under the MIT License."), ("/t/x.txt", "nothing"),
+             ("/w/LICENSE", "Redistribution and use in source and binary forms,\nwith or without modification,\nare permitted."), ("/w/y", "")]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert (got["/m/a.py"]["own_license"], got["/g/b.c"]["own_license"]) == ("MIT", "GPL-3.0")
+    assert got["/t/x.txt"]["license"] == "Apache-2.0" and got["/w/y"]["license"] == got["/w/LICENSE"]["own_license"] == "BSD-3-Clause"
+    assert not any(got[f"/f/{i}.txt"]["license"] for i in range(400))
+
+
 def test_licences_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     files = [tuple(r) for r in licenses.as_files(docs).select("path", "text").collect()]

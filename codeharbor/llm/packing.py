@@ -44,12 +44,13 @@ class Encoder:
     """Ids of texts by a byte-level BPE vocabulary file, with the ids of recent words kept.
 
     A space before a non-space always begins a new word of the split pattern, so a text without other
-    spaces falls apart into words that can be encoded alone; any other text is encoded whole.
+    spaces falls apart into words that can be encoded alone; any other text is encoded whole. The string
+    of a special token in a text is that token, as the tokenizer's file says.
     """
 
     def __init__(self, vocabulary: str):
         spec, byte_of = json.loads(vocabulary), _byte_of()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 2, np.int64)
@@ -58,9 +59,14 @@ class Encoder:
             self.sizes[i] = len(token)
             self.closes[i] = token.endswith((b".", b"!", b"?", b"\n", "。".encode()[-1:]))
         self.known: dict[str, bytes] = {}
+        self.special = special
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), np.uint32).tobytes()
+        if not self.cut:
+            return np.array(self.bpe.encode_ordinary(text), np.uint32).tobytes()
+        parts = self.cut.split(text)  # special tokens stand at the odd places
+        return b"".join(np.array([self.special[p]] if i % 2 else self.bpe.encode_ordinary(p), np.uint32).tobytes() for i, p in enumerate(parts))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null and empty texts have none."""
@@ -68,7 +74,7 @@ class Encoder:
             self.known.clear()
         known, split = self.known, []  # per text: what is encoded already, and the words, without their space, still to look up
         for t in texts:
-            if not t or _LOOSE.search(t):
+            if not t or _LOOSE.search(t) or (self.cut and self.cut.search(t)):
                 split.append((self._whole(t or ""), ()))
             else:
                 first, *rest = t.split(" ")
@@ -156,11 +162,13 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, text: str = "text",
     """One row per piece: key, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
 
     vocabulary is the content of a byte-level tokenizer file. Each document is its ids and END_ID, so a
-    null or empty text is one token. Repeated keys are documents of their own; equal rows are too. An
+    null or empty text is one token. Repeated keys are documents of their own, in the order of a hash of
+    their text; equal rows are too. An
     empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    rows = rows.repartitionByRange(block_count(rows, "t"), "k").sortWithinPartitions("k")
+    order = ["k", F.xxhash64("t"), "t"]  # the texts of one key may be many tasks'
+    rows = rows.repartitionByRange(block_count(rows, "t"), *order[:2]).sortWithinPartitions(*order)
     end = np.array([END_ID], np.uint32).tobytes()
     kind = rows.schema["k"].dataType.simpleString()
 

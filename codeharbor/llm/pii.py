@@ -5,7 +5,13 @@ wherever it occurs, so coreference holds; a check over all entities keeps surrog
 each other and from every real value, and the losers of a collision try again with the next number.
 Surrogates keep what the type needs: character classes and separators, country codes, card brands and
 check digits, valid address numbers, key prefixes, and, for names after a title, gender and script.
-Everything is built-in functions and joins; only texts that hold entities are shuffled.
+Each word of a name is an entity of its own, so "Mr John Smith" and "Mr Smith" stay related.
+
+Types: e-mail addresses; values of password, token, secret and key settings; AKIA access keys; phone
+numbers with a country code or of ten digits; IPv4 and IPv6 addresses; payment cards of 15 and 16 digits;
+IBANs; US social security numbers; names of one to three words after a title (Latin, Cyrillic, Greek).
+Everything is built-in functions and joins; the pattern runs over each text once, and only texts that
+hold entities are shuffled.
 """
 
 from __future__ import annotations
@@ -13,19 +19,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm.common import written
+from codeharbor.llm.common import fresh_name, written
 
 ROUNDS = 8
+MARK = "\ue0f0"  # stands around what is found; the text's own are set apart by a semicolon meanwhile
 TITLES = {
-    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"],
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"],
+    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "Dr", "Prof", "κ"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα"],
 }
 NAMES = {
     ("m", "latin"): "Adler Brandt Castro Dupont Ellis Ferrer Garnier Hughes Ibarra Jansen Keller Lambert Moreau Norris Ortega Parker".split(),
     ("f", "latin"): "Alonso Bennett Clarke Durand Engel Fischer Gomez Hansen Irwin Jimenez Krause Laurent Mercer Navarro Olsen Petit".split(),
     ("m", "cyrillic"): "Белов Громов Жуков Зимин Котов Лавров Носов Седов".split(),
     ("f", "cyrillic"): "Белова Громова Жукова Зимина Котова Лаврова Носова Седова".split(),
+    ("m", "greek"): "Αλεξίου Βλάχος Γεωργίου Δήμου Ζήσης Κώστας Λάμπρου Μάνος".split(),
+    ("f", "greek"): "Αλεξάκη Βλάχου Γρίβα Δούκα Ζέρβα Κόκκαλη Λάππα Μακρή".split(),
 }
+SCRIPTS = {"cyrillic": (r"\p{IsCyrillic}", "аеиоувклмнрстдпя"), "greek": (r"\p{IsGreek}", "αειουβκλμνρστδπω"), "latin": (".", "aeioulmnrstdkvpy")}
+_HEX = "[0-9A-Fa-f]{1,4}"
+_NAME = r"\p{Lu}\p{L}*+(?:['’](?!s(?!\p{L}))\p{L}++)*+(?:-\p{Lu}\p{L}*+)*+"
 SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 PATTERN = "|".join([
@@ -33,46 +45,68 @@ PATTERN = "|".join([
     r"(?<![\p{L}\p{N}_])" + SECRET + r"[A-Za-z0-9+/_-]{8,}+",
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)",
+    r"(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<![\d.-])\d{3}([.-])\d{3}[.-]\d{4}(?![\d-])",
+    rf"(?<![0-9A-Fa-f:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)(?![0-9A-Za-z:.])",
     r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    r"(?<!\d)\d{4}(?:([ -]?)\d{4}){3}(?!\d)",
+    r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
+    r"(?<!\d)3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}++(?:-\p{{Lu}}\p{{Ll}}++)?",
-]).replace("([ -]?)", "[ -]?")
+    rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}+",
+]).replace("([.-])", "[.-]")
 
 
 def _kind(m: Column) -> Column:
     return (
-        F.when(m.rlike(r"^[^=:\s\"']*@"), "email").when(m.rlike("^" + SECRET), "secret").when(m.startswith("AKIA"), "key")
-        .when(m.startswith("+"), "phone").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "address").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "number")
+        F.when(m.rlike(r"^[^=:\s\"']*@"), "email").when(m.rlike("^" + SECRET), "secret").when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), "key")
+        .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").when(m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "address6").when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "address").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "number")
         .when(m.rlike(r"^\d"), "card").otherwise("person")
     )
 
 
 def _head(m: Column, kind: Column) -> Column:
     """What stands before the value and stays: the name of a secret, the title of a person."""
-    return F.when(kind == "secret", F.regexp_extract(m, "^" + SECRET, 0)).when(kind == "person", F.regexp_extract(m, r"^(\S+ )", 1)).otherwise("")
+    return F.when(kind == "secret", F.regexp_extract(m, "^" + SECRET, 0)).when(kind == "person", F.regexp_extract(m, r"^(?:%s)\.? " % _TITLE, 0)).otherwise("")
 
 
-def _identity(m: Column, kind: Column) -> Column:
-    """What makes two mentions the same: letters' case and digit separators do not count where the type ignores them."""
+def _identities(m: Column, kind: Column) -> Column:
+    """What makes two mentions the same, one text for each word of a name and one for any other: letters' case
+    and separators do not count where the type ignores them."""
     value = F.substr(m, F.length(_head(m, kind)) + 1)
     gender = F.when(F.regexp_replace(_head(m, kind), r"\.? $", "").isin(TITLES["f"]), "f").otherwise("m")
-    return (
-        F.when(kind == "email", F.lower(value))
+    one = (
+        F.when(kind.isin("email", "address6"), F.lower(value))
+        .when((kind == "phone") & ~value.startswith("+"), F.concat(F.lit(" "), F.regexp_replace(value, r"\D", "")))
+        .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+\d{1,3}?)(?:[ .-]|\(|\d{9,}$|\d{2,4}[ .-])", 1), F.lit(" "), F.regexp_replace(F.regexp_replace(value, r"^\+\d{1,3}?(?=[ .-]|\(|\d{9,}$|\d{2,4}[ .-])", ""), r"\D", "")))
         .when(kind == "card", F.regexp_replace(value, r"\D", ""))
-        .when(kind == "person", F.concat(gender, F.lit(":"), value))
         .otherwise(value)
     )
+    names = F.transform(F.split(value, " "), lambda w: F.concat(gender, F.lit(":"), w))
+    return F.when(kind == "person", names).otherwise(F.array(one))
+
+
+def marked(text: Column) -> Column:
+    """The text with marks around every entity."""
+    own = F.replace(text, F.lit(MARK), F.lit(MARK + ";"))
+    return F.regexp_replace(own, PATTERN, f"{MARK}<$0{MARK}>")
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK + ";"), F.lit(MARK))
 
 
 def mentions(text: Column) -> Column:
-    """array of struct(kind, head, value, id): the entities of a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), 0)
+    """array of struct(kind, head, value, ids, rest) of a marked text: its entities in order, and the text after each."""
+    found = F.slice(F.split(text, MARK + "<"), 2, F.length(text))
 
-    def parts(m):
+    def parts(piece):
+        m = F.substring_index(piece, MARK + ">", 1)
         kind = _kind(m)
-        return F.struct(kind.alias("kind"), _head(m, kind).alias("head"), F.substr(m, F.length(_head(m, kind)) + 1).alias("value"), _identity(m, kind).alias("id"))
+        return F.struct(
+            kind.alias("kind"), _head(m, kind).alias("head"), F.substr(m, F.length(_head(m, kind)) + 1).alias("value"), _identities(m, kind).alias("ids"),
+            F.substr(piece, F.length(m) + len(MARK) + 2).alias("rest"))
 
     return F.transform(found, parts)
 
@@ -117,6 +151,28 @@ def _passes(number: Column) -> Column:
     return _check_digit(F.substr(number, F.lit(1), F.length(number) - 1)) == F.substr(number, F.length(number), F.lit(1))
 
 
+def _iban(country: Column, body: Column) -> Column:
+    """The account number with the check digits that belong to it."""
+    spelled = F.concat(body, country, F.lit("00"))
+
+    def add(acc, i):
+        c = F.substring(spelled, i, F.lit(1))
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + letter) % 97)
+
+    rest = F.aggregate(F.sequence(F.lit(1), F.length(spelled)), F.lit(0), add)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+
+def _hex_scramble(value: Column, stream: Column) -> Column:
+    """Each hexadecimal digit for another, colons as they are."""
+    def one(i):
+        c = F.substring(value, i, F.lit(1))
+        return F.when(c == ":", c).otherwise(F.substring(F.lit("123456789abcdef"), _at(stream, i) % 15 + 1, F.lit(1)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+
+
 def surrogate(secret: str, kind: Column, identity: Column, attempt: int) -> Column:
     """The candidate of an entity for one attempt, in the form of its identity."""
     stream = _stream(secret, kind, identity, attempt)
@@ -138,18 +194,20 @@ def surrogate(secret: str, kind: Column, identity: Column, attempt: int) -> Colu
     card = F.when(_passes(identity), F.concat(body, _check_digit(body))).otherwise(F.concat(F.substr(identity, F.lit(1), F.lit(1)), F.substr(mixed, F.lit(2))))
     gender = F.substr(identity, F.lit(1), F.lit(1))
     person = F.lit(None).cast("string")
-    for (sex, script), names in NAMES.items():
+    for (sex, script), names in sorted(NAMES.items(), key=lambda x: x[0][1] != "latin"):  # the last that fits counts, Latin fits all
         pool = F.array(*[F.lit(n) for n in names])
-        fits = (gender == sex) & (identity.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else F.lit(True))
+        fits = (gender == sex) & F.substr(identity, F.lit(3)).rlike(SCRIPTS[script][0])
         first = F.element_at(pool, F.pmod(F.conv(F.substring(stream, 1, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
         second = F.element_at(pool, F.pmod(F.conv(F.substring(stream, 7, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
-        ending = F.translate(F.substring(stream, 13, 2 + 2 * attempt), "0123456789abcdef", "аеиоувклмнрстдпя" if script == "cyrillic" else "aeioulmnrstdkvpy")
+        ending = F.translate(F.substring(stream, 13, 2 + 2 * attempt), "0123456789abcdef", SCRIPTS[script][1])
         name = [first, F.concat(first, F.lit("-"), second)][min(attempt, 1)]
-        person = F.when(fits, F.concat(gender, F.lit(":"), name if attempt < 2 else F.concat(name, ending))).otherwise(person)
+        made = F.concat(gender, F.lit(":"), name if attempt < 2 else F.concat(name, ending))
+        person = F.when(fits, made).otherwise(person)
     key = F.concat(F.lit("AKIA"), F.substr(mixed, F.lit(5)))
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", card)
-        .when(kind == "person", person).when(kind == "key", key).otherwise(mixed)
+        .when(kind == "person", person).when(kind == "key", key)
+        .when(kind == "iban", _iban(F.substr(identity, F.lit(1), F.lit(2)), F.substr(mixed, F.lit(5)))).when(kind == "address6", _hex_scramble(identity, stream)).otherwise(mixed)
     )
 
 
@@ -160,7 +218,8 @@ def registry(entities: DataFrame, secret: str, rounds: int = ROUNDS) -> DataFram
     so. The few that lose every round get a longer surrogate that ends in their own hash.
     """
     real = entities.select("kind", F.col("id").alias("sub"))
-    open_rows, given = entities, None
+    tasks = int(min(200, 1 + entities.count() // 1000))  # a candidate takes half a millisecond
+    open_rows, given = entities.repartition(tasks, "kind", "id"), None
     for attempt in range(rounds):
         wanted = open_rows.withColumn("sub", surrogate(secret, F.col("kind"), F.col("id"), attempt))
         won = wanted.groupBy("kind", "sub").agg(F.min("id").alias("id")).join(real, ["kind", "sub"], "left_anti")
@@ -184,37 +243,50 @@ def _render(kind: Column, value: Column, sub: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         return F.when(c.rlike(r"\d"), F.substring(digits, F.length(F.regexp_replace(F.substr(value, F.lit(1), i), r"\D", "")), F.lit(1))).otherwise(c)
 
-    spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
-    return F.when(kind.isin("phone", "card"), spaced).when(kind == "person", F.substr(sub, F.lit(3))).otherwise(sub)
+    def spread(i):
+        c = F.substring(value, i, F.lit(1))
+        return F.when(c == " ", c).otherwise(F.substring(sub, F.length(F.replace(F.substr(value, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))
+
+    each = F.sequence(F.lit(1), F.length(value))
+    spaced, grouped = (F.array_join(F.transform(each, f), "") for f in (one, spread))
+    return F.when(kind.isin("phone", "card"), spaced).when(kind == "iban", grouped).when(kind == "person", F.substr(sub, F.lit(3))).otherwise(sub)
 
 
 def replace(docs: DataFrame, secret: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with their entities replaced, and _n_entities, the mentions replaced in each.
 
     Texts without an entity, null and empty ones stay as they are. Rows with the same key and repeated
-    rows are treated each; the same entity has the same surrogate in all of them.
+    rows are treated each; the same entity has the same surrogate in all of them. Where a column is named
+    _n_entities already, the added one has more underscores. The marked texts are written once, so the
+    pattern runs over each text once; key is not looked at.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.sha2(F.col(text), 256)))
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
-    found = written(docs.filter(has).select(name.alias("k"), F.inline(F.array_distinct(F.transform(mentions(F.col(text)), lambda m: F.struct(m["kind"].alias("kind"), m["id"].alias("id")))))))
+    place = docs.columns.index(text)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = f"c{place}"
+    seen = inner.withColumn("m", marked(F.col(body).cast("string"))).withColumn("row", F.monotonically_increasing_id())
+    seen = written(seen.withColumn("m", F.when(F.contains("m", F.lit(MARK + "<")), F.col("m"))))
+    held = seen.filter("m IS NOT NULL")
+    entities = F.flatten(F.transform(mentions(F.col("m")), lambda m: F.transform(m["ids"], lambda i: F.struct(m["kind"].alias("kind"), i.alias("id")))))
+    found = written(held.select("row", F.inline(F.array_distinct(entities))))
     subs = registry(written(found.select("kind", "id").distinct()), secret)
     label = F.concat("kind", F.lit(":"), "id")
-    maps = found.distinct().join(subs, ["kind", "id"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(label, "sub"))).alias("_subs"))
-    rows = docs.filter(has).withColumn("_k", name).join(maps.withColumnRenamed("k", "_k"), "_k")
+    maps = found.join(subs, ["kind", "id"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(label, "sub"))).alias("subs"))
 
     def swap(m):
-        return F.concat(m["head"], _render(m["kind"], m["value"], F.element_at("_subs", F.concat(m["kind"], F.lit(":"), m["id"]))))
+        given = F.transform(m["ids"], lambda i: F.element_at("subs", F.concat(m["kind"], F.lit(":"), i)))
+        names = F.array_join(F.transform(given, lambda g: F.substr(g, F.lit(3))), " ")
+        return F.concat(m["head"], F.when(m["kind"] == "person", names).otherwise(_render(m["kind"], m["value"], given[0])), m["rest"])
 
-    rows = rows.withColumn("_m", mentions(F.col(text)))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("_m", swap), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    clean = rows.withColumn(text, F.array_join(pieces, "")).withColumn("_n_entities", F.size("_m").cast("long"))
-    plain = docs.filter(~has).withColumn("_n_entities", F.lit(0).cast("long"))
-    return plain.unionByName(clean.select(*plain.columns))
+    clean = held.join(maps, "row").withColumn("all", mentions(F.col("m")))
+    made = F.concat(F.substring_index("m", MARK + "<", 1), F.array_join(F.transform("all", swap), ""))
+    clean = clean.withColumn(body, _unmarked(made)).withColumn("n", F.size("all").cast("long"))
+    plain = seen.filter("m IS NULL").withColumn("n", F.lit(0).cast("long"))
+    return plain.select(*inner.columns, "n").unionByName(clean.select(*inner.columns, "n")).toDF(*docs.columns, fresh_name(docs, "n_entities"))
 
 
 def protect(docs: DataFrame, secret: str) -> DataFrame:
     """The documents with surrogates; n_chars, where there is one, follows the new text."""
-    made = replace(docs, secret)
+    made, count = replace(docs, secret), fresh_name(docs, "n_entities")
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")))
+        made = made.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")))
     return made.select(*docs.columns)

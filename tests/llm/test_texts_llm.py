@@ -144,6 +144,44 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert replaced(spark, rows) == got != replaced(spark, rows, "other")
 
 
+def test_whole_names_and_more_formats(spark):
+    rows = [
+        (1, "Mr John Smith met Mr McDonald, Mrs O'Brien and Dr Brown; call (555) 123-4567, 2001:db8::1"), (2, "Prof. Smith's talk, Mr Smith and Mr Jean-Luc D’Arcy Jones."),
+        (3, "κ Παπαδόπουλος, κα Μαρία Νικολάου; г-н Иван Петров"), (4, "IBAN DE89 3704 0044 0532 0130 00, DE89370400440532013000; 555-123-4567, card 3782 822463 10005"),
+        (5, "fe80:0:0:0:202:b3ff:fe1e:8329 and FE80:0:0:0:202:B3FF:FE1E:8329, not std::move or 12:30:45 or Dr. no one"), (6, "a \ue0f0 b \ue0f0< Mr Smith \ue0f0> c \ue0f0;"),
+    ]
+    got = replaced(spark, rows)
+    for i, words in ((1, "John Smith McDonald O'Brien Brown 123-4567 2001:db8"), (2, "Smith Jean Luc Arcy Jones"), (3, "Παπαδόπουλος Μαρία Νικολάου Иван Петров"), (4, "3704 DE89 123-4567 822463"), (5, "fe80 FE80 b3ff")):
+        assert not [w for w in words.split() if w in got[i][0]], got[i]
+    smith = re.match(r"Mr (\S+) (\S+) met Mr (\S+), Mrs (\S+) and Dr (\S+); call \(\d{3}\) \d{3}-\d{4}, [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]$", got[1][0]).group(2)
+    assert re.match(rf"Prof\. {smith}'s talk, Mr {smith} and Mr \S+ \S+ \S+\.$", got[2][0])
+    assert re.match(r"κ \p{IsGreek}+, κα \p{IsGreek}+ \p{IsGreek}+; г-н \p{IsCyrillic}+ \p{IsCyrillic}+$".replace(r"\p{IsGreek}", "[-Ͱ-Ͽ]").replace(r"\p{IsCyrillic}", "[-Ѐ-ӿ]"), got[3][0])
+    spaced, plain = re.match(r"IBAN (DE\d\d(?: \d{4}){4} \d\d), (DE\d{20}); \d{3}-\d{3}-\d{4}, card 3\d{3} \d{6} \d{5}$", got[4][0]).groups()
+    assert spaced.replace(" ", "") == plain and int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+    one, two = re.match(r"([0-9a-f:]+) and ([0-9a-f:]+), not std::move or 12:30:45 or Dr\. no one$", got[5][0]).groups()
+    assert one == two and [len(g) for g in one.split(":")] == [4, 1, 1, 1, 3, 4, 4, 4]
+    assert re.match("a \ue0f0 b \ue0f0< Mr (\\S+) \ue0f0> c \ue0f0;$", got[6][0]).group(1) == smith
+    assert [got[i][1] for i in range(1, 7)] == [6, 3, 3, 4, 2, 1]
+
+
+def test_texts_between_the_entities_stay(spark):
+    import regex
+
+    docs = {r[0]: r[1] for r in duckdb.query(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    made = pii.replace(spark.read.parquet(f"{SF}/documents.parquet"), "k").collect()
+    pattern, given = regex.compile(pii.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}")), {}
+    for r in made:
+        found = [*pattern.finditer(docs[r["doc_id"]] or "")]
+        assert len(found) == r["_n_entities"]
+        edges = [0, *(x for m in found for x in m.span()), len(docs[r["doc_id"]])]
+        between, rest = [docs[r["doc_id"]][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)], r["text"]
+        parts = re.fullmatch("(?s)" + "(.+?)".join(map(re.escape, between)), rest)
+        assert parts
+        for m, new in zip(found, parts.groups(), strict=True):
+            assert new != m.group() and given.setdefault(m.group(), new) == new
+    assert given and len(set(given.values())) >= 0.9 * len(given)
+
+
 def test_many_names_keep_apart(spark):
     names = [a + b + c for a in "BCDFG" for b in "aeiou" for c in ("lan", "rov", "tik", "mun")]
     rows = [(i, f"Mr {n} spoke. Mr {n} left.") for i, n in enumerate(names)] + [(900, "Mr Adler and Mr Ellis"), (900, "Mr Adler"), (None, "Mr Adler"), (None, None)]

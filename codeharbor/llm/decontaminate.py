@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm.common import total_bytes
+from codeharbor.llm.common import fresh_name, total_bytes
 
 WINDOW, SHARD_BYTES = 10, 4 * 1024 * 1024
 _FOLD = bytes(
@@ -154,29 +154,36 @@ def scan(
 
     Every document is scanned whole. Null and empty texts have no words and no hits; equal items are
     all named, items without an id hit but have no name; an empty benchmark hits nothing. Repeated
-    rows are scanned each, and other columns pass through.
+    rows are scanned each, and other columns pass through. Where a column has one of the added names
+    already, the added one has more underscores (`added_names`).
     """
+    n_words, spans, item_ids = names = added_names(docs)
     frame = docs.withColumns({
-        "_n_words": F.lit(0).cast("long"), "_spans": F.expr(f"cast(array() AS {SPANS})"), "_item_ids": F.expr("cast(array() AS array<string>)"),
+        n_words: F.lit(0).cast("long"), spans: F.expr(f"cast(array() AS {SPANS})"), item_ids: F.expr("cast(array() AS array<string>)"),
     })
     for shard in _shards(items, item_text, item_key):
-        frame = frame.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(shard), window, text), frame.schema)
+        frame = frame.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(shard), window, text, names), frame.schema)
     return frame
 
 
-def _pass(sent, window: int, text: str):
+def added_names(docs: DataFrame) -> tuple[str, str, str]:
+    """The names of the columns that `scan` adds to a table."""
+    return fresh_name(docs, "n_words"), fresh_name(docs, "spans"), fresh_name(docs, "item_ids")
+
+
+def _pass(sent, window: int, text: str, added: tuple[str, str, str]):
     def run(batches):
         machine = Automaton([(name, words_of(t)) for name, t in sent.value], window)
         for batch in batches:
             counts, spans, names = [], [], []
-            earlier = zip(batch.column("_spans").to_pylist(), batch.column("_item_ids").to_pylist(), strict=True)
+            earlier = zip(batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist(), strict=True)
             for t, (was, were) in zip(batch.column(text).to_pylist(), earlier, strict=True):
                 words = words_of(t)
                 found, named = machine.hits(words)
                 counts.append(len(words))
                 spans.append([{"start": a, "stop": b} for a, b in merged(found + [(x["start"], x["stop"]) for x in was])])
                 names.append(sorted({*were, *map(str, named)}))
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("_n_words", "_spans", "_item_ids")]
+            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in added]
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             made = [pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=batch.schema.names)
@@ -212,18 +219,19 @@ def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: fl
     The columns stay as they are, but for the text and, where there is one, n_chars.
     """
     found = scan(docs, items, window, text)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    found = found.filter(n_hit <= coverage * F.col("_n_words"))
+    n_words, held, _ = added_names(docs)
+    n_hit = F.aggregate(held, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    found = found.filter(n_hit <= coverage * F.col(n_words))
 
     def run(batches):
         for batch in batches:
-            pairs = zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True)
+            pairs = zip(batch.column(text).to_pylist(), batch.column(held).to_pylist(), strict=True)
             texts = [cut(t, [(x["start"], x["stop"]) for x in spans]) if spans else t for t, spans in pairs]
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, batch.schema.field(text).type))
 
     clean = found.mapInArrow(run, found.schema)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(held) > 0, F.length(text)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 

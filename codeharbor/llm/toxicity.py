@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm.common import fold
+from codeharbor.llm.common import fold, fresh_name
 from codeharbor.llm.decontaminate import words_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -163,7 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with _score, from 0 to 1; null and empty texts are scored as texts without words."""
+    """The documents with _score, from 0 to 1; null and empty texts are scored as texts without words.
+
+    Where a column has that name already, the added one has more underscores.
+    """
+    added = fresh_name(docs, "score")
 
     def run(batches):
         windows = Windows(model)
@@ -177,7 +181,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 made = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], names=batch.schema.names)
 
-    frame = docs.withColumn("_score", F.lit(0.0))
+    frame = docs.withColumn(added, F.lit(0.0))
     return frame.mapInArrow(run, frame.schema)
 
 
@@ -192,4 +196,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below the threshold, as they are."""
-    return score(docs, train(docs, labels)).filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return score(docs, train(docs, labels)).filter(F.col(fresh_name(docs, "score")) < THRESHOLD).select(*docs.columns)

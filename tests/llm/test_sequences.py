@@ -129,7 +129,6 @@ def test_packing_of_documents(spark, vocabulary):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
     ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in documents()}
     padding, n = check_pieces(packing.report(spark.read.parquet(f"{SF}/documents.parquet"), vocabulary).collect(), ids)
     assert padding <= 2048 + 0.02 * 2048 * n
@@ -139,8 +138,7 @@ def test_packing_edge_cases(spark, vocabulary, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
-    texts = [None, "", " ", "a  b \n\n c\t", "<|endoftext|> x", "no end " * 3000, "S. " * 4000, "x" * 9000, "don't 's  y \x1cz", "日本語。テキスト" * 50, " lead", "trail "]
+    texts = [None, "", " ", "a  b \n\n c\t", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>c.  d", "no end " * 3000, "S. " * 4000, "x" * 9000, "don't 's  y \x1cz", "日本語。テキスト" * 50, " lead", "trail "]
     rows = [*enumerate(texts)]
     ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in rows}
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS k")
@@ -184,7 +182,7 @@ def test_pipeline_stages(spark):
             assert set(kept) == set(rows) - bad
         elif name == "near_duplicates":
             groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-            assert set(kept) == {g for g in groups.values()}
+            assert set(kept) == set(groups.values())
         elif name == "decontamination":
             hits = {r["doc_id"] for r in decontaminate.report(made, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r["contaminated"]}
             assert not hits
@@ -197,9 +195,23 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == set(rows)
 
 
+def test_pipeline_of_no_documents_and_clashing_names(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        (table.limit(0) if name == "documents" else table).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr(
+        "*", "'a' AS _score", "'b' AS _spans", "'c' AS _n_words", "'d' AS _item_ids", "'e' AS _subs", "'f' AS _k", "'g' AS _m", "'h' AS _n_entities", "'i' AS _name")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        made = common.written(stage(spark, docs, SF))
+        assert made.columns == docs.columns and made.count() > 0
+        assert {tuple(r)[5:] for r in made.collect()} == {tuple("abcdefghi")}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() > 0
+
+
 def test_pipeline_run_and_registration(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0

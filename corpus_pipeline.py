@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeharbor.llm import decontaminate, packing, pii, simhash, toxicity
 from codeharbor.llm.common import load, written
-from codeharbor.llm.queries import SECRET
+from codeharbor.llm.queries import secret
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.protect(docs, SECRET)
+    return pii.protect(docs, secret(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,34 +57,72 @@ def test_scores_of_edge_cases(spark):
     assert lm_mixing.score(frame.limit(0)).count() == 0
 
 
-def small_model(texts):
-    counts = np.bincount(np.concatenate([np.frombuffer(t, np.uint8) for t in texts]), minlength=257)
-    code = lm_mixing.prefix_code(counts)
-    tables = [np.full(1 << b, np.uint16(4096)) for b in lm_mixing.TABLE_BITS]
-    return lm_mixing.learn_mixing(code, tables, texts)
-
-
-def test_probabilities_of_all_continuations_sum_to_one():
-    model = small_model([b"abracadabra abba", b"banana band"])
-    model = model._replace(tables=[np.random.default_rng(1).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
-    p = {x: 10 ** lm_mixing.log10_probabilities(model, [x])[0] for x in [b"", *(bytes([a]) for a in range(256))]}
-    longer = 10 ** lm_mixing.log10_probabilities(model, [bytes([97, a]) for a in range(256)])
-    first = sum(p.values())  # texts of at most one byte
-    assert 0 < first < 1
-    # what follows "a" is the end or a byte: the mass of "a" so far is at least that of "a" and all "a?"
-    contexts = p[b"a"] + longer.sum()
-    assert contexts < 1 - p[b""]
-
-
-def test_code_is_complete_and_long_texts_agree_with_chunks(monkeypatch):
-    code = lm_mixing.prefix_code(np.arange(257))
-    assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1)
-    texts = [b"the cat sat on the mat " * 400, b"", b"dog"]
-    model = small_model([b"the cat sat on the mat " * 20, b"dogs"])
-    model = model._replace(tables=[np.random.default_rng(2).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in lm_mixing.TABLE_BITS])
-    whole = lm_mixing.log10_probabilities(model, texts)
-    monkeypatch.setattr(lm_mixing, "CHUNK_BYTES", 500)
-    assert lm_mixing.log10_probabilities(model, texts) == pytest.approx(whole, rel=1e-5)
+VOCABULARY = {b"abra": 5, b"abracadabra": 2, b"cab": 1, b"a": 9, b"": 6, b"dab": 0, b"zz": 0}
+
+
+def small_model(monkeypatch):
+    monkeypatch.setattr(lm_mixing, "SLOT_BITS", (22,) * 4)
+    monkeypatch.setattr(lm_mixing, "LEAST_BITS", 22)  # so few bits that no two share a slot
+    return lm_mixing.Model(sorted(VOCABULARY), np.array([VOCABULARY[w] for w in sorted(VOCABULARY)]))
+
+
+def plain_bits(code, word):
+    """(contexts, step, bit) of every coded bit of a word."""
+    out = []
+    for i, symbol in enumerate([*word, 256]):
+        contexts = [(k, word[max(0, i - k) : i], min(i, k)) for k in (1, 2, 3)] + [("word", word[:i])]
+        out += [(contexts, s, int(code.bit[s])) for s in range(code.start[symbol], code.start[symbol] + code.length[symbol])]
+    return out
+
+
+def plain_log10(model, word):
+    counts = Counter()
+    for w, c in VOCABULARY.items():
+        for contexts, s, bit in plain_bits(model.code, w):
+            for x in contexts:
+                counts[x, int(model.code.node[s]), bit] += c
+    total = 0.0
+    for contexts, s, bit in plain_bits(model.code, word):
+        node = int(model.code.node[s])
+        pairs = [[counts[x, node, v] for v in (0, 1)] for x in contexts]
+        odds = [max(-8, min(8, math.log((n1 + 0.1) / (n0 + 0.1)))) for n0, n1 in pairs]
+        high, low = (sum(sum(pairs[k]) > edge for edge in (0.5, 1.5, 3.5, 7.5, 31.5, 127.5, 1023.5)) for k in (2, 3))
+        mixed = max(-12, min(12, sum(float(model.weights[k, high * 8 + low]) * x for k, x in enumerate(odds))))
+        place = int((max(-8, min(8, mixed)) + 8.25) * 2)
+        final = (mixed + float(model.refine[node * 33 + place])) / 2
+        total -= math.log1p(math.exp(-final if bit else final))
+    return total / math.log(10)
+
+
+def test_words_cost_what_a_plain_model_says(monkeypatch):
+    model = small_model(monkeypatch)
+    words = [*VOCABULARY, b"abr", b"unseen \xff", b"q" * 300]
+    assert model.log10(words) == pytest.approx([plain_log10(model, w) for w in words], rel=1e-4)
+
+
+def test_probabilities_of_all_words_sum_to_one(monkeypatch):
+    model = small_model(monkeypatch)
+    p = dict(zip(words := [b"", *(bytes([a]) for a in range(256))], (10 ** model.log10(words)).tolist(), strict=True))
+    longer = 10 ** model.log10([b"a" + bytes([x]) for x in range(256)])
+    assert 0.5 < sum(p.values()) < 1 and sum(p.values()) + longer.sum() < 1
+    assert p[b"a"] > p[b"z"] and sum(2.0 ** -int(n) for n in model.code.length) == pytest.approx(1)
+
+
+def test_long_words_agree_with_slices(monkeypatch):
+    words = sorted({b"the", b"cat", b"x" * 5000, b"abc" * 700})
+    whole = lm_mixing.Model(words, np.array([1, 2, 3, 4]))
+    costs = whole.log10(words)
+    monkeypatch.setattr(lm_mixing, "SLICE", 500)
+    monkeypatch.setattr(lm_mixing, "CHUNK", 900)
+    assert whole.log10(words) == pytest.approx(costs, rel=1e-5)
+
+
+def test_weights_are_learnt_from_all_occurrences():
+    words = sorted({b"w%d" % (i * 7919 % 5000) for i in range(4000)})
+    model = lm_mixing.Model(words, np.arange(len(words)) % 3)
+    assert np.abs(model.weights - 0.3).max() > 0.05 and np.isfinite(model.weights).all()
+    known, unknown = model.log10(words)[np.arange(len(words)) % 3 > 0], model.log10([b"q%d" % i for i in range(500)])
+    assert known.mean() > unknown.mean() + 0.5
 
 
 def test_training_helps(spark):

@@ -309,7 +309,9 @@ def plain_verdict(url):
     return site, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
 
 
-def test_url_rules_and_list(spark):
+@pytest.mark.parametrize("packed", [1 << 16, 0])
+def test_url_rules_and_list(spark, monkeypatch, packed):
+    monkeypatch.setattr(url_filter, "PACKED", packed)
     urls = [
         None, "", "no scheme", "://", "http://", "http://Example.ORG/es/x?a#b", "http://a.example.org/en/12", "https://example.org", "http://notexample.org/x", "http://x.com/fr/", "http://x.com/de/y",
         "http://x.com/en/", "http://www.spam.net/a/?utm_source=x#t", "https://spam.net/a", "http://spam.net/b?z=1&ref=2", "http://ok.net/a", "http://m.spam.net:80/a/", "http://org/", "http://fr.COM?x/fr/", "http://a.net/x\ny",
@@ -327,6 +329,15 @@ def test_url_rules_and_list(spark):
     assert {r["verdict"] for r in url_filter.judge(pages.filter("page_id = 13"), listing.limit(0), url_filter.RULES).collect()} == {"allow"}
 
 
+def test_only_possible_hits_are_shuffled(spark):
+    pages = spark.range(500).selectExpr("id AS page_id", "concat('http://site', id, '.net/p') AS url")
+    listing = pages.filter("page_id < 20").select(url_filter.canonical(pages["url"]).alias("url"))
+    made = url_filter.judge(pages, listing, url_filter.RULES)
+    assert made.filter("verdict = 'block'").count() == 20
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == plan.count("Exchange hashpartitioning(key") == 0
+
+
 def test_bloom_filter_loses_nothing_and_drops_most(spark):
     names = spark.range(3000).selectExpr("concat('site', id, '.net/p') AS url")
     blocks = 3000 * url_filter.BITS_PER_URL // url_filter.BLOCK_BITS + 1

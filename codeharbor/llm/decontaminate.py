@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm.common import fresh_name, total_bytes
+from codeharbor.llm.common import fresh_name, total_bytes, written
 
 WINDOW, SHARD_BYTES = 10, 4 * 1024 * 1024
 _FOLD = bytes(
@@ -161,8 +161,13 @@ def scan(
     frame = docs.withColumns({
         n_words: F.lit(0).cast("long"), spans: F.expr(f"cast(array() AS {SPANS})"), item_ids: F.expr("cast(array() AS array<string>)"),
     })
+    sent = None
     for shard in _shards(items, item_text, item_key):
-        frame = frame.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(shard), window, text, names), frame.schema)
+        if sent is not None:  # the pass before is done, and its shard no longer needed
+            frame = written(frame)
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+        frame = frame.mapInArrow(_pass(sent, window, text, names), frame.schema)
     return frame
 
 

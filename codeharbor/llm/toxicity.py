@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeharbor.llm.common import fold, fresh_name
+from codeharbor.llm.common import fold, fresh_name, written
 from codeharbor.llm.decontaminate import words_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -116,6 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return Model(b"", b"", None)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     rows = rows.join(F.broadcast(sample), "k")  # at most 4 x SAMPLE short rows
+    # of documents with one key the one with the smallest text: what follows is bounded by the sample, too
+    rows = written(rows.groupBy("k", "y", "part").agg(F.min(F.coalesce("t", F.lit(""))).alias("t")))
     learn_part, tune_part = (p for p in range(FOLDS) if p != HELD_OUT)
 
     def distinct_words(batches):
@@ -152,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([windows.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    seen = tune.mapInArrow(tuned, "x array<double>, y int").orderBy("y", "x").toPandas()
+    seen = tune.mapInArrow(tuned, "x array<double>, y int").toPandas()  # at most 2 x SAMPLE rows
+    order = sorted(range(len(seen)), key=lambda i: (seen["y"][i], tuple(seen["x"][i])))  # whatever the order of the tasks
+    seen = seen.iloc[order].reset_index(drop=True)
     if seen["y"].nunique() < 2:
         return Model(b"", b"", None)
     x, y = np.array(seen["x"].tolist()), seen["y"].to_numpy(np.float64)

@@ -4,9 +4,12 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 
 from codeharbor.llm import decontaminate, licenses, pii, queries, toxicity, url_filter
 
@@ -97,6 +100,59 @@ def test_held_out_toxicity(spark):
     assert sum(pairs) / len(pairs) > 0.85
 
 
+def plain_toxicity(docs, marks):
+    """(toxic, ordinary, weights) for {key: text} and {key: label}, all labelled rows being in the sample."""
+    part = {k: zlib.crc32(str(k).encode()) % 3 for k in marks}
+    chosen = {p: [(k, y) for k, y in sorted(marks.items()) if part[k] == p and k in docs] for p in (0, 2)}
+    first = {}  # one learner for each smallest hash of two words in a row and class
+    for k, y in chosen[0]:
+        ws = toxicity.words_of(docs[k])
+        pairs = [b" ".join(x) for x in zip(ws, ws[1:], strict=False)] if len(ws) > 1 else [b" ".join(ws)]
+        sketch = min((np.uint64(xxhash.xxh64_intdigest(x)) for x in pairs))
+        first.setdefault((sketch, y), k)
+    learners = {y: [k for (_, c), k in first.items() if c == y] for y in (0, 1)}
+    held = {y: Counter(w for k in ks for w in set(toxicity.words_of(docs[k]))) for y, ks in learners.items()}
+    n = {y: len(ks) for y, ks in learners.items()}
+
+    def entries(y):
+        mine, other, told = held[y], held[1 - y], []
+        for w in mine:
+            odds = ((mine[w] + 0.5) / (n[y] + 1)) / ((other[w] + 0.5) / (n[1 - y] + 1))
+            enough = mine[w] + other[w] >= toxicity.LEAST_DOCS and mine[w] >= max(toxicity.LEAST_DOCS, toxicity.LEAST_SHARE * n[y])
+            ratio = toxicity.RATIO if y else 1.0
+            if 3 <= len(w) <= 64 and enough and odds * n[1 - y] / (n[1 - y] + 1) >= min(ratio, 0.5 * n[1 - y]):
+                told.append((-mine[w] * math.log(odds), w))
+        return b"".join(b" " + w for _, w in reversed(sorted(told)[: toxicity.ENTRIES])) + b" "
+
+    toxic, ordinary = entries(1), entries(0)
+    short, long = toxicity._compressor(toxic), toxicity._compressor(ordinary)
+
+    def features(text):
+        gain = [len(long.compress(b" " + w + toxicity.PAD)) - len(short.compress(b" " + w + toxicity.PAD)) for w in toxicity.words_of(text)]
+        counts = [sum(g >= s for g in gain) for s in toxicity.STEPS]
+        return [max(0, max(gain, default=0)), *(math.log1p(c) for c in counts), *(50 * c / max(1, len(gain)) for c in counts), 1.0]
+
+    x, y = np.array([features(docs[k]) for k, _ in chosen[2]]), np.array([float(c) for _, c in chosen[2]])
+    beta = np.zeros(x.shape[1])
+    for _ in range(500):  # gradient of the penalised likelihood to zero, by damped Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.eye(len(beta))
+        beta += np.clip(np.linalg.solve(hessian, x.T @ (y - p) - beta), -0.5, 0.5)
+    return toxic, ordinary, lambda t: 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(features(t), beta))))))
+
+
+def test_toxicity_matches_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r[0]: r[1] for r in duckdb.query(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()}
+    marks = dict(duckdb.query(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    toxic, ordinary, plain = plain_toxicity(docs, marks)
+    frames = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
+    model = toxicity.train(*frames)
+    assert (model.toxic, model.ordinary) == (toxic, ordinary) and len(toxic) > 20
+    for r in toxicity.report(*frames).collect():
+        assert r["score"] == pytest.approx(plain(docs[r["doc_id"]]), abs=2e-3)
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "bad " * 50_000), (None, "x"), (3, "y")], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS k")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -10,6 +10,7 @@ from codeharbor.catalog.views import FILES, over, text
 from codeharbor.functions import rules
 from codeharbor.operators import config as cfg
 from codeharbor.operators import inventory as inv
+from codeharbor.plans.running import stored
 from codeharbor.sources.assets import asset
 from codeharbor.sources.corpus import code_corpus
 
@@ -220,8 +221,9 @@ on_members("g5_bundle_analyses", """SELECT bundle_name, stem, CASE WHEN error IS
 
 def _render(spark, sf_dir):
     tasks = asset(spark, sf_dir, "tasks")
-    members = cfg.bundle_files(cfg.bundles_from_jobs(tasks), code_corpus(spark, sf_dir))
-    return cfg.render_bundle(asset(spark, sf_dir, "jobs"), tasks, cfg.bundle_pattern(members))
+    members = cfg.bundle_files(stored(cfg.bundles_from_jobs(tasks), "bundles"), code_corpus(spark, sf_dir))
+    patterns = stored(cfg.bundle_pattern(members), "patterns")  # the texts are read for them once
+    return cfg.render_bundle(asset(spark, sf_dir, "jobs"), tasks, patterns)
 
 
 def pattern_case(position):

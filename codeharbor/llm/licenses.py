@@ -1,9 +1,10 @@
 """Licence scan: TF-IDF cosine of headers, lines and licence files to templates, then inheritance by path joins.
 
-A passage is a line that mentions a licence, the header of a file (what stands before its first blank
-line) if it does, or the whole of such a licence file. Each different passage is a sparse vector over all
-its words, scored once however often it is copied; a word's inverse document frequency comes from the
-files of the whole corpus that hold it. A file's own licence is that of its best passage. A file
+A passage is a line, the header of a file (what stands before its first blank line), or the whole of a
+licence file. Each different passage is a sparse vector over all its words, scored once however often it
+is copied; a word's inverse document frequency comes from the files of the whole corpus that hold it.
+Passages that mention a licence have a score; of the others those that reach the threshold, and only
+those are left unscored that provably cannot. A file's own licence is that of its best passage. A file
 without one takes the licence of the licence file in the nearest directory above it: each directory
 meets its ancestors in one join on paths, and files meet their directory in another.
 """
@@ -14,6 +15,7 @@ import math
 import re
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +46,11 @@ OWN_WORDS = {
 TEMPLATES = {
     name: [f"SPDX-License-Identifier: {name}", *(s.format(n) for n in names for s in SENTENCES), *OWN_WORDS.get(name, [])] for name, names in NAMES.items()
 }
-#: A passage mentions a licence if it holds one of these, in any case.
+#: A passage mentions a licence if it holds one of these, in any case; it has a score below the threshold, too.
 MENTIONS = ("licen", "spdx", "permission is hereby", "redistribution and use")
 STOP = set("a an and any are by for in is of or the this to use with without work".split())
 THRESHOLD = 0.6
+FREQUENT = 1000  # words that the bound knows by name; it leaves out nothing, whatever their number
 ADDED = ("own_license", "own_score", "license", "inherited_from", "levels_up")
 LICENCE_FILE = r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)([.-][^/]*)?$"
 
@@ -67,45 +70,73 @@ def _mentions(lowered: Column) -> Column:
     return reduce(or_, [F.contains(lowered, F.lit(m)) for m in MENTIONS])
 
 
-def _passages(text: Column, path: Column) -> Column:
-    """The passages of a text as arrays of words, none without a word."""
+class Bound(NamedTuple):
+    """Weights of the template words, the most frequent words, and the least weight of any that is neither."""
+
+    idf: dict[str, float]
+    frequent: list[str]
+    least: float
+
+    def reaches(self, ws: Column, hits: Column, threshold: float) -> Column:
+        """False only for words whose cosine to no template can be `threshold`; hits are those of templates.
+
+        With t the part of the vector on template words and r the rest, a cosine is at most |t| / |(t, r)|.
+        A frequent word weighs at least 1 and any other at least `least`, wherever it stands.
+        """
+        goal = threshold - 1e-6  # scores are rounded
+        if goal <= 0:
+            return F.lit(True)
+        weights = F.map_from_arrays(F.array(*map(F.lit, self.idf)), F.array(*map(F.lit, self.idf.values())))
+        each = F.transform(F.array_distinct(hits), lambda w: F.pow(F.size(F.filter(hits, lambda h: h == w)) * weights[w], F.lit(2.0)))
+        room = F.aggregate(each, F.lit(0.0), lambda total, x: total + x) * ((1 / goal**2 - 1) * (1 + 1e-9))
+        others = F.size(ws) - F.size(hits)
+        rare = F.size(F.filter(ws, lambda w: ~w.isin([*self.idf, *self.frequent])))
+        return (room >= others) & (room >= others + rare * (self.least**2 - 1))
+
+
+def _passages(text: Column, path: Column, bound: Bound, threshold: float) -> Column:
+    """The passages of a text that may count, as their words and whether they mention a licence."""
     lowered = ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
-    lines = F.filter(F.split(lowered, "\n"), _mentions)
+    lines = F.split(lowered, "\n")
     header = F.split(lowered, r"\n[ \t\r]*\n", 2)[0]
-    header = F.when(F.contains(header, F.lit("\n")) & _mentions(header), F.array(header))
+    header = F.when(F.contains(header, F.lit("\n")), F.array(header))
     whole = F.when(path.rlike(LICENCE_FILE), F.array(lowered))
     none = F.array().cast("array<string>")
     found = F.concat(lines, F.coalesce(header, none), F.coalesce(whole, none))
-    found = F.filter(F.transform(found, _words), lambda ws: F.size(ws) > 0)
-    return F.when(_mentions(lowered), found).otherwise(F.array().cast("array<array<string>>"))
+    found = F.transform(found, lambda passage: F.struct(_words(passage).alias("ws"), _mentions(passage).alias("says")))
+    found = F.transform(found, lambda x: F.struct(x["ws"].alias("ws"), x["says"].alias("says"), F.filter(x["ws"], lambda w: w.isin(sorted(bound.idf))).alias("hits")))
+    return F.filter(found, lambda x: (F.size(x["hits"]) > 0) & (x["says"] | bound.reaches(x["ws"], x["hits"], threshold)))
 
 
-def document_frequencies(files: DataFrame, passages: DataFrame, text: str) -> tuple[int, DataFrame]:
-    """Files of the corpus, and (w, df): how many of them hold each word of the passages.
+def document_frequencies(files: DataFrame, text: str) -> DataFrame:
+    """(w, df): how many of the files hold each word.
 
-    Words are counted per task first; what is shuffled are distinct words, and the passages' words meet
-    one row per word.
+    Words are counted per task first; what is shuffled are distinct words.
     """
     held = files.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))).alias("w"))
-    counts = held.groupBy("w").agg(F.count("*").alias("df"))
-    wanted = passages.select(F.explode(F.array_distinct("ws")).alias("w")).distinct()
-    return files.count(), counts.join(wanted, "w", "left_semi")
+    return held.groupBy("w").agg(F.count("*").alias("df"))
 
 
 def _weight(n: int, df: Column) -> Column:
     return F.log(F.lit(float(n + 1)) / (df + 1)) + 1
 
 
-def scores(passages: DataFrame, frequencies: DataFrame, n: int, templates: dict[str, list[str]]) -> DataFrame:
-    """(k, best): struct(score, at, name) of the template with the largest cosine to passages(k, ws).
-
-    Templates are words and counts in the plan; their weights come from the same table, as many rows as
-    templates have words.
-    """
-    vectors = [(name, words(t)) for name, ts in sorted(templates.items()) for t in ts]
+def bound_of(frequencies: DataFrame, n: int, vectors: list[tuple[str, list[str]]]) -> Bound:
+    """From as many rows as templates have words, and those of the FREQUENT words in most files."""
     terms = sorted({w for _, ws in vectors for w in ws})
     known = {r["w"]: r["df"] for r in frequencies.filter(F.col("w").isin(terms)).collect()}
+    most = frequencies.orderBy(F.desc("df"), "w").limit(FREQUENT + 1).collect()
     idf = {t: math.log((n + 1) / (known.get(t, 0) + 1)) + 1 for t in terms}
+    least = math.log((n + 1) / (most[FREQUENT]["df"] + 1)) + 1 if len(most) > FREQUENT else 1.0
+    return Bound(idf, [r["w"] for r in most[:FREQUENT]], least)
+
+
+def scores(passages: DataFrame, frequencies: DataFrame, n: int, vectors: list[tuple[str, list[str]]], idf: dict[str, float]) -> DataFrame:
+    """(k, best): struct(score, at, name) of the template with the largest cosine to passages(k, ws).
+
+    Templates are words and counts in the plan.
+    """
+    terms = list(idf)
     units = []
     for _, ws in vectors:
         raw = {w: ws.count(w) * idf[w] for w in set(ws)}
@@ -125,8 +156,8 @@ def scores(passages: DataFrame, frequencies: DataFrame, n: int, templates: dict[
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The files, without their text, with own_license, own_score, license, inherited_from, levels_up.
 
-    own_score is the best cosine of a passage of the file (null without one that shares a word with a
-    template), own_license its template's name from the threshold on. A file without one inherits from
+    own_score is the best cosine of a passage of the file that mentions a licence or reaches the threshold
+    (null without one that shares a word with a template), own_license its template's name from the threshold on. A file without one inherits from
     the nearest directory, its own first, whose licence file has one; of several in a directory the best
     score, then the smallest path, counts. Columns of the input with the name of an added one are left
     out, others may have any name. Null and empty texts have no passage; a null path inherits nothing.
@@ -135,14 +166,20 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, path:
     templates = templates or TEMPLATES
     others = [c for c in files.columns if c not in (path, text, *ADDED)]
     kept = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    named = F.transform(_passages(F.col(text), F.col(path)), lambda ws: F.struct(F.xxhash64(ws, F.lit(1)).alias("a"), F.xxhash64(ws, F.lit(2)).alias("b"), ws.alias("ws")))
+    vectors = [(name, words(t)) for name, ts in sorted(templates.items()) for t in ts]
+    n, counted = files.count(), written(document_frequencies(files, text))
+    bound = bound_of(counted, n, vectors)
+    named = F.transform(
+        _passages(F.col(text), F.col(path), bound, threshold),
+        lambda x: F.struct(F.xxhash64(x["ws"], F.lit(1)).alias("a"), F.xxhash64(x["ws"], F.lit(2)).alias("b"), x["ws"].alias("ws"), x["says"].alias("says")))
     base = written(files.select(
-        kept.alias("o"), F.col(path).alias("p"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), named.alias("passages"), F.monotonically_increasing_id().alias("row")))
-    found = base.filter(F.size("passages") > 0).select("row", F.explode("passages").alias("x")).select("row", F.struct("x.a", "x.b").alias("k"), "x.ws")
+        kept.alias("o"), F.col(path).alias("p"), F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1).alias("dir"), named.alias("passages"), F.monotonically_increasing_id().alias("row")))
+    found = base.filter(F.size("passages") > 0).select("row", F.explode("passages").alias("x")).select("row", F.struct("x.a", "x.b").alias("k"), "x.ws", "x.says")
     passages = written(found.groupBy("k").agg(F.first("ws").alias("ws")))
-    n, frequencies = document_frequencies(files, passages, text)
-    scored = written(scores(passages, written(frequencies), n, templates))
-    best = found.select("row", "k").join(scored, "k").groupBy("row").agg(F.max("best").alias("best"))
+    wanted = passages.select(F.explode(F.array_distinct("ws")).alias("w")).distinct()
+    scored = written(scores(passages, counted.join(wanted, "w", "left_semi"), n, vectors, bound.idf))
+    best = found.select("row", "k", "says").join(scored, "k").filter(F.col("says") | (F.col("best.score") >= threshold))
+    best = best.groupBy("row").agg(F.max("best").alias("best"))
     rows = base.select("o", "p", "dir", "row").join(best, "row", "left").select(
         "o", "p", "dir", F.when(F.col("best.score") >= threshold, F.col("best.name")).alias("own_license"), F.col("best.score").alias("own_score"))
     rows = written(rows)

@@ -346,6 +346,25 @@ def test_headers_of_real_files_and_ties(spark):
     assert not any(got[f"/f/{i}.txt"]["license"] for i in range(400))
 
 
+def test_passages_that_mention_no_licence_reach_the_threshold(spark):
+    gnu = "You should have received a copy of the GNU General Public"
+    rows = [("/a/x.c", f"int x;\n\n{gnu}"), ("/b/y.md", "some text\n\nCC BY-NC 4.0"), ("/c/COPYING", "Released under GPLv3"), ("/c/z.c", "int z;"), ("/d\ne/LICENSE", "Released under the MIT License"), ("/d\ne/f/w", "x"),
+            ("/h/h.c", "You should have received a copy\nof the GNU General Public\n\nint x;"), ("/p/plain", "it is on you to have a copy of the program with each of these many other plain words")]
+    rows += [(f"/f/{i}", f"a copy of file {i} for the general public\nand you have more of it along with this version") for i in range(60)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[p]["own_license"] for p in ("/a/x.c", "/b/y.md", "/c/COPYING", "/h/h.c")] == ["GPL-3.0", "CC-BY-NC-4.0", "GPL-3.0", "GPL-3.0"]
+    assert (got["/c/z.c"]["license"], got["/d\ne/f/w"]["license"], got["/d\ne/f/w"]["inherited_from"]) == ("GPL-3.0", "MIT", "/d\ne")
+    # no passage that a plain search finds at the threshold is missing, and none below it counts
+    says, licenses.MENTIONS = licenses.MENTIONS, ("",)
+    try:
+        want = {r[0]: r[1:3] for r in plain_licences(rows)}
+    finally:
+        licenses.MENTIONS = says
+    assert {p: r["own_license"] for p, r in got.items()} == {p: name for p, (name, _) in want.items()}
+    assert all(r["own_score"] == pytest.approx(want[p][1], abs=2e-6) for p, r in got.items() if r["own_license"])
+    assert got["/p/plain"]["own_score"] is None
+
+
 def test_licences_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     files = [tuple(r) for r in licenses.as_files(docs).select("path", "text").collect()]

@@ -253,3 +253,24 @@ def test_pipeline_run_and_registration(spark):
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_words_cost_what_stands_before_them(spark, monkeypatch):
+    parts = {p: [k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 == p] for p in (1, 2)}
+    texts = ["the red fox runs over green hills today", "a cold wind blows along empty streets tonight"] * 40
+    rows = [*zip(parts[1], texts, strict=False), (parts[2][0], texts[0]), (parts[2][1], "today hills green over runs fox red the"), (parts[2][2], "a red fox blows along green hills tonight")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in lm_mixing.score(frame).collect()}
+    same, turned, mixed = (scores[k] for k in parts[2][:3])
+    assert turned + 3 < mixed < same - 1 and scores[parts[1][0]] == pytest.approx(same, abs=1e-4)
+    monkeypatch.setattr(lm_mixing, "SPREAD", 10)  # the words after each are dealt to several shards
+    monkeypatch.setattr(common, "BLOCK_BYTES", 1000)
+    scores = {r["doc_id"]: r["score"] for r in lm_mixing.score(frame).collect()}
+    assert scores[parts[2][1]] + 3 < scores[parts[2][0]] < 0
+
+
+def test_following_words_and_the_escape_sum_to_one():
+    last, word = np.repeat(np.arange(6, dtype=np.uint32), 5), np.tile(np.arange(5, dtype=np.uint64), 6)
+    chain = lm_mixing.Chain(last, last, word, (last * 3 + word * 5) % 4)
+    costs, escaped = chain.follow(np.full(6, 2, np.uint32), np.full(6, 2, np.uint32), np.array([0, 1, 2, 3, 4, 99], np.uint64))
+    assert escaped.tolist() == [False] * 5 + [True] and 0.5 < (10**costs).sum() <= 1

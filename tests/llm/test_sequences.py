@@ -130,6 +130,18 @@ def test_training_helps(spark):
     assert sum(r["bits_per_byte"] for r in rows) / len(rows) < 4
 
 
+def test_texts_are_read_once_and_shuffles_go(spark):
+    before = spark.conf.get(lm_mixing.CLEANUP)
+    read = lm_mixing.score(spark.read.parquet(f"{SF}/documents.parquet")).inputFiles()
+    assert read and not any("documents.parquet" in path for path in read)
+    assert spark.conf.get(lm_mixing.CLEANUP) == before
+
+
+def test_short_numbers_come_back():
+    values = np.array([0, 1, 1 << 23, (1 << 24) - 1], np.uint64)
+    assert lm_mixing._long(lm_mixing._short(values, 3), 3).tolist() == values.tolist()
+
+
 # ---- packing ------------------------------------------------------------------------------------------------
 
 

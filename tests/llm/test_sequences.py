@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -286,3 +287,66 @@ def test_following_words_and_the_escape_sum_to_one():
     chain = lm_mixing.Chain(last, last, word, (last * 3 + word * 5) % 4)
     costs, escaped = chain.follow(np.full(6, 2, np.uint32), np.full(6, 2, np.uint32), np.array([0, 1, 2, 3, 4, 99], np.uint64))
     assert escaped.tolist() == [False] * 5 + [True] and 0.5 < (10**costs).sum() <= 1
+
+
+def small_chain():
+    rng = np.random.default_rng(3)
+    last, earlier, word = (rng.zipf(1.5, 3000).astype(np.uint64) % np.uint64(60) for _ in range(3))
+    return lm_mixing.Chain(last, earlier, word, rng.integers(0, 3, 3000))
+
+
+def test_numbers_of_a_chain_are_plain_counts():
+    chain = small_chain()
+    last, earlier, symbol, counts = (x.tolist() for x in chain.threes)
+    paths = [chain.code.bit[a : a + n].tolist() for a, n in zip(chain.code.start.tolist(), chain.code.length.tolist(), strict=True)]
+    plain = Counter()
+    for x, y, s, c in zip(last, earlier, symbol, counts, strict=True):
+        for d in range(len(paths[s]) + 1):
+            for context in (("earlier", y), ("last", x), ("both", x, y)):
+                plain[context, tuple(paths[s][:d])] += c
+    for i, (x, y, s) in enumerate(zip(last, earlier, symbol, strict=True)):
+        for context, (start, numbers) in zip((("earlier", y), ("last", x), ("both", x, y)), chain.items.seen, strict=True):
+            at = start[chain.place[i]]
+            assert numbers[at : at + len(paths[s]) + 1].tolist() == [plain[context, tuple(paths[s][:d])] for d in range(len(paths[s]) + 1)]
+
+
+def test_what_a_chain_has_learnt_is_what_it_says():
+    chain = small_chain()
+    n = chain.given
+    last, earlier, symbol = (x[:n] for x in chain.threes[:3])
+    known = symbol < len(chain.words)
+    costs, escaped = chain.learnt()
+    again, none = chain.follow(last[known], earlier[known], chain.words[symbol[known]])
+    assert again == pytest.approx(costs[known], rel=1e-6) and not none.any() and (escaped == ~known).all()
+
+
+def test_codes_are_the_shortest():
+    counts = np.random.default_rng(1).zipf(1.3, 700) % 10000
+    nodes, total = sorted((counts + 1).tolist()), 0
+    while len(nodes) > 1:
+        total += nodes[0] + nodes[1]
+        nodes = sorted([nodes[0] + nodes[1], *nodes[2:]])
+    code = lm_mixing.prefix_code(counts)
+    assert (code.length * (counts + 1)).sum() == total and (2.0**-code.length).sum() == pytest.approx(1)
+
+
+def test_tokens_are_those_of_the_plain_split():
+    signs = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u2003", "a", "B", "\u00c4", "\x00", "Z"]
+    rng = np.random.default_rng(2)
+    texts = [None, "", " \n", "x", *("".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(500)), None]
+    tokens, (n, size), words = lm_mixing._tokens(pa.array(texts))
+    ends = np.cumsum(n)
+    for t, low, high, s in zip(texts, ends - n, ends, size, strict=True):
+        plain = lm_mixing.words_of(t)
+        assert [words[i] for i in tokens[low:high]] == [*plain, b""] and s == max(1, len(b" ".join(plain)))
+
+
+def test_threes_travel_in_few_bytes():
+    rows = documents()
+    table = pa.table({"block": pa.array([0] * len(rows)), "k": pa.array([k for k, _ in rows]), "t": pa.array([t for _, t in rows]), "part": pa.array([1] * len(rows), pa.int32())})
+    listed = lm_mixing._list_words(2)(table)
+    block = listed.filter(listed["shard"].is_null()).select(["block", "tokens", "hashes", "sizes"])
+    sent = pa.Table.from_batches(lm_mixing._list_threes(2, lm_mixing.SPREAD, np.zeros((2, 0), np.uint64))(block.to_batches()))
+    words = [w for _, t in rows for w in (b"", b"", *(t or "").encode().lower().split(), b"")]
+    threes = {x for x in zip(words, words[1:], words[2:], strict=False) if x[1:] != (b"", b"")}
+    assert sum(sent[c].nbytes for c in ("last", "earlier", "word", "counts")) < 8.8 * len(threes)

@@ -14,7 +14,7 @@ from codeharbor.operators import agentlog, extraction
 from codeharbor.plans import analysis
 from codeharbor.plans.skew import few_broadcast
 from codeharbor.sources.files import _plain_path
-from codeharbor.sources.sinks import append_batch, latest, read_versions, upsert_table
+from codeharbor.sources.sinks import append_batch, is_folder, latest, read_versions, upsert_table
 
 
 def file_stream(spark: SparkSession, root: str, glob: str = "*", per_trigger: int = 10_000) -> DataFrame:
@@ -32,11 +32,12 @@ def file_stream(spark: SparkSession, root: str, glob: str = "*", per_trigger: in
 
 
 def table_stream(spark: SparkSession, root: str, glob: str, schema: StructType, per_trigger: int = 100) -> DataFrame:
-    """Rows of Parquet files as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger)
-        .parquet(root)
-    )
+    """Rows of Parquet files as they arrive: the files that `glob` names, or those of the folder of that name."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    table = f"{root.rstrip('/')}/{glob}"
+    if is_folder(spark, table):  # its files have names of their own, which the filter would drop
+        return rows.parquet(table)
+    return rows.option("pathGlobFilter", glob).parquet(root)
 
 
 def analyze_stream(files: DataFrame) -> DataFrame:

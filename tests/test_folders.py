@@ -7,7 +7,7 @@ import pytest
 from codeharbor.catalog import all_queries
 from codeharbor.streaming import streams
 
-STREAMS = ["t1_analyze_stream", "t1_changed_analysis_stream", "t1_changed_refs_stream", "t1_ref_history_stream"]
+STREAMS = ["t1_analyze_stream", "t1_changed_analysis_stream", "t1_changed_refs_stream", "t1_ref_history_stream", "t1_table_refs_stream"]
 
 
 @pytest.fixture(scope="module")

@@ -197,8 +197,8 @@ def validate(runs: DataFrame, configs: DataFrame) -> DataFrame:
     linted = configs.select(
         "path", *practice_columns(content, F.col("target")), secret_issues(content).alias("issues")
     ).withColumn("security_passed", F.size("issues") == 0)
-    keyed = parse_cli_runs(runs).withColumn("path", F.concat("bundle_path", F.lit("/" + rules.CONFIG_FILE)))
-    return lookup_join(keyed, linted, "path", ["run_id"], "left")
+    path = F.concat("bundle_path", F.lit("/" + rules.CONFIG_FILE)).alias("path")
+    return lookup_join(parse_cli_runs(runs).select("*", path), linted, "path", ["run_id"], "left", keys_from=runs.select(path))
 
 
 # ---- advice ------------------------------------------------------------------------------------

@@ -229,3 +229,26 @@ def test_scale_and_metrics(spark):
     assert (row.accuracy, row.precision, row.recall, row.f1) == pytest.approx((0.6, 2 / 3, 2 / 3, 2 / 3))
     none = training.binary_metrics(told.filter("actual = 0 AND predicted = 0")).first()
     assert (none.accuracy, none.precision, none.recall, none.f1) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_copies_of_a_lookup_are_never_broadcast(spark):
+    left, right = (spark.range(n).selectExpr("id AS i", "id % 7 AS k") for n in (500, 7))
+    right = right.withColumnRenamed("i", "v")
+    assert "Broadcast" not in skew.lookup_join(left, right, "k", ["i"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validate_keeps_one_copy_of_a_config(spark, rows):
+    from codeharbor.operators import config
+
+    runs = spark.range(300).selectExpr(
+        "id AS run_id", "CASE WHEN id % 2 = 0 THEN '/b/hot' WHEN id % 5 <> 0 THEN '/b/' || id % 9 END AS bundle_path", "'dev' AS target", "0L AS return_code", "'' AS stdout", "'' AS stderr")
+    configs = spark.createDataFrame([(f"/b/{i}/databricks.yml", "password: x" if i == "hot" else "autotermination_minutes", "dev") for i in ("hot", 1, 3)],
+                                    "path string, content string, target string")
+    joined = config.validate(runs, configs)
+    assert "sequence(0, 31" not in joined._jdf.queryExecution().analyzed().toString()
+    got = rows(joined, "run_id", "score", "security_passed")
+    want = []
+    for i in range(300):
+        key = "hot" if i % 2 == 0 else i % 9 if i % 5 else None
+        want.append((i, *({"hot": (75, False), 1: (85, True), 3: (85, True)}.get(key, (None, None)))))
+    assert got == sorted(want, key=repr)
